@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from listings_spark.checks import listing_checks
+from listings_spark.checks import (
+    collect_checks,
+    directory_checks,
+    lifecycle_checks,
+    listing_checks,
+    registry_checks,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (listing_checks,):
+for _module in (listing_checks, directory_checks, registry_checks, collect_checks, lifecycle_checks):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

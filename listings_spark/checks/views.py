@@ -180,8 +180,9 @@ VIEWS["cards"] = """
 SELECT
   's' || CAST(l_suppkey % 20 AS STRING) AS search_slug,
   l_linenumber AS page,
-  l_orderkey * 10 + l_linenumber AS pos,
-  CAST(l_partkey AS STRING) AS listing_id,
+  (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey AS pos,
+  CAST(l_partkey % CASE WHEN l_suppkey % 20 % 4 = 0 THEN 10 ELSE 1000000000 END AS STRING)
+    AS listing_id,
   CASE WHEN l_orderkey % 3 = 0 THEN 'Senior Product Manager'
     WHEN l_orderkey % 3 = 1 THEN 'Software Intern' ELSE 'Entry-level Analyst' END AS title,
   'Supplier#' || CAST(l_suppkey AS STRING) AS company,
@@ -191,7 +192,7 @@ FROM {lineitem}
 
 VIEWS["registry"] = """
 SELECT
-  lower(replace(s_name, '#', '-')) AS slug,
+  's' || CAST(s_suppkey AS STRING) AS slug,
   'Search of ' || s_name AS name,
   CASE WHEN s_suppkey % 2 = 0 THEN 'Software Intern' ELSE 'DATA  new grad' END AS keywords,
   n_name AS location,
@@ -223,6 +224,16 @@ FROM {part}
 """
 
 
+# Phrases that do occur in the documents: opening words of the benchmark passages.
+VIEWS["rules_text"] = """
+SELECT 'category' AS kind, 'group ' || CAST(item_id % 7 AS STRING) AS category,
+  item_id AS position,
+  split_part(text, ' ', 1) || '-' || split_part(text, ' ', 2)
+    || CASE WHEN item_id % 2 = 0 THEN ' ' || split_part(text, ' ', 3) ELSE '' END AS phrase
+FROM {benchmark}
+"""
+
+
 def _references(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", sql)))
 

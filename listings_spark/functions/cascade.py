@@ -53,12 +53,9 @@ def category_of(
 def fallback_allowed(title_key: Column) -> Column:
     """Whether the body may define the category of a title that names no field."""
 
-    def words_of(values) -> Column:
-        return F.array(*[F.lit(v) for v in values])
-
-    words = F.array_except(F.split(title_key, " "), words_of(K.TITLE_NOISE_WORDS))
+    words = F.array_except(F.split(title_key, " "), X.string_array(K.TITLE_NOISE_WORDS))
     words = F.filter(words, lambda w: ~w.rlike("^[0-9]*$"))
-    return F.size(F.array_except(words, words_of(K.FALLBACK_TITLE_WORDS))) == 0
+    return F.size(F.array_except(words, X.string_array(K.FALLBACK_TITLE_WORDS))) == 0
 
 
 def cycle_rejection(
@@ -92,62 +89,46 @@ def classify(
     the reason; the early checks leave category and type undecided.
     """
     minimum = D.policy_date() if minimum_posted_at is None else minimum_posted_at
-    # The body is read only where an earlier check has not already decided, so rejected
-    # listings never pay for markup removal or body scans.
-    keyed = listings.withColumn("clean_title", X.normalize_title(F.col("title")))
-    keyed = keyed.withColumn("_title", X.normalized_key(F.col("clean_title")))
-    keyed = keyed.withColumn("_type", employment_type(F.col("_title"), internship, new_grad))
-    keyed = keyed.withColumn(
-        "_early",
-        F.when(F.col("_type").isNull(), F.lit(K.REASON_NO_TYPE)).when(
-            is_senior(F.col("_title"), seniority), F.lit(K.REASON_SENIORITY)
-        ),
-    )
-    keyed = keyed.withColumn(
-        "_body",
-        X.normalized_key(
-            X.html_to_text(F.when(F.col("_early").isNull(), F.col("description")))
-        ),
+    title = F.col("_title")
+    keyed = X.bind(listings, clean_title=X.normalize_title(F.col("title")))
+    keyed = X.bind(keyed, _title=X.normalized_key(F.col("clean_title")))
+    keyed = keyed.withColumn("_type", employment_type(title, internship, new_grad))
+    early = F.when(F.col("_type").isNull(), F.lit(K.REASON_NO_TYPE)).when(
+        is_senior(title, seniority), F.lit(K.REASON_SENIORITY)
     )
-    keyed = keyed.withColumn("geo", G.resolve_locations(F.col("locations")))
-    title, body = F.col("_title"), F.col("_body")
-    from_title = category_of(title, None, categories)
-    keyed = keyed.withColumn("_title_category", F.when(F.col("_early").isNull(), from_title))
-    keyed = keyed.withColumn(
-        "_category",
-        F.when(
-            (F.col("_title_category") == "unknown") & fallback_allowed(title),
-            category_of(F.lit(""), body, categories),
-        ).otherwise(F.col("_title_category")),
+    keyed = X.bind(
+        keyed, _early=early, _title_category=F.when(early.isNull(), category_of(title, None, categories))
     )
-    keyed = keyed.withColumn(
-        "_early",
-        F.coalesce(
-            F.col("_early"),
-            F.when(F.col("_category") == "unknown", F.lit(K.REASON_NO_ROLE)),
-        ),
+    # The body is read only where no earlier check has decided, so rejected listings never
+    # pay for markup removal or body scans.
+    body_text = X.html_to_text(F.when(F.col("_early").isNull(), F.col("description")))
+    keyed = X.bind(keyed, _text=body_text, geo=G.resolve_locations(F.col("locations")))
+    keyed = X.bind(keyed, _body=X.normalized_key(F.col("_text")))
+    category = F.when(
+        (F.col("_title_category") == "unknown") & fallback_allowed(title),
+        category_of(F.lit(""), F.col("_body"), categories),
+    ).otherwise(F.col("_title_category"))
+    keyed = X.bind(keyed, _category=category)
+    undecided = F.coalesce(
+        F.col("_early"), F.when(F.col("_category") == "unknown", F.lit(K.REASON_NO_ROLE))
     )
-    cycle = D.resolve_cycle(title, body, F.col("_type"), target)
-    keyed = keyed.withColumn("_cycle", F.when(F.col("_early").isNull(), cycle))
-    keyed = keyed.withColumn(
-        "_late",
-        F.when(
-            F.col("_early").isNull(),
-            F.coalesce(
-                cycle_rejection(F.col("_cycle"), F.col("posted_at"), target, minimum),
-                G.geo_rejection(F.col("geo")),
-            ),
-        ),
+    cycle = D.resolve_cycle(title, F.col("_body"), F.col("_type"), target)
+    keyed = X.bind(keyed, _early=undecided, _cycle=F.when(undecided.isNull(), cycle))
+    late = F.coalesce(
+        cycle_rejection(F.col("_cycle"), F.col("posted_at"), target, minimum),
+        G.geo_rejection(F.col("geo")),
     )
-    undecided = F.col("_early").isNotNull()
+    open_yet = F.col("_early").isNull()
+    keyed = X.bind(keyed, _reason=F.coalesce(F.col("_early"), F.when(open_yet, late)))
     decision = F.struct(
-        (F.col("_early").isNull() & F.col("_late").isNull()).alias("include"),
-        F.when(undecided, F.lit("unknown")).otherwise(F.col("_category")).alias("category"),
-        F.when(~undecided, F.col("_type")).alias("employment_type"),
-        F.coalesce("_early", "_late").alias("exclusion_reason"),
+        F.col("_reason").isNull().alias("include"),
+        F.when(open_yet, F.col("_category")).otherwise(F.lit("unknown")).alias("category"),
+        F.when(open_yet, F.col("_type")).alias("employment_type"),
+        F.col("_reason").alias("exclusion_reason"),
     )
     return keyed.withColumn("decision", decision).drop(
-        "_title", "_type", "_early", "_body", "_title_category", "_category", "_cycle", "_late"
+        "_title", "_type", "_early", "_title_category", "_text", "_body", "_category",
+        "_cycle", "_reason",
     )
 
 

@@ -16,10 +16,8 @@ from listings_spark.functions import text as X
 
 def _codes_of(padded_key: Column, names: dict[str, str]) -> Column:
     """Codes of all names that occur as whole phrases in a padded key."""
-    table = F.array(*[
-        F.struct(F.lit(f" {name} ").alias("phrase"), F.lit(code).alias("code"))
-        for name, code in names.items()
-    ])
+    rows = ", ".join(f"struct(' {n} ' AS phrase, '{c}' AS code)" for n, c in names.items())
+    table = F.expr(f"array({rows})")
     hits = F.filter(table, lambda row: F.contains(padded_key, row["phrase"]))
     return F.transform(hits, lambda row: row["code"])
 
@@ -28,7 +26,7 @@ def _place_evidence(place: Column) -> Column:
     """Evidence of one place given as struct (padded key, upper-case tokens, display)."""
     padded, tokens = place["padded"], place["tokens"]
     outside = F.arrays_overlap(
-        tokens, F.array(*[F.lit(c) for c in K.NON_EUROPEAN_CODES])
+        tokens, X.string_array(K.NON_EUROPEAN_CODES)
     ) | padded.rlike(f" (?:{'|'.join(K.NON_EUROPEAN_NAMES)}) ")
     no_codes = F.array().cast("array<string>")
 
@@ -37,7 +35,7 @@ def _place_evidence(place: Column) -> Column:
             _codes_of(padded, K.COUNTRY_NAMES),
             # City names are only a fallback: a clear market elsewhere rules out namesakes.
             F.when(outside, no_codes).otherwise(_codes_of(padded, K.CITY_NAMES)),
-            F.array_intersect(tokens, F.array(*[F.lit(c) for c in K.EUROPEAN_CODES])),
+            F.array_intersect(tokens, X.string_array(K.EUROPEAN_CODES)),
         )
         return F.struct(
             place["display"].alias("display"),
@@ -84,7 +82,7 @@ def geo_rejection(geo: Column) -> Column:
 
     An explicit European code overrides a non-European signal.
     """
-    european = F.array(*[F.lit(c) for c in K.EUROPEAN_CODES])
+    european = X.string_array(K.EUROPEAN_CODES)
     explicit = F.arrays_overlap(geo["country_codes"], european)
     return F.when(
         geo["non_europe_signal"] & ~explicit, F.lit(K.REASON_OUTSIDE_EUROPE)

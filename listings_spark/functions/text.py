@@ -15,7 +15,7 @@ from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,29 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def quoted(value: str) -> str:
+    """A string as SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def string_array(values) -> Column:
+    """Array literal of strings, built in one expression."""
+    return F.expr(f"array({', '.join(map(quoted, values))})")
+
+
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator that yields one row per row.
+
+    Later filters and Python functions then read the finished values. Without this boundary
+    the optimizer may copy a long expression into each place that uses it.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    bound = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*df.columns, bound.alias("_bound")).select(
+        *kept, *[F.col(f"_bound.{n}").alias(n) for n in columns]
+    )
+
+
 def decode_entities(value: Column) -> Column:
     """Decode HTML entities; only rows with an ampersand leave the JVM."""
     return F.coalesce(_unescape(F.when(value.contains("&"), value)), value)
@@ -151,20 +174,39 @@ def _folding() -> tuple[str, str, str, list[str]]:
     return "".join(single_from), "".join(single_to), "".join(multi_from), multi_to
 
 
+def _character_class(chars: str) -> str:
+    """Regex class of the given characters, written as ranges."""
+    points = sorted(map(ord, chars))
+    ranges: list[list[int]] = []
+    for point in points:
+        if ranges and point == ranges[-1][1] + 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "[" + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in ranges) + "]"
+
+
 def fold_ascii(value: Column) -> Column:
     """Reduce accented and compatibility characters to ASCII; drop what has no ASCII form."""
     single_from, single_to, multi_from, multi_to = _folding()
-    multi_class = "[" + multi_from + "]"
     expansions = F.split(F.lit("\n".join(multi_to)), "\n")
+    multi = F.lit(_character_class(multi_from))
 
     def expand(text: Column, char: Column) -> Column:
         at = F.call_function("instr", F.lit(multi_from), char) - 1
         return F.replace(text, char, F.get(expansions, at))
 
-    present = F.array_distinct(F.regexp_extract_all(value, F.lit(multi_class), F.lit(0)))
-    expanded = F.aggregate(present, value, expand)
-    single = F.translate(expanded, single_from, single_to)
-    return F.regexp_replace(single, r"[^\x00-\x7F]+", "")
+    def finish(text: Column) -> Column:
+        # What is left beyond ASCII is rare, so the wide class only sees those characters.
+        rest = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+        present = F.array_distinct(F.regexp_extract_all(rest, multi, F.lit(0)))
+        expanded = F.aggregate(present, text, expand)
+        return F.regexp_replace(expanded, r"[^\x00-\x7F]+", "")
+
+    def whole(text: Column) -> Column:
+        return F.when(F.length(text) == F.octet_length(text), text).otherwise(finish(text))
+
+    return let(F.translate(value, single_from, single_to), whole)
 
 
 def fold_key(value: Column) -> Column:
