@@ -7,12 +7,13 @@ from listings_spark.checks import (
     directory_checks,
     lifecycle_checks,
     listing_checks,
+    page_checks,
     registry_checks,
 )
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (listing_checks, directory_checks, registry_checks, collect_checks, lifecycle_checks):
+for _module in (listing_checks, directory_checks, registry_checks, collect_checks, lifecycle_checks, page_checks):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
