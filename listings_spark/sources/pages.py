@@ -270,18 +270,31 @@ def explode_cards(extracted: DataFrame) -> DataFrame:
     )
 
 
-def detail_records(details: DataFrame, page: str = "html") -> DataFrame:
-    """Detail pages with per-field fallback to their card.
+def parse_details(details: DataFrame, page: str = "html") -> DataFrame:
+    """Raw texts of each detail page in `_d`, and whether it is a block page.
 
-    Needs `listing_id`, `html`, `observed_at` and `card_title`, `card_company`,
-    `card_location`. Adds the record fields, `closed_notice`, `identity_ok` and `problem`.
+    This is the only Python step; run it once per distinct page, before joining searches.
     """
-    blocked = is_blocked(F.col(page))
-    parsed = X.bind(
+    blocked = F.coalesce(is_blocked(F.col(page)), F.lit(False))
+    return X.bind(
         details.withColumn("_blocked", blocked),
         _d=_extract_detail(F.when(~blocked, F.col(page))),
     )
 
+
+def detail_records(details: DataFrame, page: str = "html") -> DataFrame:
+    """Parsed detail pages completed with their card fields."""
+    return complete_details(parse_details(details, page))
+
+
+def complete_details(parsed: DataFrame) -> DataFrame:
+    """Records from parsed details with per-field fallback to their card.
+
+    Needs `listing_id`, `observed_at`, `card_title`, `card_company`, `card_location` and the
+    output of `parse_details`. Adds the record fields, `closed_notice`, `identity_ok` and
+    `problem`.
+    """
+
     def own(name: str) -> Column:
         return X.collapse_space(F.col(f"_d.{name}"))
 
