@@ -14,6 +14,7 @@ from listings_spark.functions import text as X
 from listings_spark.operators import collect as G
 from listings_spark.operators import quality as Q
 from listings_spark.sources import pages as P
+from listings_spark.sources.session import ensure_checkpoint_dir
 
 PAIR = ["search_slug", "listing_id"]
 
@@ -81,7 +82,14 @@ def collect_run(
     http_status) per fetched listing; `known` comes from `known_listings`. Searches commit in
     slug order from `first_seq`.
     """
-    extracted = P.search_cards(result_pages.select("search_slug", "page", "html"))
+    # Parsed pages, fetched records and decisions are each read several times below; they are
+    # written once to the shared checkpoint folder instead of being computed again.
+    ensure_checkpoint_dir(searches.sparkSession)
+    extracted = (
+        P.search_cards(result_pages.select("search_slug", "page", "html"))
+        .drop("html")
+        .checkpoint()
+    )
     cards = _allowed(P.explode_cards(extracted), searches)
     totals = G.page_totals(cards, F.col("eligible"))
     read = G.read_pages(totals, searches, first_page=0)
@@ -123,7 +131,7 @@ def collect_run(
         .when(F.col("problem").isNotNull(), "malformed")
         .when(from_card & ~known_here & ~D.posting_is_eligible(F.col("posted_at")), "too_old")
         .otherwise("observed"),
-    )
+    ).drop("age_text", "_known").checkpoint()
     gate = G.batch_gate(judged.filter(from_card), F.col("evidence") == "malformed")
     broken = (
         judged.filter("evidence = 'search_failure'")
@@ -154,7 +162,7 @@ def collect_run(
         & (F.size("_violations") == 0)
         & (F.length(F.array_join("geo.locations", "; ")).between(1, K.MAX_LOCATION))
     )
-    decided = X.bind(decided, accepted=accepted_flag)
+    decided = decided.withColumn("accepted", accepted_flag).checkpoint()
     accepted = C.discovered(decided.filter("accepted"))
 
     order = searches.select(

@@ -10,8 +10,11 @@ from listings_spark.operators import audit as U
 from listings_spark.operators import lifecycle as L
 from listings_spark.sources import tables
 from listings_spark.sources.runlog import new_commits
+from listings_spark.sources.session import ensure_checkpoint_dir
 
 STATE = ("listings", "provenance", "commits")
+# Files sorted by status and id let readers skip closed listings and look ids up.
+LAYOUT = {"listings": ("status", "listing_id"), "provenance": ("search_slug", "listing_id")}
 
 
 def merge_state(
@@ -30,6 +33,9 @@ def merge_state(
         provenance.join(touched, "listing_id", "left_semi"),
         threshold,
     )
+    # Both results read the fold; it is written once instead of being computed twice.
+    ensure_checkpoint_dir(log.sparkSession)
+    folded = folded.checkpoint()
     return (
         L.listings_from(folded).unionByName(listings.join(touched, "listing_id", "left_anti")),
         L.provenance_from(folded, threshold).unionByName(
@@ -67,14 +73,15 @@ def apply_log(
     """
     spark = log.sparkSession
     state = load_state(spark, base)
-    fresh = L.collapse_log(new_commits(log, state["commits"]))
+    ensure_checkpoint_dir(spark)
+    fresh = L.collapse_log(new_commits(log, state["commits"])).checkpoint()
     listings, provenance = merge_state(
         fresh, state["listings"], state["provenance"], threshold
     )
     commits = state["commits"].unionByName(fresh.select("run_seq").distinct())
     return tables.publish(
         {"listings": listings, "provenance": provenance, "commits": commits}, base,
-        sort_by=(),
+        sort_by=LAYOUT,
     )
 
 
@@ -92,7 +99,8 @@ def apply_audit(checks: DataFrame, base: str, observed_at) -> DataFrame:
     report = U.summary(state["listings"], audited)
     listings, provenance = U.apply_audit(state["listings"], state["provenance"], audited)
     tables.publish(
-        {"listings": listings, "provenance": provenance, "commits": state["commits"]}, base
+        {"listings": listings, "provenance": provenance, "commits": state["commits"]}, base,
+        sort_by=LAYOUT,
     )
     return report
 

@@ -247,7 +247,7 @@ def search_cards(pages: DataFrame, page: str = "html") -> DataFrame:
         )
 
     blocked = is_blocked(F.col(page))
-    found = _extract_cards(F.when(~blocked, F.col(page)))
+    found = F.coalesce(_extract_cards(F.when(~blocked, F.col(page))), F.array().cast(CARDS))
     out = X.bind(
         pages.withColumn("_blocked", blocked), _all=F.transform(found, bounded)
     )

@@ -86,10 +86,13 @@ def create_snapshot(
     spark = state["runs"].sparkSession
     key = f"{created_at:%Y%m%dT%H%M%S.%fZ}-run-{run_id}-attempt-{run_attempt}"
     folder = f"{base}/{key}"
-    if tables.exists(spark, folder):
+    if tables.read_if_present(spark.read.text, folder) is not None:
         raise ValueError(f"snapshot already exists: {key}")
     if previous_key is not None:
-        before = load_manifest(spark, base, previous_key).first()
+        manifests = tables.read_if_present(
+            lambda _: load_manifest(spark, base, previous_key), previous_key
+        )
+        before = None if manifests is None else manifests.first()
         if before is None:
             raise ValueError(f"previous snapshot does not exist: {previous_key}")
         if before["created_at"] > created_at:

@@ -1,57 +1,34 @@
-"""Whole-table replacement: a new version folder, then one pointer swap.
+"""Whole-table replacement: a new version folder, then one line in the version log.
 
-Parquet has no row-level merge, so a merged table is written as a new version. Readers follow
-the pointer file; it is replaced by one rename, so they see the old or the new version and
-never a mixture. Paths go through Hadoop's file system, so shared stores work as local ones.
+Parquet has no row-level merge, so merged tables are written as a new version. The version log
+is a small table that Spark appends one row to after the data is complete; its file appears
+at once when that write commits. Readers take the highest logged version, so they see the old
+or the new state and never a mixture. There is one writer at a time.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-POINTER = "CURRENT"
+VERSIONS = "_versions"
 
 
-def _filesystem(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    return hadoop, target.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    hadoop, fs = _filesystem(spark, path)
-    if not fs.exists(hadoop.Path(path)):
-        return None
-    rows = spark.read.text(path).limit(1).collect()
-    return rows[0][0] if rows else None
-
-
-def _write_text(spark: SparkSession, path: str, text: str, overwrite: bool) -> None:
-    """Write one short line under a temporary name, then rename it into place."""
-    hadoop, fs = _filesystem(spark, path)
-    pending = hadoop.Path(f"{path}.pending")
-    stream = fs.create(pending, True)
-    stream.write(bytearray((text + "\n").encode()))
-    stream.close()
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-        hadoop.Path(path).toUri(), spark._jsc.hadoopConfiguration()
-    )
-    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
-    options = spark._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE if overwrite else rename.NONE
-    context.rename(pending, hadoop.Path(path), options)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists in its file system."""
-    hadoop, fs = _filesystem(spark, path)
-    return fs.exists(hadoop.Path(path))
+def read_if_present(reader, path: str) -> DataFrame | None:
+    """Result of `reader(path)`, or null when nothing has been written there."""
+    try:
+        return reader(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def current_version(spark: SparkSession, base: str) -> int | None:
-    """Version the pointer names, null before the first write."""
-    text = _read_text(spark, f"{base}/{POINTER}")
-    return None if text is None else int(text)
+    """Highest complete version, null before the first write."""
+    log = read_if_present(spark.read.schema("version bigint").json, f"{base}/{VERSIONS}")
+    return None if log is None else log.agg(F.max("version")).first()[0]
 
 
 def version_path(base: str, version: int) -> str:
@@ -60,35 +37,39 @@ def version_path(base: str, version: int) -> str:
 
 
 def read_current(spark: SparkSession, base: str) -> DataFrame:
-    """Table as of the version the pointer names."""
+    """The table of the current version."""
     version = current_version(spark, base)
     if version is None:
         raise ValueError(f"no version has been written to {base}")
     return spark.read.parquet(version_path(base, version))
 
 
-def replace_table(
-    df: DataFrame, base: str, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ()
-) -> int:
-    """Write a whole new version and point to it; a failed write leaves readers unaffected."""
-    return publish({"": df}, base, partition_by, sort_by)
+def replace_table(df: DataFrame, base: str, **layout) -> int:
+    """Write a whole new version; a failed write leaves readers unaffected."""
+    return publish({"": df}, base, **layout)
 
 
 def publish(
     tables: dict[str, DataFrame],
     base: str,
-    partition_by: tuple[str, ...] = (),
-    sort_by: tuple[str, ...] = (),
+    partition_by: dict[str, tuple[str, ...]] | None = None,
+    sort_by: dict[str, tuple[str, ...]] | None = None,
 ) -> int:
-    """Replace several tables that belong together with one pointer swap."""
+    """Replace several tables that belong together in one step.
+
+    Sorting within files lets readers skip row groups by the sorted columns.
+    """
     spark = next(iter(tables.values())).sparkSession
     version = (current_version(spark, base) or 0) + 1
     for name, df in tables.items():
-        rows = df.sortWithinPartitions(*sort_by) if sort_by else df
+        order = (sort_by or {}).get(name, ())
+        parts = (partition_by or {}).get(name, ())
+        rows = df.sortWithinPartitions(*parts, *order) if order else df
         folder = version_path(base, version) + (f"/{name}" if name else "")
-        # A folder left by a writer that died before its swap is overwritten.
-        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
-    _write_text(spark, f"{base}/{POINTER}", str(version), overwrite=True)
+        # A folder left by a writer that died before logging its version is overwritten.
+        rows.write.mode("overwrite").partitionBy(*parts).parquet(folder)
+    entry = spark.createDataFrame([(version,)], "version bigint").coalesce(1)
+    entry.write.mode("append").json(f"{base}/{VERSIONS}")
     return version
 
 
