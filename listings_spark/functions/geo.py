@@ -15,11 +15,18 @@ from listings_spark.functions import text as X
 
 
 def _codes_of(padded_key: Column, names: dict[str, str]) -> Column:
-    """Codes of all names that occur as whole phrases in a padded key."""
-    rows = ", ".join(f"struct(' {n} ' AS phrase, '{c}' AS code)" for n, c in names.items())
-    table = F.expr(f"array({rows})")
-    hits = F.filter(table, lambda row: F.contains(padded_key, row["phrase"]))
-    return F.transform(hits, lambda row: row["code"])
+    """Codes of all names that occur as whole phrases in a padded key.
+
+    The look-ahead finds a name at every word, also inside a longer one ("northern ireland"
+    holds "ireland"). Names that share their first word differ in length only where they mean
+    the same country, so one hit per word is enough.
+    """
+    found = F.regexp_extract_all(
+        padded_key, F.lit(f"(?<= )(?=({'|'.join(names)}) )"), F.lit(1)
+    )
+    entries = ", ".join(f"'{name}', '{code}'" for name, code in names.items())
+    table = F.expr(f"map({entries})")
+    return F.transform(found, lambda name: F.try_element_at(table, name))
 
 
 def _place_evidence(place: Column) -> Column:

@@ -11,7 +11,6 @@ import functools
 import html
 import sys
 import unicodedata
-from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -91,35 +90,51 @@ def clean_text(value: Column) -> Column:
     return collapse_space(decode_entities(value))
 
 
-class _TextNodes(HTMLParser):
-    """Visible text nodes of a fragment, in document order."""
+# Elements whose text is not shown.
+HIDDEN_ELEMENTS = frozenset({"script", "style", "template", "rt", "rp"})
+
 
-    HIDDEN = frozenset({"script", "style", "template", "rt", "rp"})
+class OpenElements(HTMLParser):
+    """Keeps the names of open elements; an end tag closes all that it encloses."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes: list[str] = []
         self.stack: list[str] = []
-        self.open = Counter()
+        self.count: dict[str, int] = {}
+        self.hidden = 0
 
     def handle_starttag(self, tag, attrs):
         if tag not in K.VOID_ELEMENTS:
             self.stack.append(tag)
-            self.open[tag] += 1
+            self.count[tag] = self.count.get(tag, 0) + 1
+            self.hidden += tag in HIDDEN_ELEMENTS
 
     def handle_startendtag(self, tag, attrs):
         pass
 
     def handle_endtag(self, tag):
-        # An end tag closes everything opened inside its element; a stray one does nothing.
-        while self.open[tag]:
+        # A stray end tag does nothing.
+        while self.count.get(tag):
             last = self.stack.pop()
-            self.open[last] -= 1
+            self.count[last] -= 1
+            self.hidden -= last in HIDDEN_ELEMENTS
+            self.closed()
             if last == tag:
                 break
 
+    def closed(self) -> None:
+        """Called for each element that closes."""
+
+
+class _TextNodes(OpenElements):
+    """Visible text nodes of a fragment, in document order."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.nodes: list[str] = []
+
     def handle_data(self, data):
-        if not any(self.open[tag] for tag in self.HIDDEN):
+        if not self.hidden:
             self.nodes.append(data)
 
 
@@ -243,11 +258,18 @@ def display_location(value: Column) -> Column:
 
 def location_from_decoded(value: Column) -> Column:
     """`display_location` for text whose entities are already decoded."""
-    text = F.regexp_replace(collapse_space(value), r"^[ ,\-|]+|[ ,\-|]+$", "")
-    text = F.regexp_replace(text, r"(?iU)\bUK Remote\b", "Remote — United Kingdom")
-    text = F.regexp_replace(text, r"(?iU)\bU\.?K\.?(?=\b|$)", "United Kingdom")
-    text = F.regexp_replace(text, r"(?iU)\bRemote,? Europe\b", "Remote — Europe")
-    return collapse_space(text)
+
+    def respelled(text: Column) -> Column:
+        text = F.regexp_replace(text, r"(?iU)\bUK Remote\b", "Remote — United Kingdom")
+        text = F.regexp_replace(text, r"(?iU)\bU\.?K\.?(?=\b|$)", "United Kingdom")
+        text = F.regexp_replace(text, r"(?iU)\bRemote,? Europe\b", "Remote — Europe")
+        return collapse_space(text)
+
+    def shown(text: Column) -> Column:
+        # Most places hold none of the spellings; one plain test spares them the rewrites.
+        return F.when(text.rlike(r"(?iu)u\.?k|remote"), respelled(text)).otherwise(F.trim(text))
+
+    return let(F.regexp_replace(collapse_space(value), r"^[ ,\-|]+|[ ,\-|]+$", ""), shown)
 
 
 def _padded(key: Column) -> Column:

@@ -8,8 +8,6 @@ output. Cheap card tests belong before details: Spark cannot move filters past t
 from __future__ import annotations
 
 import html as entities
-from collections import Counter
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,62 +54,51 @@ DETAIL = T.StructType([
 class _Element:
     """One element with its content in document order."""
 
-    __slots__ = ("tag", "attrs", "parent", "content")
+    __slots__ = ("tag", "attrs", "parent", "content", "classes")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.parent, self.content = tag, attrs, parent, []
+        self.classes = (attrs.get("class") or "").split()
 
     def descendants(self):
-        stack = [iter(self.content)]
-        while stack:
-            for item in stack[-1]:
-                yield item
-                if isinstance(item, _Element):
-                    stack.append(iter(item.content))
-                    break
-            else:
-                stack.pop()
+        waiting = self.content[::-1]
+        while waiting:
+            item = waiting.pop()
+            yield item
+            if isinstance(item, _Element):
+                waiting.extend(reversed(item.content))
 
     def elements(self):
         return (x for x in self.descendants() if isinstance(x, _Element))
 
-    def classes(self):
-        return (self.attrs.get("class") or "").split()
-
     def text(self):
         """Visible text nodes joined by spaces."""
         nodes = [x[1] for x in self.descendants() if isinstance(x, tuple) and x[0]]
         return entities.unescape(" ".join(nodes))
 
 
-class _Tree(HTMLParser):
-    """Element tree of one page; an end tag closes everything opened inside its element."""
+class _Tree(X.OpenElements):
+    """Element tree of one page."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.root = self.here = _Element("", {}, None)
-        self.open = Counter()
 
     def handle_starttag(self, tag, attrs):
+        super().handle_starttag(tag, attrs)
         element = _Element(tag, dict(attrs), self.here)
         self.here.content.append(element)
         if tag not in K.VOID_ELEMENTS:
             self.here = element
-            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.here.content.append(_Element(tag, dict(attrs), self.here))
 
-    def handle_endtag(self, tag):
-        while self.open[tag]:
-            last, self.here = self.here.tag, self.here.parent
-            self.open[last] -= 1
-            if last == tag:
-                break
+    def closed(self):
+        self.here = self.here.parent
 
     def handle_data(self, data):
-        visible = not any(self.open[tag] for tag in X._TextNodes.HIDDEN)
-        self.here.content.append((visible, data))
+        self.here.content.append((not self.hidden, data))
 
 
 def _tree(page: str) -> _Element:
@@ -126,7 +113,7 @@ def _first_text(scope: _Element, test) -> str:
 
 
 def _has(name):
-    return lambda e: name in e.classes()
+    return lambda e: name in e.classes
 
 
 def _cards_of(page: str) -> list[dict]:
@@ -144,16 +131,16 @@ def _cards_of(page: str) -> list[dict]:
 
 def _is_place(element: _Element) -> bool:
     """A bullet in a flavor row that is the first of its kind, inside the second subline."""
-    if BULLET_CLASS not in element.classes():
+    if BULLET_CLASS not in element.classes:
         return False
     row = element.parent
     while row is not None:
-        if ROW_CLASS in row.classes() and row.parent is not None:
+        if ROW_CLASS in row.classes and row.parent is not None:
             twins = (x for x in row.parent.content if isinstance(x, _Element) and x.tag == row.tag)
             if next(twins) is row:
                 outer = row.parent
                 while outer is not None:
-                    if SUBLINE_CLASS in outer.classes():
+                    if SUBLINE_CLASS in outer.classes:
                         return True
                     outer = outer.parent
         row = row.parent
@@ -176,18 +163,18 @@ def _is_alert(element: _Element) -> bool:
     return (
         element.attrs.get("aria-live") == "assertive"
         or element.attrs.get("role") == "alert"
-        or CLOSED_CLASS in element.classes()
+        or CLOSED_CLASS in element.classes
     )
 
 
 def _detail_of(page: str) -> dict:
     root = _tree(page)
-    description = next((e for e in root.elements() if DESCRIPTION_CLASS in e.classes()), None)
+    description = next((e for e in root.elements() if DESCRIPTION_CLASS in e.classes), None)
     headings = [
-        e for e in root.elements() if e.tag in HEADING_TAGS or HEADING_CLASS in e.classes()
+        e for e in root.elements() if e.tag in HEADING_TAGS or HEADING_CLASS in e.classes
     ]
     return {
-        "title": _first_text(root, lambda e: TITLE_CLASSES & set(e.classes())),
+        "title": _first_text(root, lambda e: TITLE_CLASSES & set(e.classes)),
         "company": _first_text(root, _has(COMPANY_CLASS)),
         "location": _first_text(root, _is_place),
         "description": None if description is None else description.text(),

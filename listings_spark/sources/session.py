@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "listings", cpus: str | None = None) -> SparkSession:
@@ -39,3 +39,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="listings-checkpoint-")
     context.setCheckpointDir(shared)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work enough tasks when a scan has fewer partitions than cores.
+
+    Large inputs already have more partitions and pass unchanged, without a shuffle. Use it on
+    plain scans, where counting partitions runs no job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
