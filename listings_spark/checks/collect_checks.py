@@ -94,7 +94,7 @@ def _(spark, sf):
 
 @check(
     "cap_per_search",
-    "SELECT search_slug, listing_id, page, pos, rank FROM (SELECT *, row_number() OVER ("
+    "SELECT search_slug, listing_id, page, pos, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER ("
     "PARTITION BY search_slug ORDER BY page, pos) AS rank FROM (SELECT search_slug, listing_id,"
     " page, pos FROM (SELECT *, row_number() OVER (PARTITION BY search_slug, listing_id"
     f" ORDER BY page, pos) AS rn FROM {{cards}} WHERE {ELIGIBLE}) WHERE rn = 1)) JOIN"
@@ -120,7 +120,7 @@ def current(spark, sf):
     "WITH known AS (SELECT DISTINCT search_slug, listing_id FROM {cards} WHERE l_quantity > 20),"
     " cur AS (SELECT DISTINCT search_slug, listing_id FROM {cards} WHERE l_quantity <= 15),"
     " absent AS (SELECT k.* FROM known k ANTI JOIN cur USING (search_slug, listing_id))"
-    " SELECT search_slug, listing_id, rank FROM (SELECT *, row_number() OVER ("
+    " SELECT search_slug, listing_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER ("
     "PARTITION BY search_slug ORDER BY listing_id) AS rank FROM absent) JOIN {registry} r"
     " ON search_slug = r.slug WHERE rank <= max_rechecks",
 )

@@ -67,7 +67,7 @@ def _(spark, sf):
 
 @check(
     "latest_per_type",
-    "SELECT employment_type, listing_id, company, first_seen_at, rank FROM (SELECT *,"
+    "SELECT employment_type, listing_id, company, first_seen_at, CAST(rank AS INTEGER) AS rank FROM (SELECT *,"
     " row_number() OVER (PARTITION BY employment_type ORDER BY first_seen_at DESC,"
     f" listing_id DESC) AS rank {OPEN}) WHERE rank <= {K.PREVIEW_LIMIT}",
 )
@@ -119,15 +119,15 @@ SELECTED = ("listing_id", "company", "location", "category", "employment_type")
 
 @check(
     "facet_filter",
-    f"WITH {STORED_COUNTRIES} SELECT {', '.join(SELECTED)} {OPEN} AND category = 'data-science'"
-    " AND employment_type = 'internship' AND listing_id IN (SELECT listing_id FROM c WHERE"
+    f"WITH {STORED_COUNTRIES} SELECT {', '.join(SELECTED)} {OPEN} AND category = 'cybersecurity'"
+    " AND employment_type = 'new-grad' AND listing_id IN (SELECT listing_id FROM c WHERE"
     " country = 'Spain')",
 )
 def _(spark, sf):
     # The company is unknown, so that filter is ignored.
     rows = V.matches(
         O.open_listings(stored(spark, sf)), company="No such company", country="Spain",
-        category="data-science", employment_type="internship",
+        category="cybersecurity", employment_type="new-grad",
     )
     return rows.select(*SELECTED)
 
@@ -152,7 +152,7 @@ def _(spark, sf):
 
 @check(
     "page_of_results",
-    "SELECT listing_id, company, first_seen_at, rank FROM (SELECT *, row_number() OVER ("
+    "SELECT listing_id, company, first_seen_at, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER ("
     f"ORDER BY first_seen_at DESC, listing_id DESC) AS rank {OPEN}) WHERE rank BETWEEN 61 AND 80",
 )
 def _(spark, sf):
@@ -178,7 +178,7 @@ def _(spark, sf):
 @check(
     "reconcile",
     "SELECT listing_id, CASE WHEN status = 'open' THEN title ELSE company END AS title,"
-    " 'unexpected' AS side, 1 AS n FROM {stored} WHERE FALSE"
+    " 'unexpected' AS side, CAST(1 AS BIGINT) AS n FROM {stored} WHERE FALSE"
     " UNION ALL SELECT listing_id, title, 'missing', 1 FROM {stored}"
     " WHERE status = 'open' AND category = 'other-tech'"
     " UNION ALL SELECT listing_id, title || '!', 'unexpected', 1 FROM {stored}"

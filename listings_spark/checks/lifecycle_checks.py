@@ -112,7 +112,8 @@ final AS (SELECT l.*, s.last_seen_at, greatest(u.set_at, coalesce(r.raised, u.se
   LEFT JOIN raises r USING (listing_id)
   JOIN around a ON a.listing_id = l.listing_id AND a.run_seq = 9000000000),
 links AS (SELECT p.search_slug, p.listing_id, p.first_seen_at, p.last_seen_at,
-    p.last_seen_run_id, c.conf AS unavailable_confirmations, c.conf < {T} AS active
+    p.last_seen_run_id, CAST(c.conf AS INTEGER) AS unavailable_confirmations,
+    c.conf < {T} AS active
   FROM pairs p JOIN (SELECT DISTINCT listing_id, last_inc FROM ev) e
     ON e.listing_id = p.listing_id AND e.last_inc = p.inc
   JOIN confs c ON c.listing_id = p.listing_id AND c.inc = p.inc

@@ -147,7 +147,7 @@ gated AS (SELECT l_orderkey, count(*) FILTER (NOT good) AS malformed,
 @check(
     "pages_extract",
     f"""WITH {CARD_ROWS} SELECT l_orderkey AS page_key,
-      row_number() OVER (PARTITION BY l_orderkey ORDER BY seq) - 1 AS pos,
+      CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY seq) - 1 AS INTEGER) AS pos,
       CAST(l_partkey AS VARCHAR) AS listing_id, title, company, location,
       'https://www.linkedin.com/jobs/view/' || l_partkey AS link
     FROM judged JOIN gated USING (l_orderkey) WHERE good AND NOT rejected""",

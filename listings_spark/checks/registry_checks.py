@@ -69,18 +69,18 @@ def _(spark, sf):
 
 @check(
     "phrase_hits",
-    f"""WITH {TEXT_DICTIONARY}, texts AS (SELECT conv_id, turn, {S.key('text')} AS k
-      FROM conversations)
-    SELECT conv_id, turn, phrase, category FROM texts JOIN dictionary
+    f"""WITH {TEXT_DICTIONARY}, texts AS (SELECT doc_id, {S.key('text')} AS k
+      FROM documents)
+    SELECT doc_id, phrase, category FROM texts JOIN dictionary
       ON contains(' ' || k || ' ', ' ' || phrase || ' ')""",
 )
 def _(spark, sf):
-    texts = read(spark, sf, "conversations").select(
-        "conv_id", "turn", X.normalized_key(F.col("text")).alias("k")
+    texts = read(spark, sf, "documents").select(
+        "doc_id", X.normalized_key(F.col("text")).alias("k")
     )
     rules = P.rule_dictionary(read(spark, sf, "rules_text")).select("phrase", "category")
-    return P.phrase_hits(texts, "k", rules, keep=("conv_id", "turn")).select(
-        "conv_id", "turn", "phrase", "category"
+    return P.phrase_hits(texts, "k", rules, keep=("doc_id",)).select(
+        "doc_id", "phrase", "category"
     )
 
 

@@ -138,11 +138,11 @@ SELECT
   CASE WHEN event_type = 'signup' THEN NULL
     ELSE 's' || CAST(event_id % 4 AS STRING) END AS search_slug,
   CAST(user_id AS STRING) AS listing_id,
-  CASE WHEN event_type = 'error' THEN 'unavailable'
+  CASE WHEN event_type IN ('error', 'click') THEN 'unavailable'
     WHEN event_type <> 'signup' THEN 'observed'
     WHEN event_id % 29 = 0 THEN 'audit_unavailable'
-    WHEN event_id % 5 = 1 THEN 'audit_inconclusive'
-    ELSE 'audit_available' END AS kind
+    WHEN event_id % 5 = 1 THEN 'audit_available'
+    ELSE 'audit_inconclusive' END AS kind
 FROM {events}
 """
 
