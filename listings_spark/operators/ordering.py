@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from listings_spark import constants as K
 from listings_spark.sources.session import ensure_checkpoint_dir
 
+# Pages within this many rows are read as a top-k; each task then holds at most this many.
+TOP_ROWS = 10_000
+
 
 def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Number rows 1..n in a total order without moving them through one task.
@@ -85,6 +88,12 @@ def result_page(df: DataFrame, order: list[Column], index: int = 0, size: int =
         raise ValueError(f"page size must be one of {K.PAGE_SIZES}")
     if index < 0:
         raise ValueError("page index starts at zero")
+    if (index + 1) * size > TOP_ROWS:
+        # A deep page would make every task keep all rows before it; rank them instead.
+        ranked = with_rank(df, order)
+        first = index * size + 1
+        rows = ranked.filter(F.col("rank").between(first, first + size - 1))
+        return rows.withColumn("rank", F.col("rank").cast("int"))
     rows = df.orderBy(*order).offset(index * size).limit(size)
     # At most one page of rows is numbered here.
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)) + index * size)

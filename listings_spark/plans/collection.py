@@ -14,7 +14,7 @@ from listings_spark.functions import text as X
 from listings_spark.operators import collect as G
 from listings_spark.operators import quality as Q
 from listings_spark.sources import pages as P
-from listings_spark.sources.session import ensure_checkpoint_dir
+from listings_spark.sources.session import broadcast_if_small, ensure_checkpoint_dir
 
 PAIR = ["search_slug", "listing_id"]
 
@@ -92,7 +92,8 @@ def collect_run(
     )
     cards = _allowed(P.explode_cards(extracted), searches)
     totals = G.page_totals(cards, F.col("eligible"))
-    read = G.read_pages(totals, searches, first_page=0)
+    # At most ten pages per search: counted, then broadcast, so cards are not shuffled for it.
+    read = broadcast_if_small(G.read_pages(totals, searches, first_page=0))
     found = G.first_cards(
         G.cards_on(cards, read).filter("eligible").select(
             *PAIR, "page", "pos", "title", "company", "location"
@@ -217,4 +218,6 @@ def collect_run(
         ],
         "error_code", "error_message",
     )
-    return CollectionRun(observed_rows.unionByName(missing_rows), runs)
+    # A search yields each listing once, so the position inside a commit decides nothing here.
+    log = observed_rows.unionByName(missing_rows).withColumn("pos", F.lit(0).cast("bigint"))
+    return CollectionRun(log, runs)

@@ -140,18 +140,16 @@ def load_manifest(spark: SparkSession, base: str, key: str = "*") -> DataFrame:
 def verify_snapshot(spark: SparkSession, base: str, key: str) -> DataFrame:
     """One row naming what disagrees with the manifest; an empty list means verified."""
     copied = {name: spark.read.parquet(f"{base}/{key}/{name}") for name in TABLES}
-    actual = _overall(_contents(copied)).select(
-        F.col("sha256").alias("actual_sha256"), F.col("row_count").alias("actual_rows")
-    )
+    actual = _overall(_contents(copied)).select(F.struct("sha256", "row_count")).scalar()
     collected = _collected(copied)
     manifest = load_manifest(spark, base, key)
-    return manifest.join(F.broadcast(actual), F.lit(True)).select(
+    return manifest.withColumn("_actual", actual).select(
         "key",
         F.array_compact(
             F.array(
                 F.when(F.col("key") != key, F.lit("key")),
-                F.when(F.col("sha256") != F.col("actual_sha256"), F.lit("digest")),
-                F.when(F.col("row_count") != F.col("actual_rows"), F.lit("size")),
+                F.when(F.col("sha256") != F.col("_actual.sha256"), F.lit("digest")),
+                F.when(F.col("row_count") != F.col("_actual.row_count"), F.lit("size")),
                 F.when(
                     ~F.col("collected_at").eqNullSafe(
                         F.lit(collected).cast("timestamp_ntz")

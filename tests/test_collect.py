@@ -6,6 +6,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from listings_spark.operators import collect as G
+from listings_spark.operators.lifecycle import known_listings
+from listings_spark.plans import state as S
 from listings_spark.plans.collection import collect_run
 from test_pages import URN, card
 
@@ -67,7 +69,7 @@ def detail(title, company="Acme", age="5 days ago", place="Oslo, Norway"):
     )
 
 
-def test_collection_run(spark):
+def test_collection_run(spark, tmp_path):
     searches = spark.createDataFrame(
         [("a", 2, 50, 1, []), ("b", 1, 25, 5, ["ACME!"]), ("c", 1, 25, 0, []), ("d", 1, 25, 0, []),
          ("e", 1, 25, 0, [])],
@@ -126,6 +128,15 @@ def test_collection_run(spark):
     assert (row["title"], row["category"], row["link"]) == (
         "Cloud Intern 2027", "infrastructure", "https://www.linkedin.com/jobs/view/8"
     )
+    S.apply_log(run.log, str(tmp_path / "state"))
+    state = S.load_state(spark, str(tmp_path / "state"))
+    assert {r["listing_id"]: r["status"] for r in state["listings"].collect()} == {
+        "1": "open", "8": "open"
+    }
+    held = known_listings(state["listings"], state["provenance"]).collect()
+    assert {(r["search_slug"], r["listing_id"]) for r in held} == {
+        ("a", "1"), ("a", "8"), ("b", "1")
+    }
 
 
 def test_overrides_and_capacity(spark):

@@ -64,6 +64,13 @@ def test_latest_per_type_and_pages(listings):
     assert [(r["rank"], r["listing_id"]) for r in page.orderBy("rank").collect()] == [
         (61 + i, r["listing_id"]) for i, r in enumerate(newest[60:80])
     ]
+    deep = O.TOP_ROWS
+    try:
+        O.TOP_ROWS = 10
+        again = O.result_page(O.open_listings(listings), O.directory_order(), 3, 20)
+        assert sorted(again.collect()) == sorted(page.select(again.columns).collect())
+    finally:
+        O.TOP_ROWS = deep
     assert O.page_count(listings.limit(0)).first()["pages"] == 1
     with pytest.raises(ValueError):
         O.result_page(listings, O.directory_order(), 0, 25)
