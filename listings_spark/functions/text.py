@@ -1,8 +1,7 @@
 """Text cleaning, comparison keys and phrase matching as Spark column expressions.
 
-Everything stays in the JVM except HTML entity decoding and markup removal. Those two go
-through Arrow only for rows that hold an ampersand or an angle bracket; all other rows are
-passed as null.
+Everything stays in the JVM except markup removal, which goes through Arrow only for texts
+that hold a tag; all other rows are passed as null.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ import functools
 import html
 import sys
 import unicodedata
+from html import entities
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -24,17 +24,8 @@ from listings_spark import constants as K
 WHITESPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(values: pd.Series) -> pd.Series:
-    return values.map(html.unescape, na_action="ignore")
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _unescape_items(values: pd.Series) -> pd.Series:
-    return values.map(
-        lambda items: [None if x is None else html.unescape(x) for x in items],
-        na_action="ignore",
-    )
+# A character reference as HTML reads it: numeric, or a name of up to 32 characters.
+REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"
 
 
 def let(value: Column, body) -> Column:
@@ -69,15 +60,99 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     )
 
 
+@functools.cache
+def _named_references() -> tuple[str, str]:
+    """All named references as one searchable text, and a pattern of those that may stand
+    without a semicolon, longest first."""
+    table = "\x01" + "".join(f"{n}\x00{v}\x01" for n, v in entities.html5.items())
+    bare = sorted((n for n in entities.html5 if not n.endswith(";")), key=len, reverse=True)
+    return table, "|".join(bare)
+
+
+def _named(body: Column) -> Column:
+    """Value of a reference name, null when there is none."""
+    table, _ = _named_references()
+    at = F.call_function("instr", F.lit(table), F.concat(F.lit("\x01"), body, F.lit("\x00")))
+    tail = F.substr(F.lit(table), at + F.length(body) + 2)
+    known = body.rlike("^[A-Za-z0-9]+;?$") & (at > 0)
+    return F.when(known, F.substring_index(tail, "\x01", 1))
+
+
+def _numbered(number: Column) -> Column:
+    """Character of a numeric reference; null numbers are out of range."""
+    # References into the C1 block mean Windows-1252 characters.
+    c1 = "".join(
+        bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)
+    )
+    noncharacter = (
+        number.between(0x1, 0x8) | number.isin(0xB, 0x7F) | number.between(0xE, 0x1F)
+        | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE)
+    )
+    return (
+        F.when(
+            number.isNull() | (number == 0) | number.between(0xD800, 0xDFFF)
+            | (number > 0x10FFFF),
+            F.lit("\ufffd"),
+        )
+        .when(number.between(0x80, 0x9F), F.substr(F.lit(c1), number - 0x7F, F.lit(1)))
+        .when(noncharacter, F.lit(""))
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    )
+
+
+def _reference(reference: Column) -> Column:
+    """Text of one character reference."""
+
+    def numeric(ref: Column) -> Column:
+        hexadecimal = F.regexp_extract(ref, "^&#[xX]0*([0-9a-fA-F]*)", 1)
+        decimal = F.regexp_extract(ref, "^&#0*([0-9]*)", 1)
+        number = F.when(
+            ref.rlike("^&#[xX]"),
+            F.when(
+                F.length(hexadecimal) <= 6,
+                F.coalesce(F.conv(F.nullif(hexadecimal, F.lit("")), 16, 10), F.lit("0")),
+            ),
+        ).otherwise(
+            F.when(
+                F.length(decimal) <= 7, F.coalesce(F.nullif(decimal, F.lit("")), F.lit("0"))
+            )
+        )
+        return let(number.cast("int"), _numbered)
+
+    def named(body: Column) -> Column:
+        _, bare = _named_references()
+        prefix = F.nullif(F.regexp_extract(body, f"(?s)^({bare})(.*)$", 1), F.lit(""))
+        rest = F.regexp_extract(body, f"(?s)^({bare})(.*)$", 2)
+        return F.coalesce(
+            _named(body), F.concat(_named(prefix), rest), F.concat(F.lit("&"), body)
+        )
+
+    return (
+        F.when(reference == "&amp;", F.lit("&"))
+        .when(reference.startswith("&#"), numeric(reference))
+        .otherwise(let(F.substr(reference, F.lit(2)), named))
+    )
+
+
+def _decoded(text: Column) -> Column:
+    references = F.transform(
+        F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), _reference
+    )
+    between = F.split(text, REFERENCE, -1)
+    pieces = F.zip_with(
+        between, references, lambda t, r: F.concat(t, F.coalesce(r, F.lit("")))
+    )
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+
+
 def decode_entities(value: Column) -> Column:
-    """Decode HTML entities; only rows with an ampersand leave the JVM."""
-    return F.coalesce(_unescape(F.when(value.contains("&"), value)), value)
+    """Decode HTML character references, once, inside the JVM."""
+    return F.when(value.contains("&"), let(value, _decoded)).otherwise(value)
 
 
 def decode_entity_items(values: Column) -> Column:
-    """Decode HTML entities in every item of a string array."""
-    needed = F.exists(values, lambda x: x.contains("&"))
-    return F.coalesce(_unescape_items(F.when(needed, values)), values)
+    """Decode HTML character references in every item of a string array."""
+    return F.transform(values, _decoded)
 
 
 def collapse_space(value: Column) -> Column:
@@ -152,9 +227,13 @@ def _strip_markup(values: pd.Series) -> pd.Series:
 
 
 def html_to_text(value: Column) -> Column:
-    """Visible text of an HTML fragment; text without markup never leaves the JVM."""
-    needed = value.rlike("[<&]")
-    return collapse_space(F.coalesce(_strip_markup(F.when(needed, value)), value))
+    """Visible text of an HTML fragment; only text with a tag leaves the JVM."""
+    stripped = _strip_markup(F.when(value.contains("<"), value))
+    # Without tags, reading the fragment and cleaning its text each decode references once.
+    decoded = F.when(value.contains("&"), let(let(value, _decoded), _decoded)).otherwise(value)
+    return collapse_space(
+        F.coalesce(stripped, F.when(~value.contains("<"), decoded))
+    )
 
 
 @functools.cache

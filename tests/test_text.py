@@ -2,6 +2,7 @@ import html
 import random
 import re
 import unicodedata
+from html import entities
 
 import pytest
 
@@ -44,6 +45,19 @@ def test_clean_text(values):
     assert values(items, X.clean_text) == want
 
 
+def test_character_references(values):
+    rng = random.Random(9)
+    names = [*entities.html5, "amp", "ampx", "notit;", "copyy;", "unknown;", "lt", "l", "frac12x",
+             "#0", "#13", "#x80", "#x9f;", "#129;", "#xD800;", "#x110000;", "#99999999999;", "#11;",
+             "#xFFFE;", "#x1FFFF;", "#x1F600;", "#", "#x", "#xG", "#65", "#x41;", "&amp;amp;", "", ";",
+             "é;", "a" * 40, "#0000000000065;", "#127;", "#64976;", "amp;lt;", "x\x00y;", "#x0"]
+    items = ["&" + n for n in names]
+    items += ["".join(f"{rng.choice(['', ' ', 'x', '&', '<'])}&{rng.choice(names)}"
+              for _ in range(rng.randrange(1, 5))) for _ in range(1500)]
+    items += ["no reference", "&", "a && b", "tail &", ""]
+    assert values(items, X.decode_entities) == [html.unescape(x) for x in items]
+
+
 def test_html_to_text(values):
     items = [
         "<p>One<b>two</b></p>three", "a &lt; b", "<script>var x = '</p>';</script>Text",
