@@ -14,6 +14,9 @@ from listings_spark.checks import (
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (listing_checks, directory_checks, registry_checks, collect_checks, lifecycle_checks, page_checks):
+for _module in (
+    listing_checks, directory_checks, registry_checks, collect_checks, lifecycle_checks,
+    page_checks,
+):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
