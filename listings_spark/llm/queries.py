@@ -6,10 +6,13 @@ columns of its contract.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from listings_spark.llm import mixing, packing, sharding
-from listings_spark.llm.common import table
+from listings_spark.llm import mixing, packing, sharding, simhash, warc
+from listings_spark.llm.common import shared_folder, small_batches, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +27,22 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    return warc.page_records(warc.read_archive(spark, folder))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return simhash.near_groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", simhash.hex_print(F.col("print")).alias("fingerprint"), "component_id"
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_packing, op3_mixing)
+    for f in (op1_sharding, op2_packing, op3_mixing, op6_warc, op7_simhash)
 }
 
 ORACLES: dict[str, str] = {}
