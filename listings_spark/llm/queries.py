@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listings_spark.llm import mixing, packing, sharding, simhash, warc
+from listings_spark.llm import mixing, packing, sharding, simhash, suffix, warc
 from listings_spark.llm.common import shared_folder, small_batches, table
 
 
@@ -40,9 +40,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_packing, op3_mixing, op6_warc, op7_simhash)
+    for f in (op1_sharding, op2_packing, op3_mixing, op6_warc, op7_simhash, op10_suffix)
 }
 
 ORACLES: dict[str, str] = {}
