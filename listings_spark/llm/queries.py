@@ -11,7 +11,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listings_spark.llm import mixing, packing, sharding, simhash, suffix, warc
+from listings_spark.llm import (
+    mixing,
+    packing,
+    secrets,
+    sharding,
+    simhash,
+    sketches,
+    suffix,
+    toxicity,
+    warc,
+)
 from listings_spark.llm.common import shared_folder, small_batches, table
 
 
@@ -27,6 +37,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages"), folder)
@@ -40,6 +61,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
@@ -47,7 +73,9 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_packing, op3_mixing, op6_warc, op7_simhash, op10_suffix)
+    for f in (
+        op1_sharding, op2_packing, op3_mixing, op4_sketches, op5_toxicity, op6_warc, op7_simhash, op9_secrets, op10_suffix,
+    )
 }
 
 ORACLES: dict[str, str] = {}
