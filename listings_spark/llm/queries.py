@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listings_spark.llm import (
+    embeddings,
     mixing,
     packing,
     secrets,
@@ -61,6 +62,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return secrets.scan(table(spark, sf_dir, "documents"))
@@ -74,7 +80,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_sharding, op2_packing, op3_mixing, op4_sketches, op5_toxicity, op6_warc, op7_simhash, op9_secrets, op10_suffix,
+        op1_sharding, op2_packing, op3_mixing, op4_sketches, op5_toxicity, op6_warc, op7_simhash, op8_embeddings, op9_secrets, op10_suffix,
     )
 }
 

@@ -21,7 +21,7 @@ PARAGRAPH = re.compile(rb"[^\n.!?,;:]{1,64}[\n.!?,;:]*|[\n.!?,;:]+")
 TABLES = 3  # cells of each digest, one in each table
 FIRST = 4  # log2 of cells a table in the first attempt
 PRINTED = 2  # log2 of cells a table in the printed fingerprint
-TOGETHER = 1 << 18  # digests sketched at a time
+TOGETHER = 1 << 17  # digests sketched at a time
 SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 CHECK = np.uint64(0xD6E8FEB86659FD93)
 
@@ -138,7 +138,7 @@ def differences(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     The sketches of a pair subtract, which leaves the digests that differ; peeling recovers them.
     A pair whose peeling fails is tried again with larger sketches: at least double, and as
     many cells as the counts left in the cells suggest (their squares add up to about one for
-    each cell of each differing digest).
+    each cell of each differing digest, and no more digests can differ than both sides have).
     """
     out = np.zeros(len(left), dtype=np.int64)
     todo = np.arange(len(left))
@@ -146,7 +146,8 @@ def differences(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     while len(todo):
         a, b = [left[i] for i in todo], [right[i] for i in todo]
         gap = sketch(a, log).minus(sketch(b, log))
-        guess = np.add.reduceat(gap.count * gap.count, gap.start) / TABLES
+        total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)])
+        guess = np.minimum(np.add.reduceat(gap.count * gap.count, gap.start) / TABLES, total)
         found, done = gap.peel()
         out[todo[done]] = found[done]
         needed = np.ceil(np.log2(np.maximum(1.0, 0.5 * guess + 4))).astype(np.int64)
