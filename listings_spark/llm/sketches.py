@@ -29,16 +29,15 @@ CHECK = np.uint64(0xD6E8FEB86659FD93)
 def digests(text: bytes) -> np.ndarray:
     """Distinct digests of the paragraphs; a paragraph's second, third, ... copy has its own."""
     pieces = PARAGRAPH.findall(text)
-    digest = xxhash.xxh3_64_intdigest
+    found = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), dtype=np.uint64, count=len(pieces))
     if len(set(pieces)) == len(pieces):
-        found = map(digest, pieces)
-    else:
-        seen: Counter = Counter()
-        found = []
-        for p in pieces:
-            found.append(digest(p, seed=seen[p]))
-            seen[p] += 1
-    return np.fromiter(found, dtype=np.uint64, count=len(pieces))
+        return found
+    seen: Counter = Counter()
+    copies = np.zeros(len(pieces), dtype=np.uint64)
+    for i, p in enumerate(pieces):
+        copies[i] = seen[p]
+        seen[p] += 1
+    return found + copies * CHECK
 
 
 def _check(keys: np.ndarray) -> np.ndarray:
@@ -139,6 +138,8 @@ def differences(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     A pair whose peeling fails is tried again with larger sketches: at least double, and as
     many cells as the counts left in the cells suggest (their squares add up to about one for
     each cell of each differing digest, and no more digests can differ than both sides have).
+    Only two equal digests in one document can keep a roomy sketch from peeling; such a pair is
+    counted from the digests themselves.
     """
     out = np.zeros(len(left), dtype=np.int64)
     todo = np.arange(len(left))
@@ -151,8 +152,11 @@ def differences(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         found, done = gap.peel()
         out[todo[done]] = found[done]
         needed = np.ceil(np.log2(np.maximum(1.0, 0.5 * guess + 4))).astype(np.int64)
-        log = np.maximum(log + 1, needed)[~done]
-        todo = todo[~done]
+        stuck = ~done & (log > np.log2(total + 1) + 3)
+        for i in np.flatnonzero(stuck):
+            out[todo[i]] = len(np.setxor1d(a[i], b[i]))
+        again = ~done & ~stuck
+        log, todo = np.maximum(log + 1, needed)[again], todo[again]
     return out
 
 
