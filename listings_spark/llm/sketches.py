@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from listings_spark.llm.common import stored, whole
 
-# A paragraph is a line, cut further behind clause marks and after 64 bytes, since many texts are
-# a single line. The pieces cover the whole text.
-PARAGRAPH = re.compile(rb"[^\n.!?,;:]{1,64}[\n.!?,;:]*|[\n.!?,;:]+")
+# A paragraph is a line, cut further behind clause marks and after 32 bytes, since many texts are
+# a single short line. The pieces cover the whole text.
+PARAGRAPH = re.compile(rb"[^\n.!?,;:]{1,32}[\n.!?,;:]*|[\n.!?,;:]+")
 TABLES = 3  # cells of each digest, one in each table
 FIRST = 4  # log2 of cells a table in the first attempt
 PRINTED = 2  # log2 of cells a table in the printed fingerprint

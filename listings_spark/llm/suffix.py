@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from listings_spark.llm.anchors import WINDOW, Records, records
 from listings_spark.llm.common import stored, whole
 
-SEGMENT = 1 << 22  # bytes of context indexed together
+SEGMENT = 1 << 21  # bytes of context indexed together
+COMMON = 256  # contexts of one anchor from which their windows are compared one by one
 LAST = (1 << 63) - 1  # order of documents without id
 TOGETHER = 4000  # documents packed together
 BREAK = 0xFF  # never a byte of UTF-8
@@ -126,7 +127,7 @@ OUT = pa.schema([
     ("anchor", pa.int64()), ("first", pa.int64()), ("count", pa.int32()), ("blob", pa.binary()),
 ])
 OUT_DDL = "kind int, bucket int, doc long, twin int, anchor long, first long, count int, blob binary"
-RECORDS, SPANS, CONTEXT = 0, 1, 2  # kinds of rows
+RECORDS, SPANS, CONTEXT, LOOSE = 0, 1, 2, 3  # kinds of rows
 
 
 def _rows(n: int, **columns) -> pa.RecordBatch:
@@ -239,11 +240,12 @@ def _meets(anchor, side, doc) -> np.ndarray:
     return out
 
 
-def _bucket_batches(buckets: int):
+def _bucket_batches(buckets: int, common: int):
     """All packed records of a task's buckets to spans settled by equal contexts, and contexts.
 
     A context leaves for the index if another document has the same anchor and the same bytes on
-    one side of it; one row stands for all documents that share the context.
+    one side of it; one row stands for all documents that share the context. Contexts of an
+    anchor with very many different ones leave as loose: no task could hold them together.
     """
 
     def solve(held):
@@ -257,8 +259,9 @@ def _bucket_batches(buckets: int):
         open_ = _meets(anchor, left[rest], doc) | _meets(anchor, right[rest], doc)
         rest, anchor = rest[open_], anchor[open_]
         n = len(rest)
+        _, same, often = np.unique(anchor, return_inverse=True, return_counts=True)
         yield _rows(
-            n, kind=np.full(n, CONTEXT), doc=doc[open_], twin=twin[rest], anchor=anchor.view(np.int64),
+            n, kind=np.where(often[same] > common, LOOSE, CONTEXT), doc=doc[open_], twin=twin[rest], anchor=anchor.view(np.int64),
             first=first[rest], count=count[rest],
         )
 
@@ -316,6 +319,36 @@ def _index_batches(buckets: int):
     return run
 
 
+def _pack_batches(buckets: int):
+    """Single windows (doc, twin, first) to spans."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                doc, twin, first = [c.to_numpy() for c in batch.columns]
+                yield _span_rows(doc, twin, first, np.ones(len(doc), dtype=np.int64), buckets)
+
+    return run
+
+
+def _loose_repeats(contexts: DataFrame) -> DataFrame:
+    """(doc, twin, first) of windows in (doc, twin, first, count, context) a smaller document has.
+
+    Each window goes by its own bytes: a partial aggregate finds its least document, and the
+    join back is one that Spark can split.
+    """
+    windows = contexts.select(
+        "doc", "twin", "first", "context", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at")
+    ).select(
+        "doc", "twin", (F.col("first") + F.col("at")).alias("first"),
+        F.substring("context", F.col("at") + 1, F.lit(WINDOW)).alias("window"),
+    )
+    least = windows.groupBy(F.col("window").alias("_window")).agg(F.min("doc").alias("least"))
+    return windows.join(least, F.col("window") == F.col("_window")).filter("doc > least").select(
+        "doc", "twin", "first"
+    )
+
+
 def _cut_batches(batches):
     """Texts and their packed spans to what is left of each."""
     for batch in batches:
@@ -355,23 +388,34 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = keyed.mapInArrow(_anchor_batches(buckets), OUT_DDL)
     met = stored(
-        packed.repartitionById(buckets, "bucket").mapInArrow(_bucket_batches(buckets), OUT_DDL), "met"
+        packed.repartitionById(buckets, "bucket").mapInArrow(_bucket_batches(buckets, COMMON), OUT_DDL), "met"
     )
-    wanted = met.filter(F.col("kind") == CONTEXT).select(
-        F.col("doc").alias("_doc"), F.col("twin").alias("_twin"), "anchor", "first", "count"
+    wanted = met.filter(F.col("kind").isin(CONTEXT, LOOSE)).select(
+        "kind", F.col("doc").alias("_doc"), F.col("twin").alias("_twin"), "anchor", "first", "count"
     )
     bytes_ = F.substring(
         F.col("text").cast("binary"), (F.col("first") + 1).cast("int"), F.col("count") + WINDOW - 1
     )
-    contexts = (
-        keyed.join(wanted, (F.col("doc") == F.col("_doc")) & (F.col("twin") == F.col("_twin")))
-        .select("anchor", "doc", "twin", "first", bytes_.alias("context"))
+    here = (F.col("doc") == F.col("_doc")) & (F.col("twin") == F.col("_twin"))
+
+    def contexts(kind: int) -> DataFrame:
+        return keyed.join(wanted.filter(F.col("kind") == kind), here).select(
+            "anchor", "doc", "twin", "first", "count", bytes_.alias("context")
+        )
+
+    indexed = (
+        contexts(CONTEXT)
+        .select("anchor", "doc", "twin", "first", "context")
         .repartition("anchor")
         .sortWithinPartitions("anchor")
+        .mapInArrow(_index_batches(buckets), OUT_DDL)
     )
-    found = contexts.mapInArrow(_index_batches(buckets), OUT_DDL)
-    return met.filter(F.col("kind") == SPANS).select("doc", "twin", "blob").union(
-        found.select("doc", "twin", "blob")
+    loose = _loose_repeats(contexts(LOOSE)).mapInArrow(_pack_batches(buckets), OUT_DDL)
+    found = ["doc", "twin", "blob"]
+    return (
+        met.filter(F.col("kind") == SPANS).select(*found)
+        .union(indexed.select(*found))
+        .union(loose.select(*found))
     )
 
 

@@ -51,7 +51,9 @@ def corpus():
     return rows
 
 
-def test_whole_query(spark, corpus):
+@pytest.mark.parametrize("common", [suffix.COMMON, 1])
+def test_whole_query(spark, corpus, monkeypatch, common):
+    monkeypatch.setattr(suffix, "COMMON", common)
     docs = spark.createDataFrame([(*r, 1) for r in corpus], "doc_id long, text string, n_bytes int")
     assert sorted((tuple(r) for r in suffix.remove_repeats(docs).collect()), key=repr) == plain(corpus)
 
