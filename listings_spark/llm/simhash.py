@@ -171,24 +171,24 @@ class GrayIndex:
         new = (ones[a] ^ ones[b]) & shared & ~seen
         return spent + np.bitwise_count(new), shared
 
-    def link(self, item: np.ndarray, labels: np.ndarray, most: int) -> np.ndarray:
+    def link(self, item: np.ndarray, labels: np.ndarray, most: int, alike=None) -> np.ndarray:
         """Labels of items after linking all entries of one key within `most` bits.
 
         Nodes whose entries are all in one component already are not compared any more, so a
-        dense group costs little more than its spanning tree.
+        dense group costs little more than its spanning tree. `alike` tells which of the pairs
+        of entries that came so far link.
         """
         codes, top = self.ones[0], len(self.ones) - 1
         if top == 0:
             return labels
         inner = np.ones(len(codes), dtype=bool)
         inner[0] = False
-        step = np.arange(1, len(codes))
-        starts = np.arange(len(codes))  # neighbours in Gray order first: most links of a group
-        head = self.first[1]
-        inner[head] = False
-        step = starts[inner]
-        near = np.bitwise_count(codes[step] ^ codes[step - 1]) <= most
-        labels = _merge(labels, item[step[near]], item[step[near] - 1])
+        inner[self.first[1]] = False
+        step = np.flatnonzero(inner)  # neighbours in Gray order first: most links of a group
+        step = step[np.bitwise_count(codes[step] ^ codes[step - 1]) <= most]
+        if alike is not None:
+            step = step[alike(step, step - 1)]
+        labels = _merge(labels, item[step], item[step - 1])
         known = self.uniform(labels[item])
         roots = np.arange(len(self.ones[top]))
         zero = np.zeros(len(roots), dtype=np.uint64)
@@ -216,68 +216,105 @@ class GrayIndex:
             x, y, spent, seen = x[keep], y[keep], spent[keep], seen[keep]
             if level > 1:
                 stack.append((level - 1, x, y, spent, seen))
-            elif len(x):
+                continue
+            if alike is not None:
+                keep = alike(x, y)
+                x, y = x[keep], y[keep]
+            if len(x):
                 labels = _merge(labels, item[x], item[y])
                 known = self.uniform(labels[item])
         return labels
 
 
-def segment_links(group: np.ndarray, codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links between codes of one key, at most one for each distinct code."""
+def segment_links(
+    group: np.ndarray, codes: np.ndarray, most: int, node: np.ndarray | None = None, wide=(), close: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between nodes that meet under a key, at most one for each node.
+
+    A node is its code unless given. With `wide` prints, pairs also differ in `close` of their
+    bits at most.
+    """
+    node = codes if node is None else node
     sizes = np.diff(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])))
     shared = np.repeat(sizes > 1, sizes)
-    group, codes = group[shared], codes[shared]
+    group, codes, node, wide = group[shared], codes[shared], node[shared], [w[shared] for w in wide]
     if not len(codes):
-        return codes, codes
-    distinct, item = np.unique(codes, return_inverse=True)
-    labels = GrayIndex(group, codes).link(item, np.arange(len(distinct)), most)
+        return node, node
+
+    def alike(x, y):
+        return sum(np.bitwise_count(w[x] ^ w[y]).astype(int) for w in wide) <= close
+
+    distinct, item = np.unique(node, return_inverse=True)
+    index = GrayIndex(group, codes)
+    labels = index.link(item, np.arange(len(distinct)), most, alike if wide else None)
     linked = np.flatnonzero(labels != np.arange(len(distinct)))
     return distinct[linked], distinct[labels[linked]]
 
 
-def _link_batches(most: int):
-    def solve(masks, values, prints):
-        new = np.concatenate([[True], (masks[1:] != masks[:-1]) | (values[1:] != values[:-1])])
-        a, b = segment_links(np.cumsum(new), prints.view(np.uint64), most)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]
+def _link_batches(most: int, close: int):
+    def solve(key, value, codes, node, *wide):
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (value[1:] != value[:-1])])
+        a, b = segment_links(
+            np.cumsum(new), codes.view(np.uint64), most, node, [w.view(np.uint64) for w in wide], close
         )
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
-        held = [np.zeros(0, dtype=np.int64)] * 3
+        held = None
         for batch in batches:
-            held = [
-                np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)])
-                for i, h in enumerate(held)
-            ]
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if len(held[0]) >= SEGMENT:
                 last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
                 if len(last):
                     cut = last[-1] + 1
                     yield solve(*[h[:cut] for h in held])
                     held = [h[cut:] for h in held]
-        if len(held[0]):
+        if held is not None and len(held[0]):
             yield solve(*held)
 
     return run
 
 
-def print_links(prints: DataFrame, most: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """Links (a, b) that join all fingerprints within `most` bits, from distinct `print`s.
+def print_links(
+    nodes: DataFrame, prints: list[str], most: int = MOST_BITS, blocks: int = BLOCKS,
+    wide: tuple[str, ...] = (), close: int = 0,
+) -> DataFrame:
+    """Links (a, b) that join all nodes with a print within `most` bits, from distinct (node, ...).
 
     `most` differing bits leave blocks - most blocks whole, so two linked fingerprints meet under
     a mask of blocks on which they agree. Each task gets whole keys in Gray order and indexes them.
     Only distinct fingerprints take part; those of one key that are not alike spread over the
     keys, and those that are alike are few by count of bit patterns, not by count of documents.
+    With `wide` prints, links must also be within `close` bits of these taken together.
     """
-    masks = [F.col("print").bitwiseAND(F.lit(_signed(m))) for m in block_masks(blocks, most)]
+    masks = block_masks(blocks, most)
+    entries = F.array(*[
+        F.struct(
+            F.lit(i * len(masks) + k).cast("long").alias("key"),
+            F.col(p).bitwiseAND(F.lit(_signed(m))).alias("value"), F.col(p).alias("code"),
+        )
+        for i, p in enumerate(prints) for k, m in enumerate(masks)
+    ])
     keyed = (
-        prints.select("print", gray_rank(F.col("print")).alias("rank"), F.posexplode(F.array(*masks)))
-        .repartition("pos", "col")
-        .sortWithinPartitions("pos", "col", "rank")
-        .select(F.col("pos").cast("long").alias("mask"), F.col("col").alias("value"), "print")
+        nodes.select(F.explode(entries).alias("e"), "node", *wide)
+        .select("e.*", "node", *wide)
+        .withColumn("rank", gray_rank(F.col("code")))
+        .repartition("key", "value")
+        .sortWithinPartitions("key", "value", "rank")
+        .select("key", "value", "code", "node", *wide)
+    )
+    return keyed.mapInArrow(_link_batches(most, close), "a long, b long")
+
+
+def _component_ids(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component_id): the least `least` of the nodes that links reach."""
+    roots = components(links).withColumnRenamed("node", "_node")
+    rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").select(
+        "node", "least", F.coalesce("root", "node").alias("root")
     )
-    return keyed.mapInArrow(_link_batches(most), "a long, b long")
+    named = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
+    return rooted.join(named, F.col("root") == F.col("_root")).select("node", "component_id")
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, most: int = MOST_BITS) -> DataFrame:
@@ -290,17 +327,70 @@ def near_groups(docs: DataFrame, width: int = WIDTH, most: int = MOST_BITS) -> D
     Empty input: no rows. Other columns are ignored.
     """
     made = stored(fingerprints(docs, width), "prints")
-    nodes = stored(made.groupBy("print").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(print_links(nodes.select("print"), most))
-    rooted = nodes.join(roots, nodes["print"] == roots["node"], "left").select(
-        "print", "least", F.coalesce("root", "print").alias("root")
+    nodes = stored(
+        made.groupBy(F.col("print").alias("node")).agg(F.min("doc_id").alias("least")), "nodes"
     )
-    named = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
-    groups = rooted.join(named, F.col("root") == F.col("_root")).select(
-        F.col("print").alias("_print"), "component_id"
+    groups = _component_ids(nodes, print_links(nodes, ["node"], most))
+    return made.join(groups, F.col("print") == F.col("node")).select("doc_id", "print", "component_id")
+
+
+def _remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """The hashes of another hash function."""
+    h = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * turn % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+COPY_PRINTS = ("print0", "print1")  # of pairs of words: an edited word touches two of them
+COPY_WIDE = ("wide0", "wide1", "wide2")  # of five words, 192 bits
+COPY_WIDTHS = (2, 5)
+COPY_BITS, COPY_BLOCKS = 6, 8
+COPY_CLOSE = 32  # of the wide bits; shingle sets of similarity 0.8 differ in 29 on average
+
+
+def _copy_batches(batches):
+    for batch in batches:
+        texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
+        made = [[] for _ in range(5)]
+        for start in range(0, len(texts), 200):
+            part = texts[start : start + 200]
+            for width, turns, out in ((2, (0, 1), made[:2]), (5, (0, 1, 2), made[2:])):
+                hashes = [shingle_hashes(t, width) for t in part]
+                counts = np.array([len(h) for h in hashes], dtype=np.int64)
+                flat = np.fromiter((h for x in hashes for h in x), dtype=np.uint64, count=counts.sum())
+                for turn, prints in zip(turns, out, strict=True):
+                    prints.append(majority_bits(_remixed(flat, turn) if turn else flat, counts))
+        none = np.zeros(0, dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *[pa.array(np.concatenate([none, *m]).view(np.int64)) for m in made]],
+            names=["doc_id", *COPY_PRINTS, *COPY_WIDE],
+        )
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of near copies: shingles of five words, similarity about 0.8 or more.
+
+    Copies are retrieved by either of two fingerprints of word pairs, within COPY_BITS, through
+    the hierarchical index, and link if their wide fingerprints of five words are close as well: 32
+    of 192 bits stand for a cosine of 0.87 of the shingle counts, or a similarity of 0.77 of
+    equally large sets. `doc_id` may be any orderable column. Nulls, empty texts and ties as in
+    `near_groups`.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = [*COPY_PRINTS, *COPY_WIDE]
+    made = stored(
+        docs.select("doc_id", "text")
+        .mapInArrow(_copy_batches, f"doc_id {kind}, " + ", ".join(f"{p} long" for p in prints))
+        .withColumn("node", F.xxhash64(*prints)),
+        "prints",
+    )
+    nodes = stored(
+        made.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(p).alias(p) for p in prints]),
+        "nodes",
     )
-    return made.join(groups, F.col("print") == F.col("_print")).select(
-        "doc_id", "print", "component_id"
+    links = print_links(nodes, list(COPY_PRINTS), COPY_BITS, COPY_BLOCKS, COPY_WIDE, COPY_CLOSE)
+    return made.select("doc_id", "node").join(_component_ids(nodes, links), "node").select(
+        "doc_id", "component_id"
     )
 
 

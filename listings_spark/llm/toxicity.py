@@ -209,39 +209,60 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     return Chain(vocabulary, fit_chain(owner, columns, truth, fold, len(vocabulary)))
 
 
+class _Scorer:
+    """Probabilities of texts; built once a task, with the vocabulary split by kind of feature."""
+
+    def __init__(self, chain: Chain):
+        self.models, self.width = chain.models, len(chain.vocabulary)
+        self.words: dict[str, int] = {}
+        self.starts: dict[int, dict[str, int]] = {n: {} for n in PREFIXES}
+        for f, i in chain.vocabulary.items():
+            (self.words if f[0] == "=" else self.starts[int(f[0])])[f[1:]] = i
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        rows, columns = [], []
+        for at, text in enumerate(texts):
+            present = set(TOKEN.findall((text or "").lower()))
+            found = {self.words[w] for w in present & self.words.keys()}
+            for n, known in self.starts.items():
+                found.update(known[p] for p in {w[:n] for w in present if len(w) > n} & known.keys())
+            columns.extend(found)
+            rows.extend([at] * len(found))
+        n = len(texts)
+        rows, columns = np.array(rows, dtype=np.int64), np.array(columns, dtype=np.int64)
+        before = np.zeros((n, 0))
+        for model in self.models:
+            p = _scores(model, rows, columns, before, n) if self.width else np.full(n, _sigmoid(model.bias))
+            before = np.column_stack([before, p])
+        return before
+
+
 def _score_batches(chain: Chain):
     def run(batches):
-        width = len(chain.vocabulary)
-        by_size = [(n, {}) for n in PREFIXES]
-        words = {}
-        for f, i in chain.vocabulary.items():
-            if f[0] == "=":
-                words[f[1:]] = i
-            else:
-                dict(by_size)[int(f[0])][f[1:]] = i
+        scorer = _Scorer(chain)
         for batch in batches:
-            rows, columns = [], []
-            for at, text in enumerate(batch.column(1).to_pylist()):
-                present = set(TOKEN.findall((text or "").lower()))
-                found = {words[w] for w in present & words.keys()}
-                for n, known in by_size:
-                    found.update(known[p] for p in {w[:n] for w in present if len(w) > n} & known.keys())
-                columns.extend(found)
-                rows.extend([at] * len(found))
-            n = batch.num_rows
-            rows, columns = np.array(rows, dtype=np.int64), np.array(columns, dtype=np.int64)
-            before = np.zeros((n, 0))
-            for model in chain.models:
-                p = _scores(model, rows, columns, before, n) if width else np.full(n, _sigmoid(model.bias))
-                before = np.column_stack([before, p])
+            p = scorer(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(before[:, c]) for c in range(len(chain.models))]],
+                [batch.column(0), *[pa.array(p[:, c]) for c in range(len(chain.models))]],
                 names=["doc_id", *[f"p_{c}" for c in CHAIN]],
             )
 
     return run
 
 
+def reject(docs: DataFrame, chain: Chain) -> DataFrame:
+    """The rows of `docs`, with all their columns, that are not toxic; decided row by row."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        scorer = _Scorer(chain)
+        for batch in batches:
+            p = scorer(batch.column(at).to_pylist())[:, CHAIN.index("toxic")]
+            yield batch.filter(pa.array(p < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id, the probability of each category, and `toxic`, for every whole text.
 

@@ -112,3 +112,25 @@ def test_empty_null_ids_and_repeated_rows(spark):
     got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 4
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 7), (7, 7), (7, 7)]
+
+
+def test_near_copies_of_five_word_shingles(spark):
+    """Edited copies of similarity 0.85 and more are found, texts under 0.5 are left alone."""
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(3000)]
+    rows, source = [], {}
+    for i in range(80):
+        text = rng.choices(words, k=400)
+        rows.append((i * 10, " ".join(text)))
+        for k, edits in ((1, 0), (2, 1), (3, 4), (4, 100)):
+            other = list(text)
+            for at in rng.sample(range(0, 400, 4), edits):
+                other[at] = "edited"
+            rows.append((i * 10 + k, " ".join(other)))
+            source[i * 10 + k] = i * 10 if edits < 100 else i * 10 + k
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, node int")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == i for i, s in source.items() if s == i)
+    near = [i for i, s in source.items() if s != i]
+    assert sum(got[i] == source[i] for i in near) >= 0.97 * len(near)
