@@ -21,6 +21,7 @@ from listings_spark.llm import (
     sketches,
     suffix,
     toxicity,
+    twins,
     warc,
 )
 from listings_spark.llm.common import shared_folder, small_batches, table
@@ -84,4 +85,12 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+# Without a twin: op2 (dynamic programming), op4 and op7 (hashes that the other engine lacks), op5
+# (training), op9 (positions of matches). Tests hold these against brute force.
+ORACLES = {
+    "op1_sharding": twins.SHARDING,
+    "op3_mixing": twins.MIXING,
+    "op6_warc": twins.WARC,
+    "op8_embeddings": twins.EMBEDDINGS,
+    "op10_suffix": twins.SUFFIX,
+}

@@ -14,7 +14,7 @@ from listings_spark.llm.anchors import WINDOW, Records, records
 from listings_spark.llm.common import stored, whole
 
 SEGMENT = 1 << 21  # bytes of context indexed together
-COMMON = 256  # contexts of one anchor from which their windows are compared one by one
+COMMON = SEGMENT // 64  # contexts of one anchor that fit a segment; beyond, windows go one by one
 LAST = (1 << 63) - 1  # order of documents without id
 TOGETHER = 4000  # documents packed together
 BREAK = 0xFF  # never a byte of UTF-8
@@ -337,16 +337,16 @@ def _loose_repeats(contexts: DataFrame) -> DataFrame:
     Each window goes by its own bytes: a partial aggregate finds its least document, and the
     join back is one that Spark can split.
     """
+    window = F.substring("context", F.col("at") + 1, F.lit(WINDOW))
     windows = contexts.select(
         "doc", "twin", "first", "context", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at")
     ).select(
         "doc", "twin", (F.col("first") + F.col("at")).alias("first"),
-        F.substring("context", F.col("at") + 1, F.lit(WINDOW)).alias("window"),
-    )
-    least = windows.groupBy(F.col("window").alias("_window")).agg(F.min("doc").alias("least"))
-    return windows.join(least, F.col("window") == F.col("_window")).filter("doc > least").select(
-        "doc", "twin", "first"
+        F.xxhash64(window).alias("h"), F.xxhash64(F.lit(1), window).alias("g"),  # 128 bits stand for it
     )
+    least = windows.groupBy(F.col("h").alias("_h"), F.col("g").alias("_g")).agg(F.min("doc").alias("least"))
+    same = (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))
+    return windows.join(least, same).filter("doc > least").select("doc", "twin", "first")
 
 
 def _cut_batches(batches):
