@@ -112,13 +112,13 @@ def known(spark, sf):
 
 
 def current(spark, sf):
-    return cards(spark, sf).filter("l_quantity <= 15").select("search_slug", "listing_id")
+    return cards(spark, sf).filter("l_quantity <= 20").select("search_slug", "listing_id")
 
 
 @check(
     "absent_known",
     "WITH known AS (SELECT DISTINCT search_slug, listing_id FROM {cards} WHERE l_quantity > 20),"
-    " cur AS (SELECT DISTINCT search_slug, listing_id FROM {cards} WHERE l_quantity <= 15),"
+    " cur AS (SELECT DISTINCT search_slug, listing_id FROM {cards} WHERE l_quantity <= 20),"
     " absent AS (SELECT k.* FROM known k ANTI JOIN cur USING (search_slug, listing_id))"
     " SELECT search_slug, listing_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER ("
     "PARTITION BY search_slug ORDER BY listing_id) AS rank FROM absent) JOIN {registry} r"
@@ -166,7 +166,7 @@ def _(spark, sf):
 @check(
     "positions_union",
     "SELECT search_slug, listing_id, origin, count(*) AS n FROM (SELECT search_slug, listing_id,"
-    " 'card' AS origin FROM {cards} WHERE l_quantity <= 15 UNION ALL SELECT DISTINCT"
+    " 'card' AS origin FROM {cards} WHERE l_quantity <= 20 UNION ALL SELECT DISTINCT"
     " search_slug, listing_id, 'recheck' FROM {cards} WHERE l_quantity > 20) GROUP BY ALL",
 )
 def _(spark, sf):

@@ -16,6 +16,7 @@ from listings_spark.operators import ordering as O
 from listings_spark.operators import quality as Q
 
 QUERIES: dict = {}
+UPPER = O.ASCII_UPPER
 ORACLES: dict[str, str] = {}
 
 
@@ -43,8 +44,8 @@ def _(spark, sf):
 
 @check(
     "publication_order",
-    "SELECT listing_id, company, title, location, row_number() OVER (ORDER BY lower(company),"
-    f" lower(title), location, listing_id) AS rank {OPEN}",
+    "SELECT listing_id, company, title, location, row_number() OVER (ORDER BY translate(company,"
+    f" '{UPPER}', '{UPPER.lower()}'), translate(title, '{UPPER}', '{UPPER.lower()}'), location, listing_id) AS rank {OPEN}",
 )
 def _(spark, sf):
     rows = O.open_listings(stored(spark, sf)).select("listing_id", "company", "title", "location")

@@ -225,12 +225,21 @@ def _(spark, sf):
     return P.detail_records(detail_pages(spark, sf)).select("listing_id", "identity_ok")
 
 
+PART = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "price")
+ROW_TEXT = " || ',' || ".join(
+    f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'N')" for c in PART
+)
+
+
 @check(
     "table_digest",
-    "SELECT count(*) AS row_count, CAST(sum(d // 1048576) AS VARCHAR) AS digest_sum,"
-    " bit_xor(d) AS digest_xor FROM (SELECT CAST('0x' || substr(md5(p_partkey || '|' || p_name"
-    " || '|' || p_brand || '|' || p_type || '|' || p_size), 1, 15) AS BIGINT) AS d FROM part)",
+    "WITH hashed AS (SELECT sha256(" + ROW_TEXT + ") AS h FROM (SELECT *, CAST(p_retailprice AS"
+    " DECIMAL(15, 2)) AS price FROM part)) SELECT count(*) AS row_count,"
+    " CAST(sum(CAST('0x' || substr(h, 1, 16) AS UBIGINT)) AS VARCHAR) AS digest_high,"
+    " CAST(sum(CAST('0x' || substr(h, 17, 16) AS UBIGINT)) AS VARCHAR) AS digest_low FROM hashed",
 )
 def _(spark, sf):
-    part = read(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    return table_digest(part).select("row_count", "digest_sum", "digest_xor")
+    # The price as a decimal, which both engines write alike.
+    price = F.col("p_retailprice").cast("decimal(15,2)").alias("price")
+    part = read(spark, sf, "part").select(*PART[:-1], price)
+    return table_digest(part).select("row_count", "digest_high", "digest_low")

@@ -229,13 +229,16 @@ FROM {part}
 """
 
 
-# Phrases that do occur in the documents: opening words of the benchmark passages.
-VIEWS["rules_text"] = """
+# Phrases that do occur in the documents: the first one to eight words of the benchmark passages.
+_WORDS = "".join(
+    f" || CASE WHEN item_id % 8 >= {n} THEN '{'-' if n == 1 else ' '}' || split_part(text, ' ', {n + 1})"
+    " ELSE '' END"
+    for n in range(1, 8)
+)
+VIEWS["rules_text"] = f"""
 SELECT 'category' AS kind, 'group ' || CAST(item_id % 7 AS STRING) AS category,
-  item_id AS position,
-  split_part(text, ' ', 1) || '-' || split_part(text, ' ', 2)
-    || CASE WHEN item_id % 2 = 0 THEN ' ' || split_part(text, ' ', 3) ELSE '' END AS phrase
-FROM {benchmark}
+  item_id AS position, split_part(text, ' ', 1){_WORDS} AS phrase
+FROM {{benchmark}}
 """
 
 

@@ -6,6 +6,7 @@ Only hosts that are IP literals or hold non-ASCII characters go through Arrow.
 from __future__ import annotations
 
 import ipaddress
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -224,7 +225,23 @@ def listing_link(listing_id: Column, prefix: str = K.LISTING_URL_PREFIX) -> Colu
 def link_matches_identity(
     link: Column, listing_id: Column, prefix: str = K.LISTING_URL_PREFIX
 ) -> Column:
-    """Whether the canonical form of a link is exactly the address of its own listing."""
+    """Whether the canonical form of a link is exactly the address of its own listing.
+
+    The host is one fixed ASCII name, so plain comparisons decide and no address is resolved.
+    """
     numeric = listing_id.rlike(f"^[0-9]{{1,{K.MAX_ID_DIGITS}}}$")
-    same = canonicalize(link)["url"] == listing_link(listing_id, prefix)
-    return F.coalesce(numeric & same, F.lit(False))
+    fixed = urlsplit(prefix)
+
+    def same(parts: Column) -> Column:
+        port = parts["port"]
+        path = F.rtrim(_quote_path(parts["path"]), F.lit("/"))
+        return (
+            ~parts["empty"] & ~parts["unbalanced"] & ~parts["userinfo"]
+            & (parts["scheme"] == fixed.scheme)
+            & (F.lower(F.rtrim(parts["host"], F.lit("."))) == fixed.hostname)
+            & ((port == "") | (port.rlike("^[0-9]+$") & F.coalesce(port.try_cast("int") == 443, F.lit(False))))
+            & (path == F.concat(F.lit(fixed.path), listing_id))
+            & (canonical_query(parts["query"], ()) == "")
+        )
+
+    return F.coalesce(numeric & X.let(split_address(link), same), F.lit(False))

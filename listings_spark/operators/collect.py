@@ -104,10 +104,23 @@ def cards_on(cards: DataFrame, pages: DataFrame) -> DataFrame:
     return cards.join(pages.select("search_slug", "page"), ["search_slug", "page"], "left_semi")
 
 
+def _limits(searches: DataFrame, name: str, most: int) -> DataFrame:
+    """(search_slug, limit) of searches; a limit beyond the bound fails instead of cutting rows."""
+    refused = F.concat(F.lit("search "), F.col("slug"), F.lit(f": {name} is over {most}"))
+    return searches.select(
+        F.col("slug").alias("search_slug"),
+        F.when(F.col(name) > most, F.raise_error(refused)).otherwise(F.col(name)).alias(name),
+    )
+
+
 def cap_per_search(first: DataFrame, searches: DataFrame) -> DataFrame:
-    """First `max_results` cards of each search; no search may allow more than 250."""
+    """First `max_results` cards of each search.
+
+    A search that allows more than MAX_RESULTS fails the query. The constant bound in front of
+    the join lets every task cut its own rows first.
+    """
     arrival = Window.partitionBy("search_slug").orderBy("page", "pos", "listing_id")
-    limits = searches.select(F.col("slug").alias("search_slug"), "max_results")
+    limits = _limits(searches, "max_results", K.MAX_RESULTS)
     return (
         first.withColumn("rank", F.row_number().over(arrival))
         .filter(F.col("rank") <= K.MAX_RESULTS)
@@ -118,10 +131,13 @@ def cap_per_search(first: DataFrame, searches: DataFrame) -> DataFrame:
 
 
 def absent_known(known: DataFrame, collected: DataFrame, searches: DataFrame) -> DataFrame:
-    """Known listings missing from the current cards, smallest ids first, bounded per search."""
+    """Known listings missing from the current cards, smallest ids first, bounded per search.
+
+    A search that allows more than MAX_RECHECKS fails the query.
+    """
     absent = known.join(collected.select(*PAIR), PAIR, "left_anti")
     by_id = Window.partitionBy("search_slug").orderBy("listing_id")
-    limits = searches.select(F.col("slug").alias("search_slug"), "max_rechecks")
+    limits = _limits(searches, "max_rechecks", K.MAX_RECHECKS)
     return (
         absent.withColumn("rank", F.row_number().over(by_id))
         .filter(F.col("rank") <= K.MAX_RECHECKS)

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from listings_spark import constants as K
 from listings_spark.sources.session import ensure_checkpoint_dir
 
-# Pages within this many rows are read as a top-k; each task then holds at most this many.
-TOP_ROWS = 10_000
+ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -49,9 +48,12 @@ def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFra
 
 
 def publication_order() -> list[Column]:
-    """Company, title, location; the id makes the order total."""
-    return [F.lower("company").asc(), F.lower("title").asc(), F.col("location").asc(),
-            F.col("listing_id").asc()]
+    """Company, title, location; the id makes the order total. Case folds for A-Z only."""
+
+    def folded(name: str) -> Column:
+        return F.translate(F.col(name), ASCII_UPPER, ASCII_UPPER.lower()).asc()
+
+    return [folded("company"), folded("title"), F.col("location").asc(), F.col("listing_id").asc()]
 
 
 def directory_order() -> list[Column]:
@@ -88,12 +90,7 @@ def result_page(df: DataFrame, order: list[Column], index: int = 0, size: int =
         raise ValueError(f"page size must be one of {K.PAGE_SIZES}")
     if index < 0:
         raise ValueError("page index starts at zero")
-    if (index + 1) * size > TOP_ROWS:
-        # A deep page would make every task keep all rows before it; rank them instead.
-        ranked = with_rank(df, order)
-        first = index * size + 1
-        rows = ranked.filter(F.col("rank").between(first, first + size - 1))
-        return rows.withColumn("rank", F.col("rank").cast("int"))
+    # Spark keeps a top-k per task, or sorts by ranges where the page lies too deep for that.
     rows = df.orderBy(*order).offset(index * size).limit(size)
     # At most one page of rows is numbered here.
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)) + index * size)

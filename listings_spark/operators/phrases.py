@@ -45,51 +45,59 @@ def phrase_conflicts(dictionary: DataFrame) -> DataFrame:
     )
 
 
-def ngrams(key: Column, longest: int) -> Column:
-    """Distinct word n-grams of a key, one to `longest` words.
+def anchor_word(phrase: Column) -> Column:
+    """The longest word of a phrase (the first of these), which few texts hold."""
+    words = F.split(phrase, " ")
+    longest = F.array_max(F.transform(words, F.length))
+    return F.element_at(F.filter(words, lambda w: F.length(w) == longest), 1)
 
-    Each size extends the grams of the size before by one word, so the cost is linear in
-    the number of words.
-    """
-
-    def extend(grams: Column, words: Column, n: int) -> Column:
-        later = F.slice(words, F.lit(n), F.greatest(F.size(words) - n + 1, F.lit(0)))
-        longer = F.zip_with(grams, later, lambda g, w: F.concat(g, F.lit(" "), w))
-        return F.filter(longer, lambda g: g.isNotNull())
-
-    def from_size(grams: Column, words: Column, n: int) -> Column:
-        if n > longest:
-            return grams
-        rest = X.let(extend(grams, words, n), lambda g: from_size(g, words, n + 1))
-        return F.concat(grams, rest)
-
-    return X.let(F.split(key, " "), lambda w: F.array_distinct(from_size(w, w, 2)))
 
-
-def phrase_hits(
-    texts: DataFrame, key: str, dictionary: DataFrame, longest: int = 4, keep=()
-) -> DataFrame:
+def phrase_hits(texts: DataFrame, key: str, dictionary: DataFrame, identity: str) -> DataFrame:
     """Dictionary rows whose phrase occurs in the key, one row per text and phrase.
 
-    An equality join instead of a test per phrase, so cost does not grow with the number of
-    phrases. Spark broadcasts the dictionary only when its size allows it; otherwise both
-    sides are shuffled and frequent words are split by the skew join.
+    Phrases of any length. Distinct words of the texts meet the anchor words of the phrases in
+    an equality join; only those candidates go back to their texts for the test of the whole
+    phrase. The words are narrow rows; Spark broadcasts the dictionary when its size allows it
+    and splits frequent words by the skew join otherwise.
     """
-    grams = texts.select(*keep, F.explode(ngrams(F.col(key), longest)).alias("phrase"))
-    return grams.join(dictionary.filter(F.col("phrase").isNotNull()), "phrase")
+    phrases = dictionary.filter(F.col("phrase").isNotNull()).withColumn(
+        "_anchor", anchor_word(F.col("phrase"))
+    )
+    words = texts.select(
+        F.col(identity).alias("_id"),
+        F.explode(F.array_distinct(F.split(F.col(key), " "))).alias("_anchor"),
+    )
+    candidates = words.join(phrases, "_anchor").drop("_anchor")
+    inside = F.contains(
+        F.concat(F.lit(" "), F.col(key), F.lit(" ")),
+        F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")),
+    )
+    return (
+        texts.select(identity, key)
+        .join(candidates, F.col(identity) == F.col("_id"))
+        .filter(inside)
+        .drop("_id", key)
+    )
 
 
 def first_category_by_rules(
-    texts: DataFrame, key: str, dictionary: DataFrame, identity: str, longest: int = 4
+    texts: DataFrame, key: str, dictionary: DataFrame, identity: str, generic=K.OTHER_TECH_PHRASES
 ) -> DataFrame:
-    """Category of the lowest configured position among all matching phrases."""
-    order = dictionary.filter(F.col("kind") == "category").groupBy("category").agg(
-        F.min("position").alias("category_rank")
-    )
+    """Category of the lowest configured position among all matching phrases, for every text.
+
+    A text without a hit is "other-tech" if it holds a generic phrase and "unknown" otherwise.
+    """
+    owned = dictionary.filter((F.col("kind") == "category") & F.col("phrase").isNotNull())
+    order = owned.groupBy("category").agg(F.min("position").alias("category_rank"))
     hits = phrase_hits(
-        texts, key, dictionary.filter(F.col("kind") == "category").select("phrase", "category"),
-        longest, keep=(identity,),
+        texts, key, owned.select("phrase", "category"), identity
     ).join(order, "category")
-    return hits.groupBy(identity).agg(
+    first = hits.groupBy(F.col(identity).alias("_id")).agg(
         F.min_by("category", F.struct("category_rank", "category")).alias("category")
     )
+    fallback = F.when(X.contains_any(F.col(key), generic), F.lit("other-tech")).otherwise(
+        F.lit("unknown")
+    )
+    return texts.join(first, F.col(identity) == F.col("_id"), "left").select(
+        identity, F.coalesce("category", fallback).alias("category")
+    )

@@ -65,6 +65,30 @@ def _page_failures(
     )
 
 
+def _card_warnings(
+    extracted: DataFrame, read: DataFrame, searches: DataFrame
+) -> DataFrame:
+    """Malformed cards on every parsed page: the pages read, and the one that ended reading."""
+    reached = read.groupBy("search_slug").agg(
+        F.max("page").alias("last_page"), F.sum("new_eligible").alias("eligible_ids")
+    )
+    limits = searches.select(F.col("slug").alias("search_slug"), "max_pages", "max_results")
+    last = F.coalesce("last_page", F.lit(-1))
+    stop = (
+        (F.col("page") == last + 1)
+        & (F.coalesce("eligible_ids", F.lit(0)) < F.col("max_results"))
+        & (F.col("page") < F.col("max_pages"))
+    )
+    return (
+        extracted.filter("status = 'ok'")
+        .join(limits, "search_slug")
+        .join(reached, "search_slug", "left")
+        .filter((F.col("page") <= last) | stop)
+        .groupBy("search_slug")
+        .agg(F.sum("malformed").alias("card_warnings"))
+    )
+
+
 def collect_run(
     searches: DataFrame,
     result_pages: DataFrame,
@@ -124,15 +148,23 @@ def collect_run(
     gone = F.col("http_status").isin(*K.GONE_STATUSES)
     known_here = F.coalesce("_known", F.lit(False))
     from_card = F.col("origin") == "card"
+    fetched = fetched.withColumn(
+        "locations",
+        F.when(F.col("location") != "", F.array("location")).otherwise(
+            F.array().cast("array<string>")
+        ),
+    )
+    # A record that breaks any bound is a malformed detail, like a page without its fields.
+    fetched = X.bind(fetched, _violations=Q.record_violations())
     judged = fetched.join(seen, PAIR, "left").withColumn(
         "evidence",
         F.when(gone & known_here, "confirmation")
         .when(gone, "warning")
         .when(F.coalesce(F.col("http_status") != 200, F.lit(True)), "search_failure")
-        .when(F.col("problem").isNotNull(), "malformed")
+        .when(F.col("problem").isNotNull() | (F.size("_violations") > 0), "malformed")
         .when(from_card & ~known_here & ~D.posting_is_eligible(F.col("posted_at")), "too_old")
         .otherwise("observed"),
-    ).drop("age_text", "_known").checkpoint()
+    ).drop("age_text", "_known", "_violations").checkpoint()
     gate = G.batch_gate(judged.filter(from_card), F.col("evidence") == "malformed")
     broken = (
         judged.filter("evidence = 'search_failure'")
@@ -150,20 +182,12 @@ def collect_run(
         .agg(F.min("error_code").alias("error_code"), F.min("error_message").alias("error_message"))
     )
 
-    records = judged.filter("evidence = 'observed'").withColumn(
-        "locations",
-        F.when(F.col("location") != "", F.array("location")).otherwise(
-            F.array().cast("array<string>")
-        ),
-    )
-    records = X.bind(records, _violations=Q.record_violations())
-    decided = C.classify(records, target=target)
+    decided = C.classify(judged.filter("evidence = 'observed'"), target=target)
     accepted_flag = (
         F.col("decision.include")
-        & (F.size("_violations") == 0)
         & (F.length(F.array_join("geo.locations", "; ")).between(1, K.MAX_LOCATION))
     )
-    decided = decided.withColumn("accepted", accepted_flag).checkpoint()
+    decided = decided.withColumn("accepted", accepted_flag).drop("description").checkpoint()
     accepted = C.discovered(decided.filter("accepted"))
 
     order = searches.select(
@@ -200,12 +224,15 @@ def collect_run(
             F.count_if(
                 (F.col("evidence").isin("warning", "malformed", "too_old"))
                 | ((F.col("evidence") == "confirmation") & from_card)
-            ).alias("warning_count")
+            ).alias("detail_warnings")
         ),
+        _card_warnings(extracted, read, searches),
     )
     runs = order.join(broken, "search_slug", "left")
     for part in counts:
         runs = runs.join(part, "search_slug", "left")
+    warnings = [F.coalesce(F.col(c), F.lit(0)) for c in ("detail_warnings", "card_warnings")]
+    runs = runs.withColumn("warning_count", warnings[0] + warnings[1])
     failed = F.col("error_code").isNotNull()
     runs = runs.select(
         F.col("run_id").alias("id"), "run_seq", "search_slug",

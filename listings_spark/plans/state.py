@@ -13,6 +13,16 @@ from listings_spark.sources.runlog import new_commits
 from listings_spark.sources.session import ensure_checkpoint_dir
 
 STATE = ("listings", "provenance", "commits")
+
+
+class LateCommit(ValueError):
+    """A commit that is older than one already merged; merging it would undo the newer one."""
+
+
+class AuditConflict(ValueError):
+    """An audit that calls one listing both available and unavailable."""
+
+
 # Files sorted by status and id let readers skip closed listings and look ids up.
 LAYOUT = {"listings": ("status", "listing_id"), "provenance": ("search_slug", "listing_id")}
 
@@ -69,12 +79,17 @@ def apply_log(
     """Merge new commits into published state; commits already merged are skipped.
 
     The merged commits are published with the state by the same pointer swap, so a rerun
-    after a failure neither loses a commit nor counts a confirmation twice.
+    after a failure neither loses a commit nor counts a confirmation twice. A commit older than
+    the newest merged one is refused before anything changes.
     """
     spark = log.sparkSession
     state = load_state(spark, base)
     ensure_checkpoint_dir(spark)
     fresh = L.collapse_log(new_commits(log, state["commits"])).checkpoint()
+    newest = state["commits"].agg(F.max("run_seq")).first()[0]
+    oldest = fresh.agg(F.min("run_seq")).first()[0]
+    if newest is not None and oldest is not None and oldest < newest:
+        raise LateCommit(f"commit {oldest} comes after commit {newest} was merged")
     listings, provenance = merge_state(
         fresh, state["listings"], state["provenance"], threshold
     )
@@ -88,14 +103,22 @@ def apply_log(
 def apply_audit(checks: DataFrame, base: str, observed_at) -> DataFrame:
     """Audit the published state with page checks and publish the result.
 
-    All outcomes are known before the one change. Returns the audit summary of the state as it
-    was before.
+    All outcomes are known before the one change. Listings checked several times count once; a
+    listing with opposite outcomes refuses the whole audit. Returns the audit summary of the
+    state as it was before.
     """
     spark = checks.sparkSession
     state = load_state(spark, base)
-    audited = U.outcomes(checks).select("listing_id", "outcome").withColumn(
-        "observed_at", observed_at
-    )
+    judged = U.outcomes(checks).select("listing_id", "outcome")
+    opposite = U.conflicts(
+        judged.filter("outcome = 'available'"), judged.filter("outcome = 'unavailable'")
+    ).head(1)
+    if opposite:
+        raise AuditConflict(f"listing {opposite[0][0]} is both available and unavailable")
+    proof = F.when(F.col("outcome") == "inconclusive", 1).otherwise(0)
+    audited = judged.groupBy("listing_id").agg(
+        F.min_by("outcome", proof).alias("outcome")
+    ).withColumn("observed_at", observed_at)
     report = U.summary(state["listings"], audited)
     listings, provenance = U.apply_audit(state["listings"], state["provenance"], audited)
     tables.publish(

@@ -16,7 +16,10 @@ def effective_searches(
     max_results: int | None = None,
     max_rechecks: int | None = None,
 ) -> DataFrame:
-    """Enabled searches with overrides applied; fails when results exceed page capacity."""
+    """Enabled searches with overrides applied.
+
+    Fails when a limit is out of its bounds or results exceed page capacity.
+    """
     chosen = searches.filter("enabled")
     if slug:
         chosen = chosen.filter(F.col("slug") == slug.lower())
@@ -26,12 +29,20 @@ def effective_searches(
     limited = chosen.withColumns(
         {"_pages": pages, "_results": results, "_rechecks": rechecks}
     )
-    problem = F.concat(
-        F.lit("search "), F.col("slug"), F.lit(": effective result limit exceeds page capacity")
+
+    def refused(reason: str) -> Column:
+        return F.raise_error(F.concat(F.lit("search "), F.col("slug"), F.lit(f": {reason}")))
+
+    checked = (
+        F.when(~F.col("_pages").between(1, K.MAX_PAGES), refused("page limit is out of bounds"))
+        .when(~F.col("_results").between(1, K.MAX_RESULTS), refused("result limit is out of bounds"))
+        .when(~F.col("_rechecks").between(0, K.MAX_RECHECKS), refused("recheck limit is out of bounds"))
+        .when(
+            F.col("_results") > F.col("_pages") * K.PAGE_SIZE,
+            refused("effective result limit exceeds page capacity"),
+        )
+        .otherwise(F.col("_results"))
     )
-    checked = F.when(
-        F.col("_results") > F.col("_pages") * K.PAGE_SIZE, F.raise_error(problem)
-    ).otherwise(F.col("_results"))
     return limited.withColumns(
         {
             "max_pages": F.col("_pages").cast("int"),

@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from listings_spark.sources import tables
 
@@ -19,17 +20,27 @@ TABLES = ("searches", "runs", "listings", "provenance")
 def table_digest(df: DataFrame, name: str = "table") -> DataFrame:
     """Row count and order-free digest of a table, one aggregation.
 
-    Every row is hashed over its columns; hashes are combined by sum and by exclusive or, so
-    neither row order nor partitioning matters and repeated rows still count.
+    Every row is hashed over all its columns, each written with its length in bytes, so that no
+    two different rows read alike and null differs from empty text. Two halves of the hash are
+    summed, so neither row order nor partitioning matters and repeated rows still count.
     """
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
-    hashed = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("bigint")
-    # The sum drops the low bits so that a hundred billion rows cannot overflow it.
-    return df.select(hashed.alias("_h")).agg(
+
+    def written(name: str) -> Column:
+        column = F.col(name)
+        flat = isinstance(df.schema[name].dataType, (ArrayType, MapType, StructType))
+        text = F.to_json(column, {"ignoreNullFields": "false"}) if flat else column.cast("string")
+        return F.coalesce(F.concat(F.octet_length(text), F.lit(":"), text), F.lit("N"))
+
+    code = F.sha2(F.concat_ws(",", *[written(c) for c in df.columns]), 256)
+
+    def half(start: int) -> Column:
+        return F.sum(F.conv(F.substring(code, start, 16), 16, 10).cast("decimal(38,0)"))
+
+    return df.agg(
         F.lit(name).alias("table"),
         F.count("*").alias("row_count"),
-        F.sum(F.shiftright("_h", 20).cast("decimal(20,0)")).cast("string").alias("digest_sum"),
-        F.bit_xor("_h").alias("digest_xor"),
+        half(1).cast("string").alias("digest_high"),
+        half(17).cast("string").alias("digest_low"),
     )
 
 
@@ -50,8 +61,7 @@ def _contents(state: dict[str, DataFrame]) -> DataFrame:
 def _overall(contents: DataFrame) -> DataFrame:
     """One row over the few table digests of a snapshot."""
     entry = F.concat_ws(
-        ":", "table", "row_count", "digest_sum", F.col("digest_xor").cast("string"),
-        "schema_revision",
+        ":", "table", "row_count", "digest_high", "digest_low", "schema_revision",
     )
     joined = F.array_join(F.array_sort(F.collect_list(entry)), ",")
     return contents.agg(

@@ -11,12 +11,14 @@ from listings_spark.plans.state import apply_log
 
 
 def write_commits(log: DataFrame, path: str) -> None:
-    """Append commit rows so that each commit lies whole in one file.
+    """Append the commits of one run as one file.
 
-    A commit holds at most the results and rechecks of one search, so it always fits a task.
-    Micro-batches take whole files; write commits in commit order.
+    A stream takes files by the time they were written, which says nothing about files written
+    together; one file for each call keeps the order of calls. A run holds at most the results and
+    rechecks of its searches, so it fits a task. Call it in commit order: the merge refuses a
+    commit older than one it has merged.
     """
-    log.repartition("run_seq").write.mode("append").parquet(path)
+    log.coalesce(1).write.mode("append").parquet(path)
 
 
 def log_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 64) -> DataFrame:
@@ -38,7 +40,8 @@ def merge_stream(
     """Merge each micro-batch into published state.
 
     Inside a batch commits apply in run order. A batch that is replayed after a failure finds
-    its commits already merged and changes nothing.
+    its commits already merged and changes nothing. A late commit ends the query with its state
+    as it was.
     """
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:

@@ -14,6 +14,7 @@ from listings_spark.operators import phrases as P
 from listings_spark.operators import quality as Q
 from listings_spark.plans.directory import checked_links, directory
 from listings_spark.sources import searches as R
+from listings_spark.sources.snapshots import table_digest
 from test_lifecycle import SCHEMA, history
 
 NOW = datetime(2026, 7, 1)
@@ -64,13 +65,8 @@ def test_latest_per_type_and_pages(listings):
     assert [(r["rank"], r["listing_id"]) for r in page.orderBy("rank").collect()] == [
         (61 + i, r["listing_id"]) for i, r in enumerate(newest[60:80])
     ]
-    deep = O.TOP_ROWS
-    try:
-        O.TOP_ROWS = 10
-        again = O.result_page(O.open_listings(listings), O.directory_order(), 3, 20)
-        assert sorted(again.collect()) == sorted(page.select(again.columns).collect())
-    finally:
-        O.TOP_ROWS = deep
+    plan = plan_of(page)
+    assert "TakeOrderedAndProject" in plan or "GlobalLimit" in plan
     assert O.page_count(listings.limit(0)).first()["pages"] == 1
     with pytest.raises(ValueError):
         O.result_page(listings, O.directory_order(), 0, 25)
@@ -179,11 +175,12 @@ def test_phrase_join_equals_direct_search(spark):
     words = ["data", "cloud", "big", "site", "reliability", "x", "machine"]
     texts = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 9)))) for i in range(400)]
     phrases = [("a", "big data", 3), ("b", "cloud", 1), ("c", "site reliability x machine", 0),
-               ("a", "machine machine", 2)]
+               ("a", "machine machine", 2), ("b", "natural language processing and speech", 4)]
+    texts += [(400, "on natural language processing and speech today"), (401, "")]
     df = spark.createDataFrame(texts, "i int, k string")
     rules = spark.createDataFrame(phrases, "category string, phrase string, position int")
     rules = P.rule_dictionary(rules.withColumn("kind", F.lit("category")))
-    got = {(r["i"], r["phrase"]) for r in P.phrase_hits(df, "k", rules, keep=("i",)).collect()}
+    got = {(r["i"], r["phrase"]) for r in P.phrase_hits(df, "k", rules, "i").collect()}
     assert got == {(i, p) for i, k in texts for _, p, _ in phrases if f" {p} " in f" {k} "}
     first = {r["i"]: r["category"]
              for r in P.first_category_by_rules(df, "k", rules, "i").collect()}
@@ -191,11 +188,37 @@ def test_phrase_join_equals_direct_search(spark):
     want = {}
     for i, k in texts:
         hit = [c for c, p, _ in phrases if f" {p} " in f" {k} "]
-        if hit:
-            want[i] = min(hit, key=ranks.get)
+        want[i] = min(hit, key=ranks.get, default="unknown")
     assert first == want
 
 
+def test_limits_over_the_bound_fail(spark):
+    cards = spark.range(400).selectExpr(
+        "'s' AS search_slug", "CAST(id AS STRING) AS listing_id", "0 AS page", "id AS pos"
+    )
+    for most, works in ((250, True), (251, False)):
+        searches = spark.createDataFrame(
+            [("s", most, most)], "slug string, max_results int, max_rechecks int"
+        )
+        none = cards.filter("false")
+        for rows in (G.cap_per_search(cards, searches), G.absent_known(cards, none, searches)):
+            if works:
+                assert rows.count() == 250
+            else:
+                with pytest.raises(Exception, match="is over 250"):
+                    rows.collect()
+
+
+def test_digest_tells_separators_and_nulls_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), ("a,1:b", "c"), (None, ""), ("", None), (None, None), ("", "")]
+    found = {
+        tuple(table_digest(spark.createDataFrame([r], "x string, y string")).first()) for r in rows
+    }
+    assert len(found) == len(rows)
+    nested = spark.createDataFrame([([1, None],), ([1],)], "x array<int>")
+    assert table_digest(nested).first()["row_count"] == 2
+
+
 def test_rule_dictionary_refuses_unusable_phrases(spark):
     rows = [("category", "a", 0, "Cloud &amp; Co"), ("category", "a", 1, "cloud co"),
             ("category", "b", 2, "cloud-co"), ("category", "b", 3, "漢字"),

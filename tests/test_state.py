@@ -1,8 +1,10 @@
 """Published state, replays, streams, audits from pages, snapshots."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from listings_spark.functions.cascade import classify
@@ -36,6 +38,41 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     assert as_dicts(state["listings"], state["provenance"]) == (jobs, links)
 
 
+def test_late_commits_are_refused_and_change_nothing(spark, tmp_path):
+    base, path = str(tmp_path / "state"), str(tmp_path / "log")
+    log = log_of(spark, history(5, commits=12, listings=4))
+    S.apply_log(log.filter("run_seq between 6 and 11"), base)
+    before = sorted(S.load_state(spark, base)["listings"].collect(), key=str)
+    with pytest.raises(S.LateCommit):
+        S.apply_log(log.filter("run_seq < 6"), base)
+    assert sorted(S.load_state(spark, base)["listings"].collect(), key=str) == before
+    for low, high in ((0, 3), (8, 11), (4, 7)):  # the last call comes too late
+        M.write_commits(log.filter(F.col("run_seq").between(low, high)), path)
+        time.sleep(0.05)
+    streamed = str(tmp_path / "streamed")
+    query = M.merge_stream(
+        M.log_stream(spark, path, log.schema, files_per_trigger=1), streamed, str(tmp_path / "check")
+    )
+    with pytest.raises(StreamingQueryException, match="LateCommit"):
+        query.awaitTermination()
+    S.apply_log(log.filter("run_seq < 4 or run_seq > 7"), str(tmp_path / "batch"))
+    for name in ("listings", "provenance"):
+        left, right = (
+            sorted(S.load_state(spark, b)[name].collect(), key=str) for b in (streamed, str(tmp_path / "batch"))
+        )
+        assert left == right
+
+
+def test_audit_refuses_opposite_outcomes(spark, tmp_path):
+    rows = [("1", 200, False, 200, True), ("1", 404, None, None, None)]
+    checks = spark.createDataFrame(
+        rows, "listing_id string, public_status int, closed_notice boolean, detail_status int,"
+        " identity_ok boolean",
+    )
+    with pytest.raises(S.AuditConflict):
+        S.apply_audit(checks, str(tmp_path), F.expr("timestamp_ntz'2026-01-01 00:00:00'"))
+
+
 def test_batches_merge_into_untouched_state(spark, tmp_path):
     rows = history(32, commits=20, listings=5)
     jobs, links, _ = replay(rows, 2)
