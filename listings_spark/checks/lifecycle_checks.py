@@ -9,6 +9,7 @@ from listings_spark.operators import audit as U
 from listings_spark.operators import directory as V
 from listings_spark.operators import lifecycle as L
 from listings_spark.operators import quality as Q
+from listings_spark.sources.session import ensure_checkpoint_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -130,7 +131,9 @@ def folded(spark, sf):
 
 
 def state(spark, sf):
-    events = folded(spark, sf)
+    # Both tables, and all that reads them again, come from one fold.
+    ensure_checkpoint_dir(spark)
+    events = folded(spark, sf).checkpoint()
     return L.listings_from(events), L.provenance_from(events, T)
 
 

@@ -9,6 +9,7 @@ from listings_spark.checks import (
     listing_checks,
     page_checks,
     registry_checks,
+    state_checks,
 )
 
 QUERIES: dict = {}
@@ -16,7 +17,7 @@ ORACLES: dict[str, str] = {}
 
 for _module in (
     listing_checks, directory_checks, registry_checks, collect_checks, lifecycle_checks,
-    page_checks,
+    page_checks, state_checks,
 ):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

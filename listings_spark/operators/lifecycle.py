@@ -375,8 +375,12 @@ def merge(
     provenance: DataFrame | None = None,
     threshold: int = K.CLOSURE_CONFIRMATIONS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New listings, new provenance and per-commit counters for one slice of commits."""
-    folded = fold(log, listings, provenance, threshold)
+    """New listings, new provenance and per-commit counters for one slice of commits.
+
+    All three read one fold, which is written once to the shared checkpoint folder.
+    """
+    ensure_checkpoint_dir(log.sparkSession)
+    folded = fold(log, listings, provenance, threshold).checkpoint()
     return listings_from(folded), provenance_from(folded, threshold), counters_from(folded)
 
 
@@ -390,8 +394,12 @@ def replay(
     commits_per_slice: int = COMMITS_PER_SLICE,
 ) -> tuple[DataFrame, DataFrame]:
     """Fold a long history slice by slice, so no listing ever holds more rows than a slice
-    has commits. State between slices is checkpointed in the shared folder."""
+    has commits. State between slices is checkpointed in the shared folder. Commits outside the
+    given bounds fail the replay."""
     ensure_checkpoint_dir(log.sparkSession)
+    outside = log.filter(~F.col("run_seq").between(first_seq, last_seq)).select("run_seq").head(1)
+    if outside:
+        raise ValueError(f"commit {outside[0][0]} is outside {first_seq} to {last_seq}")
     for start in range(first_seq, last_seq + 1, commits_per_slice):
         part = log.filter(F.col("run_seq").between(start, start + commits_per_slice - 1))
         listings, provenance, _ = merge(part, listings, provenance, threshold)

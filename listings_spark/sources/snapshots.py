@@ -14,6 +14,7 @@ from listings_spark.sources import tables
 FORMAT_VERSION = 1
 RETENTION_POLICY = "calendar-days"
 MAX_RETENTION_DAYS = 3650
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # to the microsecond, as the tables hold it
 TABLES = ("searches", "runs", "listings", "provenance")
 
 
@@ -130,7 +131,9 @@ def create_snapshot(
             "source"
         ),
     )
-    manifest.write.mode("errorifexists").json(f"{folder}/manifest")
+    manifest.write.mode("errorifexists").option("timestampNTZFormat", TIME_FORMAT).json(
+        f"{folder}/manifest"
+    )
     return key
 
 
@@ -144,7 +147,8 @@ MANIFEST = (
 
 def load_manifest(spark: SparkSession, base: str, key: str = "*") -> DataFrame:
     """Manifest of one snapshot, or of all of them."""
-    return spark.read.schema(MANIFEST).json(f"{base}/{key}/manifest")
+    reader = spark.read.schema(MANIFEST).option("timestampNTZFormat", TIME_FORMAT)
+    return reader.json(f"{base}/{key}/manifest")
 
 
 def verify_snapshot(spark: SparkSession, base: str, key: str) -> DataFrame:
