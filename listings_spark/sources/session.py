@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,19 @@ def local_session(app: str = "listings", cpus: str | None = None) -> SparkSessio
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to executors that do not have it installed.
+
+    Python functions are sent by reference, so workers must be able to import them.
+    """
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="listings-package-")  # of the driver; Spark copies the file
+    archive = shutil.make_archive(
+        f"{folder}/{package.name}", "zip", root_dir=package.parent, base_dir=package.name
+    )
+    spark.sparkContext.addPyFile(archive)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the session names; fall back to a local one only in local mode."""
     context = spark.sparkContext
