@@ -200,6 +200,10 @@ class OpenElements(HTMLParser):
     def closed(self) -> None:
         """Called for each element that closes."""
 
+    def updatepos(self, i, j):
+        """Line numbers are never asked for; counting them costs a scan of all text."""
+        return j
+
 
 class _TextNodes(OpenElements):
     """Visible text nodes of a fragment, in document order."""

@@ -40,7 +40,11 @@ def matches(
     category: str | None = None,
     employment_type: str | None = None,
 ) -> DataFrame:
-    """Filtered listings; a requested value that no listing has is ignored."""
+    """Filtered listings; a requested value that no listing has is ignored.
+
+    One job asks for all requested values at once and returns one row; the filters are then plain
+    and reach the scan.
+    """
     tests: list[Column] = []
     if query.strip():
         tests.append(X.text_search([F.col(c) for c in SEARCHED], query))
@@ -53,10 +57,9 @@ def matches(
         wanted["country"] = F.array_contains(A.countries(F.col("location")), country)
     if category:
         wanted["category"] = F.col("category") == category
-    for test in wanted.values():
-        # A scalar subquery answers whether the option exists; nothing is collected.
-        offered = listings.filter(test).limit(1).agg(F.count("*")).scalar()
-        tests.append((offered == 0) | test)
+    if wanted:
+        offered = listings.agg(*[F.bool_or(test).alias(name) for name, test in wanted.items()]).first()
+        tests += [test for name, test in wanted.items() if offered[name]]
     out = listings
     for test in tests:
         out = out.filter(test)

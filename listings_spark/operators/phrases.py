@@ -45,6 +45,32 @@ def phrase_conflicts(dictionary: DataFrame) -> DataFrame:
     )
 
 
+LISTS = ("internship", "new_grad", "seniority")
+
+
+def rule_literals(dictionary: DataFrame, most: int = K.MAX_PHRASES_PER_LIST) -> dict:
+    """Phrase lists of a dictionary as arguments for `cascade.classify`.
+
+    Kinds are "category" and those of LISTS; a kind without phrases keeps its default. Meant for
+    configured rules: a list of more than `most` phrases is refused before anything is collected,
+    and texts then meet the dictionary by `phrase_hits`. Categories come in configured order.
+    """
+    usable = dictionary.filter(
+        F.col("phrase").isNotNull() & F.col("kind").isin("category", *LISTS)
+    )
+    largest = usable.groupBy("kind", "category").count().agg(F.max("count"), F.count("*")).first()
+    if (largest[0] or 0) > most or largest[1] > most:
+        raise ValueError(f"a rule list holds more than {most} phrases or categories")
+    rows = usable.orderBy("position", "category", "phrase").collect()
+    found: dict = {}
+    for row in rows:
+        if row["kind"] == "category":
+            found.setdefault("categories", {}).setdefault(row["category"], []).append(row["phrase"])
+        else:
+            found.setdefault(row["kind"], []).append(row["phrase"])
+    return found
+
+
 def anchor_word(phrase: Column) -> Column:
     """The longest word of a phrase (the first of these), which few texts hold."""
     words = F.split(phrase, " ")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listings_spark import constants as K
+from listings_spark.functions import arrays as A
 from listings_spark.functions import text as X
 from listings_spark.functions import urls as U
 
@@ -60,13 +61,8 @@ def constraint_report(listings: DataFrame, provenance: DataFrame, runs: DataFram
     )
 
 
-def seen_order_report(listings: DataFrame) -> DataFrame:
-    """Listings last seen before they were first seen."""
-    return listings.filter(F.col("last_seen_at") < F.col("first_seen_at")).select("listing_id")
-
-
-def record_violations() -> Column:
-    """Names of the bounds a raw record breaks."""
+def record_violations(with_start_date: bool = False) -> Column:
+    """Names of the bounds a raw record breaks; texts and places are measured as cleaned."""
 
     def text_rule(name: str, longest: int) -> list[Column]:
         cleaned = X.clean_text(F.col(name))
@@ -78,26 +74,27 @@ def record_violations() -> Column:
     def optional_rule(name: str, longest: int) -> Column:
         return F.when(F.length(F.col(name)) > longest, F.lit(f"{name}.length"))
 
+    start = [optional_rule("start_date", K.MAX_START_DATE)] if with_start_date else []
+
     numeric = F.col("listing_id").rlike(f"^[0-9]{{1,{K.MAX_ID_DIGITS}}}$")
-    places = F.col("locations")
     return F.array_compact(
-        F.array(
+        F.concat(F.array(
             F.when(~F.coalesce(numeric, F.lit(False)), F.lit("listing_id.pattern")),
             *text_rule("company", K.MAX_COMPANY),
             *text_rule("title", K.MAX_TITLE),
-            F.when(F.size(places) > K.MAX_LOCATIONS, F.lit("locations.count")),
-            F.when(
-                F.exists(places, lambda p: F.length(p) > K.MAX_LOCATION),
-                F.lit("locations.length"),
-            ),
+        ), A.list_violations(F.col("locations")), F.array(
             F.when(F.length("link") > K.MAX_URL, F.lit("link.length")),
             F.when(
                 ~U.link_matches_identity(F.col("link"), F.col("listing_id")),
                 F.lit("link.identity"),
             ),
             optional_rule("description", K.MAX_DESCRIPTION),
-            optional_rule("industries", K.MAX_INDUSTRIES),
-        )
+            F.when(
+                F.length(X.clean_text(F.col("industries"))) > K.MAX_INDUSTRIES,
+                F.lit("industries.length"),
+            ),
+            *start,
+        ))
     )
 
 

@@ -27,8 +27,12 @@ class CollectionRun:
     runs: DataFrame
 
 
-def _allowed(cards: DataFrame, searches: DataFrame) -> DataFrame:
+def _allowed(cards: DataFrame, searches: DataFrame, rules: dict) -> DataFrame:
     """Cards with `eligible`: the company is admitted and the title names the right kind."""
+    terms = [
+        rules.get("internship", K.PREFILTER_INTERNSHIP_TERMS),
+        rules.get("new_grad", K.PREFILTER_NEW_GRAD_TERMS),
+    ]
     allow = searches.select(
         F.col("slug").alias("search_slug"),
         F.transform("company_names", X.fold_key).alias("_allow"),
@@ -36,7 +40,7 @@ def _allowed(cards: DataFrame, searches: DataFrame) -> DataFrame:
     company = (F.size("_allow") == 0) | F.array_contains("_allow", X.fold_key(F.col("company")))
     return (
         cards.join(allow, "search_slug")
-        .withColumn("eligible", company & X.title_allowed(F.col("title")))
+        .withColumn("eligible", company & X.title_allowed(F.col("title"), *terms))
         .drop("_allow")
     )
 
@@ -98,13 +102,15 @@ def collect_run(
     run_prefix: str,
     observed_at: Column,
     target: int = K.TARGET_CYCLE,
+    rules: dict | None = None,
 ) -> CollectionRun:
     """Evaluate all searches over already fetched documents.
 
     `searches` are effective searches with `company_names`; `result_pages` has
     (search_slug, page, html) with pages from 0; `details` has one (listing_id, html,
     http_status) per fetched listing; `known` comes from `known_listings`. Searches commit in
-    slug order from `first_seq`.
+    slug order from `first_seq`. `rules` come from `phrases.rule_literals`; they decide both the
+    title test of cards and the classification.
     """
     # Parsed pages, fetched records and decisions are each read several times below; they are
     # written once to the shared checkpoint folder instead of being computed again.
@@ -114,7 +120,8 @@ def collect_run(
         .drop("html")
         .checkpoint()
     )
-    cards = _allowed(P.explode_cards(extracted), searches)
+    rules = rules or {}
+    cards = _allowed(P.explode_cards(extracted), searches, rules)
     totals = G.page_totals(cards, F.col("eligible"))
     # At most ten pages per search: counted, then broadcast, so cards are not shuffled for it.
     read = broadcast_if_small(G.read_pages(totals, searches, first_page=0))
@@ -155,7 +162,7 @@ def collect_run(
         ),
     )
     # A record that breaks any bound is a malformed detail, like a page without its fields.
-    fetched = X.bind(fetched, _violations=Q.record_violations())
+    fetched = X.bind(fetched, _violations=Q.record_violations(with_start_date=True))
     judged = fetched.join(seen, PAIR, "left").withColumn(
         "evidence",
         F.when(gone & known_here, "confirmation")
@@ -182,7 +189,9 @@ def collect_run(
         .agg(F.min("error_code").alias("error_code"), F.min("error_message").alias("error_message"))
     )
 
-    decided = C.classify(judged.filter("evidence = 'observed'"), target=target)
+    decided = C.classify(
+        judged.filter("evidence = 'observed'"), target=target, **rules
+    )
     accepted_flag = (
         F.col("decision.include")
         & (F.length(F.array_join("geo.locations", "; ")).between(1, K.MAX_LOCATION))

@@ -25,6 +25,7 @@ CARD_FIELDS = {
     "company": "base-search-card__subtitle",
     "location": "job-search-card__location",
 }
+FIELD_OF = {css: name for name, css in CARD_FIELDS.items()}
 TITLE_CLASSES = {"top-card-layout__title", "topcard__title"}
 COMPANY_CLASS = "topcard__org-name-link"
 SUBLINE_CLASS = "top-card-layout__second-subline"
@@ -108,24 +109,33 @@ def _tree(page: str) -> _Element:
     return parser.root
 
 
-def _first_text(scope: _Element, test) -> str:
-    return next((e.text() for e in scope.elements() if test(e)), "")
+def _first_text(elements, test) -> str:
+    return next((e.text() for e in elements if test(e)), "")
 
 
 def _has(name):
     return lambda e: name in e.classes
 
 
+def _card_of(node: _Element) -> dict:
+    """Fields of a card: for each the first element of its class, in one walk."""
+    found = {"urn": node.attrs[URN_ATTRIBUTE]}
+    for element in node.elements():
+        for css in element.classes:
+            name = FIELD_OF.get(css)
+            if name and name not in found:
+                found[name] = element.text()
+        if len(found) > len(CARD_FIELDS):
+            break
+    return {**dict.fromkeys(CARD_FIELDS, ""), **found}
+
+
 def _cards_of(page: str) -> list[dict]:
-    nodes = [
-        e for e in _tree(page).elements() if K.LISTING_URN in (e.attrs.get(URN_ATTRIBUTE) or "")
-    ]
+    if URN_ATTRIBUTE not in page.lower():  # names of attributes are never escaped
+        return []
     return [
-        {
-            "urn": node.attrs[URN_ATTRIBUTE],
-            **{name: _first_text(node, _has(css)) for name, css in CARD_FIELDS.items()},
-        }
-        for node in nodes
+        _card_of(e) for e in _tree(page).elements()
+        if K.LISTING_URN in (e.attrs.get(URN_ATTRIBUTE) or "")
     ]
 
 
@@ -151,7 +161,7 @@ def _criterion(heading: _Element) -> str:
     def is_value(element):
         return element.tag == "dd" or VALUE_CLASS_PART in (element.attrs.get("class") or "")
 
-    value = _first_text(heading.parent, is_value)
+    value = _first_text(heading.parent.elements(), is_value)
     if value.strip():
         return value
     siblings = [x for x in heading.parent.content if isinstance(x, _Element)]
@@ -168,19 +178,18 @@ def _is_alert(element: _Element) -> bool:
 
 
 def _detail_of(page: str) -> dict:
-    root = _tree(page)
-    description = next((e for e in root.elements() if DESCRIPTION_CLASS in e.classes), None)
-    headings = [
-        e for e in root.elements() if e.tag in HEADING_TAGS or HEADING_CLASS in e.classes
-    ]
+    every = list(_tree(page).elements())
+    classed = [e for e in every if e.classes]
+    description = next((e for e in classed if DESCRIPTION_CLASS in e.classes), None)
+    headings = [e for e in every if e.tag in HEADING_TAGS or HEADING_CLASS in e.classes]
     return {
-        "title": _first_text(root, lambda e: TITLE_CLASSES & set(e.classes)),
-        "company": _first_text(root, _has(COMPANY_CLASS)),
-        "location": _first_text(root, _is_place),
+        "title": _first_text(classed, lambda e: not TITLE_CLASSES.isdisjoint(e.classes)),
+        "company": _first_text(classed, _has(COMPANY_CLASS)),
+        "location": _first_text(classed, _is_place),
         "description": None if description is None else description.text(),
-        "age": _first_text(root, _has(AGE_CLASS)),
+        "age": _first_text(classed, _has(AGE_CLASS)),
         "criteria": [{"heading": h.text(), "value": _criterion(h)} for h in headings],
-        "alerts": [e.text() for e in root.elements() if _is_alert(e)],
+        "alerts": [e.text() for e in every if _is_alert(e)],
     }
 
 

@@ -85,3 +85,36 @@ def test_filter_on_decision_computes_rules_once(spark):
     )
     plan = C.classify(df).filter("decision.include")._jdf.queryExecution().optimizedPlan()
     assert plan.toString().count("industrial placement") == 1
+
+
+def test_rules_from_a_table_classify_like_their_literals(spark):
+    from listings_spark import constants as K
+    from listings_spark.functions.cascade import classify
+    from listings_spark.operators import phrases as P
+
+    lists = {"internship": K.INTERNSHIP_PHRASES, "new_grad": K.NEW_GRAD_PHRASES, "seniority": K.SENIORITY_PHRASES}
+    rows = [(kind, None, i, p) for kind, phrases in lists.items() for i, p in enumerate(phrases)]
+    at = 0
+    for category, phrases in K.CATEGORY_PHRASES.items():
+        for p in phrases:
+            rows.append(("category", category, at, p))
+            at += 1
+    rules = P.rule_literals(
+        P.rule_dictionary(spark.createDataFrame(rows, "kind string, category string, position int, phrase string"))
+    )
+    titles = ["Data Science Intern", "Senior Intern", "Graduate Programme Finance", "Intern", "Trainee, Cloud 2027"]
+    raw = spark.createDataFrame(
+        [(str(i), t, "Python and big data", ["Madrid, Spain"], None) for i, t in enumerate(titles)],
+        "listing_id string, title string, description string, locations array<string>, posted_at timestamp_ntz",
+    )
+    assert classify(raw, **rules).collect() == classify(raw).collect()
+    only = [("category", "harps", 0, "harp tuning and quiet stage rehearsal work")]
+    own = P.rule_literals(
+        P.rule_dictionary(spark.createDataFrame(only, "kind string, category string, position int, phrase string"))
+    )
+    assert own == {"categories": {"harps": [only[0][3]]}}
+    many = [("seniority", None, i, f"word{i}") for i in range(K.MAX_PHRASES_PER_LIST + 1)]
+    with pytest.raises(ValueError, match="more than"):
+        P.rule_literals(
+            P.rule_dictionary(spark.createDataFrame(many, "kind string, category string, position int, phrase string"))
+        )
