@@ -139,6 +139,54 @@ def test_collection_run(spark, tmp_path):
     }
 
 
+def test_invalid_details_and_card_warnings(spark):
+    """A record that breaks any bound is a malformed detail; malformed cards of all parsed pages warn."""
+    def listed(*ids):
+        return "".join(card(URN + (i if i.isdigit() else "none"), "Software Intern") for i in ids)
+
+    def with_industries(size):
+        return detail("Software Intern 2027") + (
+            '<ul><li><h3 class="description__job-criteria-subheader">Industries</h3>'
+            f'<span class="description__job-criteria-text">{"x" * size}</span></li></ul>'
+        )
+
+    searches = spark.createDataFrame(
+        [("f", 3, 50, 0, []), ("g", 1, 25, 0, []), ("h", 1, 25, 0, [])],
+        "slug string, max_pages int, max_results int, max_rechecks int, company_names array<string>",
+    )
+    pages = spark.createDataFrame(
+        [
+            ("f", 0, listed("1", "2", "3", "x")), ("f", 1, listed("1", "2", "x", "4")),
+            ("f", 2, listed("1", "2", "x")),  # nothing new: parsed, then reading ends
+            ("g", 0, listed("5", "6")), ("h", 0, listed("1", "x")),
+        ],
+        "search_slug string, page int, html string",
+    )
+    details = spark.createDataFrame(
+        [(i, with_industries(n), 200) for i, n in
+         (("1", 500), ("2", 10), ("3", 10), ("4", 501), ("5", 501), ("6", 501))],
+        "listing_id string, html string, http_status int",
+    )
+    known = spark.createDataFrame(
+        [], "search_slug string, listing_id string, company string, title string, location string,"
+        " link string",
+    )
+    run = collect_run(
+        searches, pages, details, known, first_seq=1, run_prefix="run",
+        observed_at=F.lit(NOW).cast("timestamp_ntz"),
+    )
+    runs = {
+        r["search_slug"]: (r["status"], r["error_code"], r["accepted_count"], r["excluded_count"], r["warning_count"])
+        for r in run.runs.collect()
+    }
+    assert runs["f"] == ("success", None, 3, 0, 4)
+    assert runs["g"][:2] == ("failed", "invalid_html")
+    assert runs["h"] == ("success", None, 1, 0, 1)
+    assert {(r["search_slug"], r["listing_id"]) for r in run.log.collect()} == {
+        ("f", "1"), ("f", "2"), ("f", "3"), ("h", "1")
+    }
+
+
 def test_overrides_and_capacity(spark):
     import pytest
 
