@@ -12,7 +12,8 @@ from listings_spark.sources import tables
 from listings_spark.sources.runlog import new_commits
 from listings_spark.sources.session import ensure_checkpoint_dir
 
-STATE = ("listings", "provenance", "commits")
+STATE = ("listings", "provenance")
+BUCKETS = 64  # of a new state; large states take more, so that a bucket stays a few tasks' work
 
 
 class LateCommit(ValueError):
@@ -68,36 +69,62 @@ def _empty(spark: SparkSession) -> dict[str, DataFrame]:
     return {name: spark.createDataFrame([], schema) for name, schema in schemas.items()}
 
 
-def load_state(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    """Published state, or empty tables before the first publication."""
-    return tables.read_published(spark, base, STATE) or _empty(spark)
+def load_state(
+    spark: SparkSession, base: str, only: list[int] | None = None
+) -> dict[str, DataFrame]:
+    """Published state, or some of its buckets; empty tables before the first publication."""
+    now, empty = tables.manifest(spark, base), _empty(spark)
+    state = {name: tables.read_buckets(spark, base, name, now, only) for name in STATE}
+    state["commits"] = tables.read_whole(spark, base, "commits", now)
+    return {name: empty[name] if df is None else df for name, df in state.items()}
+
+
+def _buckets(spark: SparkSession, base: str, buckets: int) -> int:
+    """Number of buckets of the state; it is fixed by the first publication."""
+    return tables.manifest(spark, base).get("buckets", buckets)
+
+
+def _touched(rows: DataFrame, buckets: int) -> list[int]:
+    """Buckets of the listings in `rows`; at most `buckets` numbers reach the driver."""
+    found = rows.select(tables.bucket_of("listing_id", buckets).alias("b")).distinct().collect()
+    return sorted(r["b"] for r in found)
+
+
+def _publish(
+    listings: DataFrame, provenance: DataFrame, commits: DataFrame, base: str,
+    touched: list[int], buckets: int,
+) -> int:
+    """Publish the touched buckets and the narrow table of merged commits in one step."""
+    return tables.publish_buckets(
+        {"listings": listings, "provenance": provenance}, base, "listing_id", touched, buckets,
+        sort_by=LAYOUT, whole={"commits": commits},
+    )
 
 
 def apply_log(
-    log: DataFrame, base: str, threshold: int = K.CLOSURE_CONFIRMATIONS
+    log: DataFrame, base: str, threshold: int = K.CLOSURE_CONFIRMATIONS, buckets: int = BUCKETS
 ) -> int:
     """Merge new commits into published state; commits already merged are skipped.
 
     The merged commits are published with the state by the same pointer swap, so a rerun
     after a failure neither loses a commit nor counts a confirmation twice. A commit older than
-    the newest merged one is refused before anything changes.
+    the newest merged one is refused before anything changes. Only the buckets of listings that
+    the commits mention are read and rewritten.
     """
     spark = log.sparkSession
-    state = load_state(spark, base)
     ensure_checkpoint_dir(spark)
+    state = load_state(spark, base, only=[])
     fresh = L.collapse_log(new_commits(log, state["commits"])).checkpoint()
     newest = state["commits"].agg(F.max("run_seq")).first()[0]
     oldest = fresh.agg(F.min("run_seq")).first()[0]
     if newest is not None and oldest is not None and oldest < newest:
         raise LateCommit(f"commit {oldest} comes after commit {newest} was merged")
-    listings, provenance = merge_state(
-        fresh, state["listings"], state["provenance"], threshold
-    )
+    buckets = _buckets(spark, base, buckets)
+    touched = _touched(fresh, buckets)
+    held = load_state(spark, base, only=touched)
+    listings, provenance = merge_state(fresh, held["listings"], held["provenance"], threshold)
     commits = state["commits"].unionByName(fresh.select("run_seq").distinct())
-    return tables.publish(
-        {"listings": listings, "provenance": provenance, "commits": commits}, base,
-        sort_by=LAYOUT,
-    )
+    return _publish(listings, provenance, commits, base, touched, buckets)
 
 
 def apply_audit(checks: DataFrame, base: str, observed_at) -> DataFrame:
@@ -120,11 +147,11 @@ def apply_audit(checks: DataFrame, base: str, observed_at) -> DataFrame:
         F.min_by("outcome", proof).alias("outcome")
     ).withColumn("observed_at", observed_at)
     report = U.summary(state["listings"], audited)
-    listings, provenance = U.apply_audit(state["listings"], state["provenance"], audited)
-    tables.publish(
-        {"listings": listings, "provenance": provenance, "commits": state["commits"]}, base,
-        sort_by=LAYOUT,
-    )
+    buckets = _buckets(spark, base, BUCKETS)
+    touched = _touched(audited, buckets)
+    held = load_state(spark, base, only=touched)
+    listings, provenance = U.apply_audit(held["listings"], held["provenance"], audited)
+    _publish(listings, provenance, state["commits"], base, touched, buckets)
     return report
 
 

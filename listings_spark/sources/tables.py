@@ -8,8 +8,10 @@ or the new state and never a mixture. There is one writer at a time.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSIONS = "_versions"
@@ -80,3 +82,99 @@ def read_published(spark: SparkSession, base: str, names: tuple[str, ...]) -> di
         return {}
     folder = version_path(base, version)
     return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+
+
+BUCKET = "state_bucket"
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    """Bucket of a row by a hash of its key."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def manifest(spark: SparkSession, base: str) -> dict:
+    """What the current version holds: its number of buckets and, for every table, the version
+    that each filled bucket was last written in. Empty before the first publication."""
+    log = read_if_present(
+        spark.read.schema("version bigint, manifest string").json, f"{base}/{VERSIONS}"
+    )
+    newest = None if log is None else log.agg(F.max_by("manifest", "version")).first()[0]
+    return json.loads(newest) if newest else {}
+
+
+def publish_buckets(
+    tables: dict[str, DataFrame],
+    base: str,
+    key: str,
+    touched: list[int],
+    buckets: int,
+    sort_by: dict[str, tuple[str, ...]] | None = None,
+    whole: dict[str, DataFrame] | None = None,
+) -> int:
+    """Replace the touched buckets of several tables in one step; all others keep their files.
+
+    `tables` hold the whole new content of the touched buckets; tables in `whole` are replaced. A version's folder has only what
+    that version wrote; the version log says where every bucket lives, so readers see one state and
+    never a mixture. Large buckets are written by several tasks.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    before = manifest(spark, base)
+    version = (current_version(spark, base) or 0) + 1
+    held = {name: dict(before.get("tables", {}).get(name, {})) for name in tables}
+    for name, df in tables.items():
+        folder = f"{version_path(base, version)}/{name}"
+        order = [BUCKET, *(sort_by or {}).get(name, ())]
+        rows = df.withColumn(BUCKET, bucket_of(key, buckets))
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(
+            "overwrite"
+        ).partitionBy(BUCKET).parquet(folder)
+        written = spark.read.schema(rows.schema).parquet(folder).select(BUCKET).distinct().collect()
+        filled = {r[0] for r in written}  # one number for each touched bucket at most
+        for bucket in touched:
+            held[name].pop(str(bucket), None)
+        held[name].update({str(b): version for b in filled})
+    for name, df in (whole or {}).items():
+        df.write.mode("overwrite").parquet(f"{version_path(base, version)}/{name}")
+    text = json.dumps(
+        {"buckets": buckets, "tables": held, "whole": dict.fromkeys(whole or {}, version)}
+    )
+    entry = spark.createDataFrame([(version, text)], "version bigint, manifest string").coalesce(1)
+    entry.write.mode("append").json(f"{base}/{VERSIONS}")
+    return version
+
+
+def read_buckets(
+    spark: SparkSession, base: str, name: str, now: dict, only: list[int] | None = None
+) -> DataFrame | None:
+    """A table of the state that manifest `now` describes, or some of its buckets; null if empty."""
+    held = now.get("tables", {}).get(name, {})
+    chosen = held if only is None else {b: v for b, v in held.items() if int(b) in set(only)}
+    paths = [
+        f"{version_path(base, v)}/{name}/{BUCKET}={b}" for b, v in sorted(chosen.items())
+    ]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def read_whole(spark: SparkSession, base: str, name: str, now: dict) -> DataFrame | None:
+    """A table that every version holds whole; null before the first publication."""
+    version = now.get("whole", {}).get(name)
+    return None if version is None else spark.read.parquet(f"{version_path(base, version)}/{name}")
+
+
+def drop_old_versions(spark: SparkSession, base: str, keep: int = 2) -> list[int]:
+    """Delete version folders that none of the last `keep` versions refers to."""
+    log = spark.read.schema("version bigint, manifest string").json(f"{base}/{VERSIONS}")
+    rows = log.orderBy(F.desc("version")).limit(keep).collect()
+    used = {r["version"] for r in rows}
+    for row in rows:
+        for held in json.loads(row["manifest"] or "{}").get("tables", {}).values():
+            used.update(held.values())
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    dropped = []
+    for entry in files.listStatus(root):
+        name = entry.getPath().getName()
+        if name[0] == "v" and name[1:].isdigit() and int(name[1:]) not in used:
+            files.delete(entry.getPath(), True)
+            dropped.append(int(name[1:]))
+    return sorted(dropped)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from listings_spark import constants as K
 from listings_spark.functions.cascade import classify
 from listings_spark.operators import lifecycle as L
 from listings_spark.plans import state as S
@@ -38,6 +39,36 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     assert as_dicts(state["listings"], state["provenance"]) == (jobs, links)
 
 
+def test_untouched_buckets_keep_their_files(spark, tmp_path):
+    base = str(tmp_path / "state")
+    rows = history(7, commits=12, listings=6)
+    S.apply_log(log_of(spark, [r for r in rows if r[0] < 6]), base, buckets=8)
+    first = tables.manifest(spark, base)
+    held = S.load_state(spark, base)  # a reader that began before the next publication
+    one = rows[-1][1]
+    later = [r for r in rows if r[0] >= 6 and r[1] == one]
+    S.apply_log(log_of(spark, later), base, buckets=99)  # the first publication fixed the number
+    second = tables.manifest(spark, base)
+    (touched,) = S._touched(log_of(spark, later), 8)
+    assert second["buckets"] == 8
+    for name in S.STATE:
+        moved = {b for b, v in second["tables"][name].items() if first["tables"][name].get(b) != v}
+        assert moved <= {str(touched)}
+    jobs, links, _ = replay([r for r in rows if r[0] < 6], K.CLOSURE_CONFIRMATIONS)
+    assert as_dicts(held["listings"], held["provenance"]) == (jobs, links)
+    jobs, links, _ = replay([r for r in rows if r[0] < 6] + later, K.CLOSURE_CONFIRMATIONS)
+    state = S.load_state(spark, base)
+    assert as_dicts(state["listings"], state["provenance"]) == (jobs, links)
+    assert tables.drop_old_versions(spark, base, keep=2) == []
+    every = [r for r in rows if r[0] >= 6 and r[1] != one]
+    renumbered = [(r[0] + 100, *r[1:]) for r in every]
+    S.apply_log(log_of(spark, renumbered), base)
+    tables.drop_old_versions(spark, base, keep=1)
+    assert S.load_state(spark, base)["listings"].count() == len(
+        replay([r for r in rows if r[0] < 6] + later + renumbered, K.CLOSURE_CONFIRMATIONS)[0]
+    )
+
+
 def test_late_commits_are_refused_and_change_nothing(spark, tmp_path):
     base, path = str(tmp_path / "state"), str(tmp_path / "log")
     log = log_of(spark, history(5, commits=12, listings=4))
@@ -153,7 +184,7 @@ def test_audit_from_pages(spark, tmp_path):
         empty["provenance"].schema,
     )
     base = str(tmp_path / "state")
-    tables.publish({"listings": listings, "provenance": links, "commits": empty["commits"]}, base)
+    S._publish(listings, links, empty["commits"], base, list(range(S.BUCKETS)), S.BUCKETS)
     public = spark.createDataFrame(
         [("1", 200, "<p>ok</p>"), ("2", 404, None), ("3", 503, None),
          ("4", 200, "<p>unusual activity</p>"),
