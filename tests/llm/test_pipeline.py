@@ -82,3 +82,22 @@ def test_stages_on_no_documents(spark, corpus):
     none = spark.createDataFrame([], DDL)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, corpus[0]).collect() == []
+
+
+def test_stages_on_null_and_repeated_rows(spark, corpus):
+    """Rows without id, text or source pass every stage; wholly repeated rows count once as copies."""
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, text, None, None, None), (None, text, None, None, None), (None, None, "en", "a", 0)]
+    rows += [(7, "some other text of six words", "en", None, None)] * 3 + [(7, "a different row", "en", "a", 1)]
+    given = spark.createDataFrame(rows, DDL)
+    kept = corpus_pipeline.drop_near_copies(spark, given, corpus[0]).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == {
+        (None, text): 1, (None, None): 1, (7, rows[3][1]): 1, (7, "a different row"): 1
+    }
+    mixed = corpus_pipeline.mix_sources(spark, given, corpus[0]).collect()
+    assert mixed and {tuple(r) for r in mixed} <= set(rows)
+    assert max(Counter(tuple(r) for r in mixed).values()) <= 3 * 3
+    for _, stage in corpus_pipeline.STAGES:
+        made = stage(spark, given, corpus[0])
+        given = spark.createDataFrame(made.collect(), made.schema)
+    assert given.count() > 0
