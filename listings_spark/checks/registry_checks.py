@@ -98,6 +98,28 @@ def _(spark, sf):
     return limited.select("slug", "max_pages", "max_results", "max_rechecks")
 
 
+@check(
+    "search_violations",
+    f"""SELECT slug, array_to_string(list_filter([
+      CASE WHEN NOT regexp_full_match(slug, '[a-z0-9]+(-[a-z0-9]+)*') THEN 'slug.pattern' END,
+      CASE WHEN length(slug) > 100 THEN 'slug.length' END,
+      CASE WHEN length(name) NOT BETWEEN 1 AND 200 THEN 'name.length' END,
+      CASE WHEN length(keywords) NOT BETWEEN 2 AND 300 THEN 'keywords.length' END,
+      CASE WHEN length(location) NOT BETWEEN 1 AND 200 THEN 'location.length' END,
+      CASE WHEN date_posted NOT IN {K.DATE_POSTED} THEN 'date_posted.value' END,
+      CASE WHEN workplace NOT IN {K.WORKPLACES} THEN 'workplace.value' END,
+      CASE WHEN max_pages NOT BETWEEN 1 AND {K.MAX_PAGES} THEN 'max_pages.range' END,
+      CASE WHEN max_results NOT BETWEEN 1 AND {K.MAX_RESULTS} THEN 'max_results.range' END,
+      CASE WHEN max_results > max_pages * {K.PAGE_SIZE} THEN 'max_results.pages' END,
+      CASE WHEN max_rechecks NOT BETWEEN 0 AND {K.MAX_RECHECKS} THEN 'max_rechecks.range' END,
+      CASE WHEN {S.key('name')} IN ('example', 'example search') THEN 'name.placeholder' END],
+      lambda x: x IS NOT NULL), '|') AS violations FROM {{registry_faulty}}""",
+)
+def _(spark, sf):
+    faulty = read(spark, sf, "registry_faulty")
+    return faulty.select("slug", F.array_join(R.search_violations(), "|").alias("violations"))
+
+
 @check("group_counts", "SELECT grp, count(*) AS searches FROM {registry} GROUP BY grp")
 def _(spark, sf):
     return read(spark, sf, "registry").groupBy("grp").agg(F.count("*").alias("searches"))

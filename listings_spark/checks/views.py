@@ -212,6 +212,20 @@ SELECT
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
 """
 
+# Search definitions with faults spread over them.
+VIEWS["registry_faulty"] = """
+SELECT
+  CASE WHEN s_suppkey % 11 = 0 THEN slug || '_X' ELSE slug END AS slug,
+  CASE WHEN s_suppkey % 13 = 0 THEN 'Example  search' ELSE name END AS name,
+  CASE WHEN s_suppkey % 17 = 0 THEN 'x' ELSE keywords END AS keywords, location,
+  CASE WHEN s_suppkey % 5 = 1 THEN 'year' ELSE date_posted END AS date_posted,
+  CASE WHEN s_suppkey % 7 = 1 THEN 'moon' ELSE workplace END AS workplace,
+  CAST(max_pages + s_suppkey % 9 AS INT) AS max_pages,
+  CAST(max_results + 60 * (s_suppkey % 5) AS INT) AS max_results,
+  CAST(max_rechecks + 60 * (s_suppkey % 6) AS INT) AS max_rechecks
+FROM {registry}
+"""
+
 # The state before a sync: a third of the searches is new, the rest has older settings.
 VIEWS["registry_state"] = """
 SELECT

@@ -14,7 +14,7 @@ from listings_spark.functions import text as X
 from listings_spark.operators import collect as G
 from listings_spark.operators import quality as Q
 from listings_spark.sources import pages as P
-from listings_spark.sources.session import broadcast_if_small, ensure_checkpoint_dir
+from listings_spark.sources.session import ensure_checkpoint_dir
 
 PAIR = ["search_slug", "listing_id"]
 
@@ -123,8 +123,8 @@ def collect_run(
     rules = rules or {}
     cards = _allowed(P.explode_cards(extracted), searches, rules)
     totals = G.page_totals(cards, F.col("eligible"))
-    # At most ten pages per search: counted, then broadcast, so cards are not shuffled for it.
-    read = broadcast_if_small(G.read_pages(totals, searches, first_page=0))
+    # At most ten pages per search; as stored rows their real size decides how Spark joins them.
+    read = G.read_pages(totals, searches, first_page=0).checkpoint()
     found = G.first_cards(
         G.cards_on(cards, read).filter("eligible").select(
             *PAIR, "page", "pos", "title", "company", "location"

@@ -8,7 +8,6 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(app: str = "listings", cpus: str | None = None) -> SparkSession:
@@ -66,14 +65,3 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """Broadcast a narrow table after counting it; a larger one is joined by shuffling.
-
-    For results that are bounded in practice but whose size Spark only estimates from their
-    inputs. The rows are checkpointed first, so counting does not compute them twice.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    kept = df.checkpoint()
-    return F.broadcast(kept) if kept.count() <= most_rows else kept
