@@ -12,8 +12,8 @@ WITH crc_table AS (
 ), summed AS (
   SELECT doc_id, size,
     xor(list_reduce(
-      list_prepend(4294967295::BIGINT, list_transform(range(size - 1), lambda i:
-        ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+      list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(x, '..'), lambda b:
+        ('0x' || b)::BIGINT)),
       lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS text_crc32
   FROM sized, crc_table
 ), placed AS (
@@ -125,10 +125,14 @@ FROM embeddings LEFT JOIN named ON vec_id = a
 SUFFIX = """
 WITH told AS (
   SELECT doc_id, hex(coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS n FROM documents
+), pieces AS (
+  SELECT doc_id, n, part * 256 AS start, substr(x, part * 512 + 1, 2 * (256 + 49)) AS piece
+  FROM (SELECT *, unnest(range((n + 255) // 256)) AS part FROM told)
 ), spread AS (
-  SELECT doc_id, x, n, unnest(range(n)) AS pos FROM told
+  SELECT *, unnest(range(least(256, n - start))) AS inside FROM pieces
 ), windows AS (
-  SELECT doc_id, pos, CASE WHEN pos + 50 <= n THEN substr(x, 2 * pos + 1, 100) END AS s, substr(x, 2 * pos + 1, 2) AS byte
+  SELECT doc_id, start + inside AS pos, substr(piece, 2 * inside + 1, 2) AS byte,
+    CASE WHEN start + inside + 50 <= n THEN substr(piece, 2 * inside + 1, 100) END AS s
   FROM spread
 ), firsts AS (
   SELECT s, min(doc_id) AS least FROM windows WHERE s IS NOT NULL GROUP BY s
