@@ -17,7 +17,8 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # whole runs, of 16 or more
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
 # Words that announce a credential, and identifiers common in code and settings.
 SENSITIVE = re.compile(
@@ -65,18 +66,34 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(packer.compress(candidate.encode())) - len(packer.compress(b""))
 
 
+def candidates(text: str, base: list[Span]):
+    """For each run of candidate characters its (start, end) outside the base spans, best first.
+
+    The value alone, after the last '=' that is no padding, comes before the run with its name; the
+    name may announce the value, as may the text in front of the run.
+    """
+    for m in CANDIDATE.finditer(text):
+        first, end = m.span()
+        value = first + m[0].rstrip("=").rfind("=") + 1
+        yield [
+            (start, end)
+            for start in sorted({value, first}, reverse=True)
+            if end - start >= LEAST
+            and MIXED.match(text, start, end)
+            and SENSITIVE.search(text, max(0, first - BEFORE), start)
+            and not any(s.start < end and start < s.end for s in base)
+        ]
+
+
 def novel_spans(text: str, base: list[Span]) -> list[Span]:
     """Candidates outside the base spans that stand in a sensitive context and do not compress."""
     found = []
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        if not MIXED.match(m[0]) or not SENSITIVE.search(text, max(0, start - BEFORE), start):
-            continue
-        if any(s.start < end and start < s.end for s in base):
-            continue
-        around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-        if marginal_bytes(m[0], around) >= NOVEL * (end - start):
-            found.append(Span(start, 3, end))
+    for spans in candidates(text, base):
+        for start, end in spans:
+            around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
+            if marginal_bytes(text[start:end], around) >= NOVEL * (end - start):
+                found.append(Span(start, 3, end))
+                break
     return found
 
 

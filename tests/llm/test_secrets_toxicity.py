@@ -56,6 +56,17 @@ def test_novelty_depends_on_the_surroundings():
     assert secrets.novel_spans(f"a flower {secret}", []) == []
 
 
+def test_values_joined_to_their_names():
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEKEY"
+    for line in (f"AWS_SECRET_ACCESS_KEY={value}", "PRIVATE_KEY=Zx81kLmQ09vbTr55wEuP", f"x\nA=1\nSIGN_KEY={value[:30]}=="):
+        start = line.rindex("KEY=") + 4
+        assert secrets.novel_spans(line, []) == [(start, 3, len(line))]
+        assert secrets.masked(line, "[removed]") == line[:start] + "[removed]"
+    assert secrets.novel_spans(f"FLOWER={value}", []) == []
+    whole = "the key A_NAME_OF_IT=Zx81kLmQ09v"  # the value alone is too short
+    assert secrets.novel_spans(whole, []) == [(8, 3, len(whole))]
+
+
 def test_mask(spark):
     rows = [(1, TEXTS[2], 5), (2, None, None), (3, "clean", 99), (4, TEXTS[7], 1)]
     got = {
