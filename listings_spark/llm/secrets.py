@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from typing import NamedTuple
 
@@ -36,7 +37,16 @@ IDENTIFIERS = (
 )
 AROUND = 512  # characters of text on each side that prime the compressor
 BEFORE = 64  # characters in front of a candidate that may announce it
-NOVEL = 0.75  # marginal bytes per byte from which a candidate counts as incompressible
+NOVEL = 0.75  # marginal bytes per byte from which a candidate counts as incompressible: six bits
+# Alphabets of encodings that hold less, with the bits a random character of theirs has.
+ALPHABETS = [
+    (re.compile(pattern), math.log2(size))
+    for pattern, size in (
+        (r"(0x)?([0-9A-F]+([_-][0-9A-F]+)*|[0-9a-f]+([_-][0-9a-f]+)*)", 16), (r"[0-9A-Fa-f]+", 22),
+        (r"([A-Z2-7]+|[a-z2-7]+)=*", 32), (r"[A-Z0-9]+|[a-z0-9]+", 36), (r"[A-Za-z0-9]+", 62),
+    )
+]
+NO_DASHES = str.maketrans("", "", "_=-")
 
 
 class Span(NamedTuple):
@@ -66,6 +76,14 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(packer.compress(candidate.encode())) - len(packer.compress(b""))
 
 
+def least_bytes(candidate: str) -> float:
+    """Marginal bytes from which a candidate counts as incompressible, by its own alphabet."""
+    for alphabet, bits in ALPHABETS:
+        if alphabet.fullmatch(candidate):
+            return bits / 8 * len(candidate.translate(NO_DASHES))
+    return NOVEL * len(candidate)
+
+
 def candidates(text: str, base: list[Span]):
     """For each run of candidate characters its (start, end) outside the base spans, best first.
 
@@ -91,12 +109,60 @@ def novel_spans(text: str, base: list[Span]) -> list[Span]:
     for spans in candidates(text, base):
         for start, end in spans:
             around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-            if marginal_bytes(text[start:end], around) >= NOVEL * (end - start):
+            if marginal_bytes(text[start:end], around) >= least_bytes(text[start:end]):
                 found.append(Span(start, 3, end))
                 break
     return found
 
 
+def without(value: str, text: str, low: int, high: int) -> str:
+    """The text from low to high less all copies of a value, also those that reach across an end."""
+    parts, reach = [], high + len(value) - 1
+    at = text.find(value, max(0, low - len(value) + 1), reach)
+    while at >= 0:
+        parts.append(text[low:at])
+        low = at + len(value)
+        at = text.find(value, low, reach)
+    return "".join([*parts, text[low:high]])
+
+
+def secret_spans(text: str, base: list[Span]) -> list[Span]:
+    """Novel spans of the whole text, where copies of a candidate do not explain each other.
+
+    Besides `novel_spans`: candidates that are novel once their copies are taken out of the
+    surroundings, and all further copies of a novel string wherever they stand.
+    """
+    found = {s.start: s for s in novel_spans(text, base)}
+    judged = {}
+    for spans in candidates(text, base):
+        for start, end in spans:
+            value = text[start:end]
+            if start in found or value in judged and judged[value]:
+                break
+            low, high = max(0, start - AROUND), end + AROUND
+            left, right = without(value, text, low, start), without(value, text, end, high)
+            if len(left) + len(right) < start - low + len(text[end:high]):
+                judged[value] = marginal_bytes(value, left + right) >= least_bytes(value)
+                if judged[value]:
+                    found[start] = Span(start, 3, end)
+                    break
+    copies = []
+    for value in {text[s.start : s.end] for s in found.values()}:
+        at = text.find(value)
+        while at >= 0:
+            copies.append((at, at + len(value)))
+            at = text.find(value, at + len(value))
+    taken, nth, reach = sorted([*base, *found.values()]), 0, 0
+    for at, end in sorted(copies, key=lambda c: (c[0], -c[1])):
+        while nth < len(taken) and taken[nth].start <= at:
+            reach = max(reach, taken[nth].end)
+            nth += 1
+        if reach <= at and (nth == len(taken) or end <= taken[nth].start):
+            found[at] = Span(at, 3, end)
+            reach = end
+    return sorted(found.values())
+
+
 def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[s.rank]}:{s.start}:{s.end}" for s in spans)
 
@@ -107,7 +173,7 @@ def _scan_batches(batches):
         for text in batch.column(1):
             value = text.as_py() or ""
             base = base_spans(value)
-            novel = novel_spans(value, base)
+            novel = secret_spans(value, base)
             for rank in range(4):
                 out[rank].append(sum(s.rank == rank for s in (base if rank < 3 else novel)))
             out[4].append(hashlib.sha256(written(base).encode()).hexdigest())
@@ -124,8 +190,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Kinds assign, access and hex are fixed patterns (runs too short are no spans); novel are
     strings of 16 or more characters with letters and digits, near a word that announces a
-    credential, whose bytes a compressor primed with the text around them and common identifiers
-    cannot save. Only texts decide; each row is judged by itself in one pass without a shuffle.
+    credential, whose bytes a compressor primed with the text around them (less their own copies)
+    and common identifiers cannot save, and all copies of these in the text. Only texts decide; each row is judged by itself in one pass without a shuffle.
 
     Null text: as empty, no spans. Null and repeated ids: one row per row. Empty input: no rows.
     Other columns are ignored.
@@ -142,7 +208,7 @@ def masked(text: str, mark: str) -> str:
     """The text with each maximal run of spans replaced by a mark."""
     base = base_spans(text)
     out, at = [], 0
-    for span in sorted(base + novel_spans(text, base)):
+    for span in sorted(base + secret_spans(text, base)):
         if span.start >= at:
             out += [text[at : span.start], mark]
         at = max(at, span.end)

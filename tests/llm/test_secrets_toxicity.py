@@ -67,6 +67,29 @@ def test_values_joined_to_their_names():
     assert secrets.novel_spans(whole, []) == [(8, 3, len(whole))]
 
 
+def test_copies_of_a_secret_are_all_found():
+    secret = "Zx81kLmQ09vbTr55wEuP"
+    for text in (
+        f"key {secret}, again {secret}", f"key={secret}\n" * 3, f"key {secret} " + "word " * 100 + secret[:9] + f" {secret}",
+        f"key {secret}. " + "far away " * 200 + f"flower {secret}",
+    ):
+        starts = [i for i in range(len(text)) if text.startswith(secret, i)]
+        assert secrets.secret_spans(text, []) == [(i, 3, i + 20) for i in starts]
+        assert secret not in secrets.masked(text, "[removed]")
+    assert secrets.secret_spans(f"a flower {secret}, again {secret}", []) == []
+    assert secrets.without("abc", "abcxabcyabz", 1, 6) == "x"
+
+
+def test_long_strings_of_small_alphabets():
+    rng = random.Random(8)
+    for alphabet in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789"):
+        for n in (64, 88, 128, 600):
+            value = "".join(rng.choices(alphabet, k=n))
+            text = f"the signing key is {value} and all is fine"
+            assert secrets.novel_spans(text, []) == [(19, 3, 19 + n)]
+    assert secrets.novel_spans("the signing key is " + "A1B2" * 40, []) == []
+
+
 def test_mask(spark):
     rows = [(1, TEXTS[2], 5), (2, None, None), (3, "clean", 99), (4, TEXTS[7], 1)]
     got = {
