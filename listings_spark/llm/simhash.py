@@ -334,62 +334,205 @@ def near_groups(docs: DataFrame, width: int = WIDTH, most: int = MOST_BITS) -> D
     return made.join(groups, F.col("print") == F.col("node")).select("doc_id", "print", "component_id")
 
 
-def _remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
-    """The hashes of another hash function."""
-    h = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * turn % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-COPY_PRINTS = ("print0", "print1")  # of pairs of words: an edited word touches two of them
-COPY_WIDE = ("wide0", "wide1", "wide2")  # of five words, 192 bits
-COPY_WIDTHS = (2, 5)
-COPY_BITS, COPY_BLOCKS = 6, 8
-COPY_CLOSE = 32  # of the wide bits; shingle sets of similarity 0.8 differ in 29 on average
+COPY_WIDTH = 5
+COPY_BANDS, COPY_ROWS = 24, 6  # a pair of similarity 0.8 shares a band in 99.93 of 100 cases
+COPY_FIRST = 6  # bands whose neighbours are decided before all other pairs of a band
+COPY_SURE = 0.7  # least agreement of least hashes, three deviations below similarity 0.8
+TURNS = np.random.default_rng(SEED).integers(1, 1 << 63, COPY_BANDS * COPY_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def least_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set that is not empty, the least of its hashes under every turn."""
+    starts = np.cumsum([0, *[len(s) for s in sets[:-1]]])
+    flat = np.concatenate(sets)
+    return np.stack([np.minimum.reduceat(flat * turn, starts) for turn in TURNS], axis=1)
+
+
+def band_values(least: np.ndarray) -> np.ndarray:
+    """One hash for each band of COPY_ROWS least hashes."""
+    rows = least.reshape(len(least), COPY_BANDS, COPY_ROWS)
+    out = np.broadcast_to(np.arange(COPY_BANDS, dtype=np.uint64), rows.shape[:2])
+    for k in range(COPY_ROWS):
+        out = (out ^ rows[:, :, k]) * np.uint64(0xBF58476D1CE4E5B9)
+        out = out ^ (out >> np.uint64(29))
+    return out
 
 
 def _copy_batches(batches):
     for batch in batches:
-        texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-        made = [[] for _ in range(5)]
+        texts = batch.column(1).cast(pa.binary())
         for start in range(0, len(texts), 200):
-            part = texts[start : start + 200]
-            for width, turns, out in ((2, (0, 1), made[:2]), (5, (0, 1, 2), made[2:])):
-                hashes = [shingle_hashes(t, width) for t in part]
-                counts = np.array([len(h) for h in hashes], dtype=np.int64)
-                flat = np.fromiter((h for x in hashes for h in x), dtype=np.uint64, count=counts.sum())
-                for turn, prints in zip(turns, out, strict=True):
-                    prints.append(majority_bits(_remixed(flat, turn) if turn else flat, counts))
-        none = np.zeros(0, dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *[pa.array(np.concatenate([none, *m]).view(np.int64)) for m in made]],
-            names=["doc_id", *COPY_PRINTS, *COPY_WIDE],
+            sets = [
+                np.unique(np.array(shingle_hashes(t.as_py() or b"", COPY_WIDTH), dtype=np.uint64))
+                for t in texts[start : start + 200]
+            ]
+            full = [s for s in sets if len(s)]
+            least = least_hashes(full) if full else np.zeros((0, len(TURNS)), dtype=np.uint64)
+            bands, sketch = iter(band_values(least).view(np.int64)), iter(least.astype(np.uint8))
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(start, len(sets)), pa.array(node.view(np.int64)),
+                    pa.array([next(bands) if len(s) else [] for s in sets], type=pa.list_(pa.int64())),
+                    pa.array([next(sketch).tobytes() if len(s) else b"" for s in sets], type=pa.binary()),
+                    pa.array([s.tobytes() for s in sets], type=pa.binary()),
+                ],
+                names=["doc_id", "node", "bands", "sketch", "shingles"],
+            )
+
+
+def _neighbour_batches(batches):
+    value, node = (np.zeros(0, dtype=np.int64) for _ in range(2))
+    for batch in batches:
+        value, node = (
+            np.concatenate([held[-1:], batch.column(k).to_numpy()]) for k, held in enumerate((value, node))
         )
+        at = np.flatnonzero(value[1:] == value[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + 1])], names=["a", "b"])
+
+
+def _neighbours(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) next to each other under one of the first bands, ordered by a further band.
+
+    Ranges of the whole order, so a common band spreads over tasks; pairs across two ranges are
+    left to `_open_pairs`.
+    """
+    order = ["value", "order", "node"]
+    return (
+        nodes.select(
+            F.explode(F.slice("bands", 1, COPY_FIRST)).alias("value"),
+            F.col("bands")[COPY_FIRST].alias("order"), "node",
+        )
+        .repartitionByRange(*order).sortWithinPartitions(*order).select("value", "node")
+        .mapInArrow(_neighbour_batches, "a long, b long")
+    )
+
+
+def sketch_pairs(node, label, sketch, side):
+    """Pairs of nodes of different labels whose sketches agree well, of side 0 with side 1 if there is one."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    crossed = bool(len(right))
+    right = right if crossed else left
+    out = []
+    for start in range(0, len(left), 32):
+        x = left[start : start + 32]
+        y = right if crossed else right[start:]
+        open_ = label[x][:, None] != label[y][None, :]
+        if not open_.any():
+            continue
+        agree = (sketch[x][:, None, :] == sketch[y][None, :, :]).sum(axis=2, dtype=np.uint8)
+        i, j = np.nonzero(open_ & (agree >= COPY_SURE * len(TURNS)))
+        out.append(np.stack([node[x[i]], node[y[j]]]))
+    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
+
+
+def _unit_batches(batches):
+    def solve(held):
+        node, label, side = (np.array([r[k] for r in held], dtype=np.int64) for k in (1, 2, 3))
+        sketch = np.frombuffer(b"".join(r[4] for r in held), dtype=np.uint8).reshape(len(held), -1)
+        a, b = sketch_pairs(node, label, sketch, side)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and row[0] != held[0][0]:
+                yield solve(held)
+                held = []
+            held.append(row)
+    if held:
+        yield solve(held)
+
+
+def _open_pairs(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """All pairs (a, b) that share a band, are not joined by links so far and have like sketches."""
+    roots = components(links).withColumnRenamed("node", "_node")
+    labelled = stored(
+        nodes.join(roots, F.col("node") == F.col("_node"), "left").select(
+            "node", "bands", F.coalesce("root", "node").alias("label")
+        ),
+        "labelled",
+    )
+    entries = labelled.select(F.explode("bands").alias("value"), "node", "label")
+    mixed = stored(
+        entries.groupBy(F.col("value").alias("_value"))
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        .filter("low < high").select("_value"),
+        "mixed",
+    )
+    met = stored(
+        entries.join(mixed, F.col("value") == F.col("_value")).select("value", "node", "label"), "met"
+    )
+    units = met.select(F.struct("value").alias("unit"), "node", "label", F.lit(0).alias("side"))
+    sketches = nodes.select(F.col("node").alias("_node"), "sketch")
+    return (
+        units.join(sketches, F.col("node") == F.col("_node"))
+        .select(F.xxhash64("unit").alias("unit"), "node", "label", "side", "sketch")
+        .repartition("unit").sortWithinPartitions("unit")
+        .mapInArrow(_unit_batches, "a long, b long")
+    )
+
+
+def _alike_batches(batches):
+    for batch in batches:
+        a, b, left, right = batch.columns
+        keep = []
+        for x, y in zip(left, right, strict=True):
+            x, y = (np.frombuffer(s.as_py(), dtype=np.uint64) for s in (x, y))
+            both = len(x) + len(y)
+            if 9 * min(len(x), len(y)) < 4 * both:  # too unequal in size
+                keep.append(False)
+                continue
+            shared = both - len(np.unique(np.concatenate([x, y])))
+            keep.append(5 * shared >= 4 * (both - shared))
+        kept = pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+        yield kept.filter(pa.array(keep, type=pa.bool_()))
+
+
+def _alike(pairs: DataFrame, made: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of 0.8 at least."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+    sets = stored(
+        made.select("node", "shingles").join(ends, F.col("node") == F.col("_node"), "left_semi")
+        .groupBy("node").agg(F.first("shingles").alias("shingles")),
+        "sets",
+    )
+    left, right = (sets.select(F.col("node").alias(f"_{k}"), F.col("shingles").alias(f"of_{k}")) for k in "ab")
+    met = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
+    return met.select("a", "b", "of_a", "of_b").mapInArrow(_alike_batches, "a long, b long")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of near copies: shingles of five words, similarity about 0.8 or more.
+    """(doc_id, component_id) of near copies: sets of five-word shingles of similarity 0.8 or more.
 
-    Copies are retrieved by either of two fingerprints of word pairs, within COPY_BITS, through
-    the hierarchical index, and link if their wide fingerprints of five words are close as well: 32
-    of 192 bits stand for a cosine of 0.87 of the shingle counts, or a similarity of 0.77 of
-    equally large sets. `doc_id` may be any orderable column. Nulls, empty texts and ties as in
-    `near_groups`.
+    Texts that share a band of least hashes are candidates, and the exact Jaccard similarity of
+    their sets decides. Neighbours of a band are decided first; then all pairs of a band that links
+    have not joined yet, unless 144 least hashes put them far below 0.8. `doc_id` may be any
+    orderable column. Nulls, empty texts and ties as in `near_groups`.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = [*COPY_PRINTS, *COPY_WIDE]
     made = stored(
-        docs.select("doc_id", "text")
-        .mapInArrow(_copy_batches, f"doc_id {kind}, " + ", ".join(f"{p} long" for p in prints))
-        .withColumn("node", F.xxhash64(*prints)),
-        "prints",
+        docs.select("doc_id", "text").mapInArrow(
+            _copy_batches,
+            f"doc_id {kind}, node long, bands array<long>, sketch binary, shingles binary",
+        ),
+        "sets-of-all",
     )
     nodes = stored(
-        made.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(p).alias(p) for p in prints]),
+        made.groupBy("node").agg(
+            F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        ),
         "nodes",
     )
-    links = print_links(nodes, list(COPY_PRINTS), COPY_BITS, COPY_BLOCKS, COPY_WIDE, COPY_CLOSE)
-    return made.select("doc_id", "node").join(_component_ids(nodes, links), "node").select(
+    first = stored(_ordered(_neighbours(nodes)), "pairs")
+    links = stored(_alike(first, made), "links")
+    rest = stored(_ordered(_open_pairs(nodes, links)).join(first, ["a", "b"], "left_anti"), "pairs")
+    links = stored(links.union(_alike(rest, made)), "links")
+    return made.select("doc_id", "node").join(_component_ids(nodes.select("node", "least"), links), "node").select(
         "doc_id", "component_id"
     )
 

@@ -134,3 +134,38 @@ def test_near_copies_of_five_word_shingles(spark):
     assert all(got[i] == i for i, s in source.items() if s == i)
     near = [i for i, s in source.items() if s != i]
     assert sum(got[i] == source[i] for i in near) >= 0.97 * len(near)
+
+
+def edited(text, kind, similarity, new):
+    """A copy of about that similarity of its five-word shingles, whose new words are all its own."""
+    n = len(text) - 4
+    if kind == "appended":
+        return text + new[: round(n / similarity - n)]
+    lost = round(n * (1 - similarity) / (1 + similarity))  # shingles that differ on each side
+    if kind == "replaced":
+        return text[:20] + new[: lost - 4] + text[16 + lost :]
+    out = list(text)
+    for k in range(lost // 5):
+        out[8 + 5 * k] = new[k]
+    return out
+
+
+def jaccard(x, y):
+    a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def test_isolated_pairs_by_kind_of_edit(spark):
+    rng = random.Random(77)
+    words, rows, wanted = [f"w{i}" for i in range(5000)], [], {}
+    for kind in ("appended", "replaced", "scattered"):
+        for similarity in (0.76, 0.81, 0.83, 0.87, 0.9):
+            for _ in range(15):
+                text, new = rng.choices(words, k=200), [f"n{rng.getrandbits(40)}" for _ in range(100)]
+                other, i = edited(text, kind, similarity, new), 2 * len(rows)
+                wanted[i + 2] = i if jaccard(text, other) >= 0.8 else i + 2
+                rows += [(i, " ".join(text)), (i + 2, " ".join(other))]
+    assert 0.75 < sum(i != k for i, k in wanted.items()) / len(wanted) < 0.85
+    got = dict(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sum(got[i] == k for i, k in wanted.items()) >= 0.99 * len(wanted)
+    assert all(got[i] == i for i, k in wanted.items() if i == k)
