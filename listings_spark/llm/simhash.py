@@ -337,6 +337,7 @@ def near_groups(docs: DataFrame, width: int = WIDTH, most: int = MOST_BITS) -> D
 COPY_WIDTH = 5
 COPY_BANDS, COPY_ROWS = 24, 6  # a pair of similarity 0.8 shares a band in 99.93 of 100 cases
 COPY_FIRST = 6  # bands whose neighbours are decided before all other pairs of a band
+COPY_BLOCK = 1 << 10  # nodes of a common band compared at a time with as many others
 COPY_SURE = 0.7  # least agreement of least hashes, three deviations below similarity 0.8
 TURNS = np.random.default_rng(SEED).integers(1, 1 << 63, COPY_BANDS * COPY_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -444,6 +445,64 @@ def _unit_batches(batches):
         yield solve(held)
 
 
+def _units(met: DataFrame, most: int = COPY_BLOCK) -> DataFrame:
+    """(unit, node, label, side): pairs of blocks that hold every pair of different labels of a value.
+
+    A label with more than half of `most` nodes under a value has blocks of its own there, which
+    never meet each other; the other labels share blocks of about `most` nodes. Blocks are pairs
+    of hashes, so no task gets a whole common value.
+    """
+    counts = stored(
+        met.groupBy(F.col("value").alias("_value"), F.col("label").alias("_label")).agg(F.count("*").alias("n")),
+        "counts",
+    )
+    small = counts.filter(F.col("n") * 2 <= most)
+    pools = small.groupBy(F.col("_value").alias("_pool")).agg(
+        F.ceil(F.sum("n") / most).cast("long").alias("parts")
+    )
+    pooled = small.join(pools, F.col("_value") == F.col("_pool")).select(
+        "_value", "_label", F.lit(0).cast("long").alias("own"), "parts",
+        F.pmod(F.xxhash64("_label"), "parts").alias("part"),
+    )
+    alone = counts.filter(F.col("n") * 2 > most).select(
+        "_value", "_label", F.lit(1).cast("long").alias("own"), F.ceil(F.col("n") / most).cast("long").alias("parts"),
+        F.lit(None).cast("long").alias("part"),
+    )
+    placed = stored(pooled.union(alone), "placed")
+    kind = F.when(F.col("own") == 1, F.col("_label"))  # the label that owns a block
+    blocks = stored(
+        placed.select(
+            "_value", kind.alias("owner"),
+            F.explode(F.when(F.col("own") == 1, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("part"))).alias("part"),
+        ).distinct().withColumn("block", F.xxhash64("_value", F.coalesce("owner", F.lit(0)), F.col("owner").isNull(), "part")),
+        "blocks",
+    )
+    x, y = (
+        blocks.select(*[F.col(c).alias(f"{c}{k}") for c in ("_value", "owner", "block")]) for k in (0, 1)
+    )
+    met_blocks = x.join(y, F.col("_value0") == F.col("_value1")).filter(
+        "block0 < block1 and (owner0 is null or owner1 is null or owner0 <> owner1) or block0 = block1 and owner0 is null"
+    ).withColumn("unit", F.xxhash64("block0", "block1"))
+    sides = stored(
+        met_blocks.select(
+            "unit", F.explode(F.when(F.col("block0") == F.col("block1"), F.array(F.struct(F.lit(0).alias("side"), F.col("block0").alias("_block"))))
+            .otherwise(F.array(
+                F.struct(F.lit(0).alias("side"), F.col("block0").alias("_block")),
+                F.struct(F.lit(1).alias("side"), F.col("block1").alias("_block")),
+            ))).alias("s"),
+        ).select("unit", "s.*"),
+        "sides",
+    )
+    entries = met.join(placed, (F.col("value") == F.col("_value")) & (F.col("label") == F.col("_label"))).select(
+        "node", "label",
+        F.xxhash64(
+            F.col("value"), F.coalesce(kind, F.lit(0)), kind.isNull(),
+            F.coalesce("part", F.pmod(F.xxhash64("node"), "parts")),
+        ).alias("block"),
+    )
+    return entries.join(sides, F.col("block") == F.col("_block")).select("unit", "node", "label", "side")
+
+
 def _open_pairs(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """All pairs (a, b) that share a band, are not joined by links so far and have like sketches."""
     roots = components(links).withColumnRenamed("node", "_node")
@@ -463,11 +522,10 @@ def _open_pairs(nodes: DataFrame, links: DataFrame) -> DataFrame:
     met = stored(
         entries.join(mixed, F.col("value") == F.col("_value")).select("value", "node", "label"), "met"
     )
-    units = met.select(F.struct("value").alias("unit"), "node", "label", F.lit(0).alias("side"))
     sketches = nodes.select(F.col("node").alias("_node"), "sketch")
     return (
-        units.join(sketches, F.col("node") == F.col("_node"))
-        .select(F.xxhash64("unit").alias("unit"), "node", "label", "side", "sketch")
+        _units(met).join(sketches, F.col("node") == F.col("_node"))
+        .select("unit", "node", "label", "side", "sketch")
         .repartition("unit").sortWithinPartitions("unit")
         .mapInArrow(_unit_batches, "a long, b long")
     )

@@ -169,3 +169,26 @@ def test_isolated_pairs_by_kind_of_edit(spark):
     got = dict(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert sum(got[i] == k for i, k in wanted.items()) >= 0.99 * len(wanted)
     assert all(got[i] == i for i, k in wanted.items() if i == k)
+
+
+def test_units_hold_all_pairs_of_different_labels_in_small_blocks(spark):
+    rng = random.Random(6)
+    rows, most = [], 16
+    for value, sizes in ((1, [150]+[1] * 60), (2, [3, 2, 1]), (3, [40, 30, 9, 9]), (4, [1] * 100)):
+        for label, n in enumerate(sizes):
+            rows += [(value, 1000 * value + 200 * len(rows) + k, label) for k in range(n)]
+    rng.shuffle(rows)
+    met = spark.createDataFrame(rows, "value long, node long, label long")
+    units = {}
+    for unit, node, label, side in simhash._units(met, most).collect():
+        units.setdefault(unit, ([], []))[side].append((node, label))
+    assert max(len(s) for u in units.values() for s in u) <= 3 * most  # blocks by hash vary
+    got = set()
+    for zero, one in units.values():
+        for x in zero:
+            got |= {frozenset((x, y)) for y in one or zero if x[1] != y[1]}
+    by_value = {}
+    for value, node, label in rows:
+        by_value.setdefault(value, []).append((node, label))
+    wanted = {frozenset((x, y)) for v in by_value.values() for x in v for y in v if x[1] != y[1]}
+    assert got == wanted
