@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from listings_spark.llm import (
     embeddings,
     mixing,
     packing,
+    pieces,
     secrets,
     sharding,
     simhash,
@@ -78,10 +80,16 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_packing, op3_mixing, op4_sketches, op5_toxicity, op6_warc, op7_simhash, op8_embeddings, op9_secrets, op10_suffix,
+        op11_pieces,
     )
 }
 
