@@ -48,6 +48,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+def text_slices(texts: list, most: int = 1 << 21):
+    """(start, texts) of runs of about `most` characters or bytes, so that work on a batch stays small."""
+    start, held = 0, 0
+    for nth, text in enumerate(texts, 1):
+        held += len(text)
+        if held >= most or nth == len(texts):
+            yield start, texts[start:nth]
+            start, held = nth, 0
+
+
 def whole(text: str = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -13,12 +13,13 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from listings_spark.llm.common import text_slices
+
 SPACE = "▁"  # stands for a space in pieces
 CUT = "\n"  # stands alone in vocabularies whose texts are cut
 CACHE = 1 << 18  # chunks remembered in each of two generations of a worker's memory
 SHORT = 48  # symbols of a chunk that is merged together with others of its length
 TOGETHER = 256  # chunks that the library is asked for in one text
-SLICE = 1 << 21  # characters of texts encoded together
 NEVER = 1 << 30  # rank of pairs that form no piece
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -280,22 +281,12 @@ def loaded(model: bytes) -> Pieces:
     return _loaded[key]
 
 
-def _slices(texts: list[str]):
-    """(start, texts) of runs of about SLICE characters."""
-    start, held = 0, 0
-    for nth, text in enumerate(texts, 1):
-        held += len(text)
-        if held >= SLICE or nth == len(texts):
-            yield start, texts[start:nth]
-            start, held = nth, 0
-
-
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
     """Token ids of every whole text and the text they decode to, as counts and digests.
 
     The vocabulary file is read by the driver and sent with the tasks. In every Arrow batch the
     sentencepiece library encodes all chunks of texts that the agenda has merged for the first
-    time, and one whole text for every SLICE characters, which it also decodes; `agrees` tells
+    time, and one whole text of each slice of two million characters, which it also decodes; `agrees` tells
     whether ids and decoded text are the same.
 
     Null text: as empty, which has the end id only. Null and repeated ids: one row per row. Texts
@@ -309,7 +300,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     def run(batches):
         own = loaded(model)
         for batch in batches:
-            for start, texts in _slices([t or "" for t in batch.column(1).to_pylist()]):
+            for start, texts in text_slices([t or "" for t in batch.column(1).to_pylist()]):
                 counts, ids_sha, decoded_sha, agrees = [], [], [], []
                 found = own.encode(texts)
                 first = own.library.encode(texts[0], add_eos=True)

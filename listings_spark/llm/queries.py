@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listings_spark.llm import (
+    divergence,
     embeddings,
     mixing,
     packing,
@@ -85,11 +86,16 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_packing, op3_mixing, op4_sketches, op5_toxicity, op6_warc, op7_simhash, op8_embeddings, op9_secrets, op10_suffix,
-        op11_pieces,
+        op11_pieces, op13_divergence,
     )
 }
 
@@ -101,4 +107,5 @@ ORACLES = {
     "op6_warc": twins.WARC,
     "op8_embeddings": twins.EMBEDDINGS,
     "op10_suffix": twins.SUFFIX,
+    "op13_divergence": twins.DIVERGENCE,
 }
