@@ -26,6 +26,7 @@ from listings_spark.llm import (
     toxicity,
     twins,
     warc,
+    whitening,
 )
 from listings_spark.llm.common import shared_folder, small_batches, table
 
@@ -86,6 +87,10 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -95,7 +100,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_packing, op3_mixing, op4_sketches, op5_toxicity, op6_warc, op7_simhash, op8_embeddings, op9_secrets, op10_suffix,
-        op11_pieces, op13_divergence,
+        op11_pieces, op12_whitening, op13_divergence,
     )
 }
 
