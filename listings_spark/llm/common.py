@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,17 +24,45 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_scratch: list[str] = []  # folders of results that are being built, innermost last
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage with files that survive lost executors, fixes whatever the plan decided by
     sampling (range bounds), and gives later joins real sizes to plan with.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    folder = _scratch[-1] if _scratch else shared_folder(df.sparkSession)
+    return stored_at(df, f"{folder}/{name}-{uuid.uuid4().hex}")
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The stored result of `build`, with all tables deleted that it stored on the way."""
+    folder = f"{shared_folder(spark)}/{name}-parts-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    try:
+        made = build()
+        _scratch.pop()
+        try:
+            return stored(made, name)
+        finally:
+            _scratch.append(folder)
+    finally:
+        _scratch.pop()
+        delete(spark, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what `stored` wrote in this session; call it when results have been written."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

@@ -171,12 +171,11 @@ class GrayIndex:
         new = (ones[a] ^ ones[b]) & shared & ~seen
         return spent + np.bitwise_count(new), shared
 
-    def link(self, item: np.ndarray, labels: np.ndarray, most: int, alike=None) -> np.ndarray:
+    def link(self, item: np.ndarray, labels: np.ndarray, most: int) -> np.ndarray:
         """Labels of items after linking all entries of one key within `most` bits.
 
         Nodes whose entries are all in one component already are not compared any more, so a
-        dense group costs little more than its spanning tree. `alike` tells which of the pairs
-        of entries that came so far link.
+        dense group costs little more than its spanning tree.
         """
         codes, top = self.ones[0], len(self.ones) - 1
         if top == 0:
@@ -186,8 +185,6 @@ class GrayIndex:
         inner[self.first[1]] = False
         step = np.flatnonzero(inner)  # neighbours in Gray order first: most links of a group
         step = step[np.bitwise_count(codes[step] ^ codes[step - 1]) <= most]
-        if alike is not None:
-            step = step[alike(step, step - 1)]
         labels = _merge(labels, item[step], item[step - 1])
         known = self.uniform(labels[item])
         roots = np.arange(len(self.ones[top]))
@@ -217,97 +214,83 @@ class GrayIndex:
             if level > 1:
                 stack.append((level - 1, x, y, spent, seen))
                 continue
-            if alike is not None:
-                keep = alike(x, y)
-                x, y = x[keep], y[keep]
             if len(x):
                 labels = _merge(labels, item[x], item[y])
                 known = self.uniform(labels[item])
         return labels
 
 
-def segment_links(
-    group: np.ndarray, codes: np.ndarray, most: int, node: np.ndarray | None = None, wide=(), close: int = 0
-) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links between nodes that meet under a key, at most one for each node.
-
-    A node is its code unless given. With `wide` prints, pairs also differ in `close` of their
-    bits at most.
-    """
-    node = codes if node is None else node
+def segment_links(group: np.ndarray, codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between codes that meet under a key, at most one for each code."""
     sizes = np.diff(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])))
     shared = np.repeat(sizes > 1, sizes)
-    group, codes, node, wide = group[shared], codes[shared], node[shared], [w[shared] for w in wide]
+    group, codes = group[shared], codes[shared]
     if not len(codes):
-        return node, node
-
-    def alike(x, y):
-        return sum(np.bitwise_count(w[x] ^ w[y]).astype(int) for w in wide) <= close
-
-    distinct, item = np.unique(node, return_inverse=True)
-    index = GrayIndex(group, codes)
-    labels = index.link(item, np.arange(len(distinct)), most, alike if wide else None)
+        return codes, codes
+    distinct, item = np.unique(codes, return_inverse=True)
+    labels = GrayIndex(group, codes).link(item, np.arange(len(distinct)), most)
     linked = np.flatnonzero(labels != np.arange(len(distinct)))
     return distinct[linked], distinct[labels[linked]]
 
 
-def _link_batches(most: int, close: int):
-    def solve(key, value, codes, node, *wide):
+def _link_batches(most: int):
+    def solve(key, value, codes):
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (value[1:] != value[:-1])])
-        a, b = segment_links(
-            np.cumsum(new), codes.view(np.uint64), most, node, [w.view(np.uint64) for w in wide], close
+        a, b = segment_links(np.cumsum(new), codes.view(np.uint64), most)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]
         )
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
-        held = None
+        held: list[list[np.ndarray]] = []  # batches of keys that may go on
+        rows = 0
         for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if len(held[0]) >= SEGMENT:
-                last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
-                if len(last):
-                    cut = last[-1] + 1
-                    yield solve(*[h[:cut] for h in held])
-                    held = [h[cut:] for h in held]
-        if held is not None and len(held[0]):
-            yield solve(*held)
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows += batch.num_rows
+            if rows >= SEGMENT:
+                key, value, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+                last = np.flatnonzero((key != key[-1]) | (value != value[-1]))
+                cut = last[-1] + 1 if len(last) else 0
+                if cut:
+                    yield solve(key[:cut], value[:cut], codes[:cut])
+                held, rows = [[key[cut:], value[cut:], codes[cut:]]], len(key) - cut
+                if rows >= SEGMENT // 2:
+                    rows = 0  # a key of that size: look again after another segment
+        if held:
+            key, value, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+            if len(key):
+                yield solve(key, value, codes)
 
     return run
 
 
-def print_links(
-    nodes: DataFrame, prints: list[str], most: int = MOST_BITS, blocks: int = BLOCKS,
-    wide: tuple[str, ...] = (), close: int = 0,
-) -> DataFrame:
-    """Links (a, b) that join all nodes with a print within `most` bits, from distinct (node, ...).
+def print_links(prints: DataFrame, most: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """Links (a, b) that join all fingerprints within `most` bits, from distinct (node).
 
     `most` differing bits leave blocks - most blocks whole, so two linked fingerprints meet under
     a mask of blocks on which they agree. Each task gets whole keys in Gray order and indexes them.
     Only distinct fingerprints take part; those of one key that are not alike spread over the
     keys, and those that are alike are few by count of bit patterns, not by count of documents.
-    With `wide` prints, links must also be within `close` bits of these taken together.
     """
-    masks = block_masks(blocks, most)
     entries = F.array(*[
         F.struct(
-            F.lit(i * len(masks) + k).cast("long").alias("key"),
-            F.col(p).bitwiseAND(F.lit(_signed(m))).alias("value"), F.col(p).alias("code"),
+            F.lit(k).cast("long").alias("key"),
+            F.col("node").bitwiseAND(F.lit(_signed(m))).alias("value"), F.col("node").alias("code"),
         )
-        for i, p in enumerate(prints) for k, m in enumerate(masks)
+        for k, m in enumerate(block_masks(blocks, most))
     ])
     keyed = (
-        nodes.select(F.explode(entries).alias("e"), "node", *wide)
-        .select("e.*", "node", *wide)
+        prints.select(F.explode(entries).alias("e"))
+        .select("e.*")
         .withColumn("rank", gray_rank(F.col("code")))
         .repartition("key", "value")
         .sortWithinPartitions("key", "value", "rank")
-        .select("key", "value", "code", "node", *wide)
+        .select("key", "value", "code")
     )
-    return keyed.mapInArrow(_link_batches(most, close), "a long, b long")
+    return keyed.mapInArrow(_link_batches(most), "a long, b long")
 
 
-def _component_ids(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def component_ids(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component_id): the least `least` of the nodes that links reach."""
     roots = components(links).withColumnRenamed("node", "_node")
     rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").select(
@@ -330,270 +313,9 @@ def near_groups(docs: DataFrame, width: int = WIDTH, most: int = MOST_BITS) -> D
     nodes = stored(
         made.groupBy(F.col("print").alias("node")).agg(F.min("doc_id").alias("least")), "nodes"
     )
-    groups = _component_ids(nodes, print_links(nodes, ["node"], most))
+    groups = component_ids(nodes, print_links(nodes, most))
     return made.join(groups, F.col("print") == F.col("node")).select("doc_id", "print", "component_id")
 
 
-COPY_WIDTH = 5
-COPY_BANDS, COPY_ROWS = 24, 6  # a pair of similarity 0.8 shares a band in 99.93 of 100 cases
-COPY_FIRST = 6  # bands whose neighbours are decided before all other pairs of a band
-COPY_BLOCK = 1 << 10  # nodes of a common band compared at a time with as many others
-COPY_SURE = 0.7  # least agreement of least hashes, three deviations below similarity 0.8
-TURNS = np.random.default_rng(SEED).integers(1, 1 << 63, COPY_BANDS * COPY_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def least_hashes(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set that is not empty, the least of its hashes under every turn."""
-    starts = np.cumsum([0, *[len(s) for s in sets[:-1]]])
-    flat = np.concatenate(sets)
-    return np.stack([np.minimum.reduceat(flat * turn, starts) for turn in TURNS], axis=1)
-
-
-def band_values(least: np.ndarray) -> np.ndarray:
-    """One hash for each band of COPY_ROWS least hashes."""
-    rows = least.reshape(len(least), COPY_BANDS, COPY_ROWS)
-    out = np.broadcast_to(np.arange(COPY_BANDS, dtype=np.uint64), rows.shape[:2])
-    for k in range(COPY_ROWS):
-        out = (out ^ rows[:, :, k]) * np.uint64(0xBF58476D1CE4E5B9)
-        out = out ^ (out >> np.uint64(29))
-    return out
-
-
-def _copy_batches(batches):
-    for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        for start in range(0, len(texts), 200):
-            sets = [
-                np.unique(np.array(shingle_hashes(t.as_py() or b"", COPY_WIDTH), dtype=np.uint64))
-                for t in texts[start : start + 200]
-            ]
-            full = [s for s in sets if len(s)]
-            least = least_hashes(full) if full else np.zeros((0, len(TURNS)), dtype=np.uint64)
-            bands, sketch = iter(band_values(least).view(np.int64)), iter(least.astype(np.uint8))
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(start, len(sets)), pa.array(node.view(np.int64)),
-                    pa.array([next(bands) if len(s) else [] for s in sets], type=pa.list_(pa.int64())),
-                    pa.array([next(sketch).tobytes() if len(s) else b"" for s in sets], type=pa.binary()),
-                    pa.array([s.tobytes() for s in sets], type=pa.binary()),
-                ],
-                names=["doc_id", "node", "bands", "sketch", "shingles"],
-            )
-
-
-def _neighbour_batches(batches):
-    value, node = (np.zeros(0, dtype=np.int64) for _ in range(2))
-    for batch in batches:
-        value, node = (
-            np.concatenate([held[-1:], batch.column(k).to_numpy()]) for k, held in enumerate((value, node))
-        )
-        at = np.flatnonzero(value[1:] == value[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + 1])], names=["a", "b"])
-
-
-def _neighbours(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) next to each other under one of the first bands, ordered by a further band.
-
-    Ranges of the whole order, so a common band spreads over tasks; pairs across two ranges are
-    left to `_open_pairs`.
-    """
-    order = ["value", "order", "node"]
-    return (
-        nodes.select(
-            F.explode(F.slice("bands", 1, COPY_FIRST)).alias("value"),
-            F.col("bands")[COPY_FIRST].alias("order"), "node",
-        )
-        .repartitionByRange(*order).sortWithinPartitions(*order).select("value", "node")
-        .mapInArrow(_neighbour_batches, "a long, b long")
-    )
-
-
-def sketch_pairs(node, label, sketch, side):
-    """Pairs of nodes of different labels whose sketches agree well, of side 0 with side 1 if there is one."""
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    crossed = bool(len(right))
-    right = right if crossed else left
-    out = []
-    for start in range(0, len(left), 32):
-        x = left[start : start + 32]
-        y = right if crossed else right[start:]
-        open_ = label[x][:, None] != label[y][None, :]
-        if not open_.any():
-            continue
-        agree = (sketch[x][:, None, :] == sketch[y][None, :, :]).sum(axis=2, dtype=np.uint8)
-        i, j = np.nonzero(open_ & (agree >= COPY_SURE * len(TURNS)))
-        out.append(np.stack([node[x[i]], node[y[j]]]))
-    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
-
-
-def _unit_batches(batches):
-    def solve(held):
-        node, label, side = (np.array([r[k] for r in held], dtype=np.int64) for k in (1, 2, 3))
-        sketch = np.frombuffer(b"".join(r[4] for r in held), dtype=np.uint8).reshape(len(held), -1)
-        a, b = sketch_pairs(node, label, sketch, side)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if held and row[0] != held[0][0]:
-                yield solve(held)
-                held = []
-            held.append(row)
-    if held:
-        yield solve(held)
-
-
-def _units(met: DataFrame, most: int = COPY_BLOCK) -> DataFrame:
-    """(unit, node, label, side): pairs of blocks that hold every pair of different labels of a value.
-
-    A label with more than half of `most` nodes under a value has blocks of its own there, which
-    never meet each other; the other labels share blocks of about `most` nodes. Blocks are pairs
-    of hashes, so no task gets a whole common value.
-    """
-    counts = stored(
-        met.groupBy(F.col("value").alias("_value"), F.col("label").alias("_label")).agg(F.count("*").alias("n")),
-        "counts",
-    )
-    small = counts.filter(F.col("n") * 2 <= most)
-    pools = small.groupBy(F.col("_value").alias("_pool")).agg(
-        F.ceil(F.sum("n") / most).cast("long").alias("parts")
-    )
-    pooled = small.join(pools, F.col("_value") == F.col("_pool")).select(
-        "_value", "_label", F.lit(0).cast("long").alias("own"), "parts",
-        F.pmod(F.xxhash64("_label"), "parts").alias("part"),
-    )
-    alone = counts.filter(F.col("n") * 2 > most).select(
-        "_value", "_label", F.lit(1).cast("long").alias("own"), F.ceil(F.col("n") / most).cast("long").alias("parts"),
-        F.lit(None).cast("long").alias("part"),
-    )
-    placed = stored(pooled.union(alone), "placed")
-    kind = F.when(F.col("own") == 1, F.col("_label"))  # the label that owns a block
-    blocks = stored(
-        placed.select(
-            "_value", kind.alias("owner"),
-            F.explode(F.when(F.col("own") == 1, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("part"))).alias("part"),
-        ).distinct().withColumn("block", F.xxhash64("_value", F.coalesce("owner", F.lit(0)), F.col("owner").isNull(), "part")),
-        "blocks",
-    )
-    x, y = (
-        blocks.select(*[F.col(c).alias(f"{c}{k}") for c in ("_value", "owner", "block")]) for k in (0, 1)
-    )
-    met_blocks = x.join(y, F.col("_value0") == F.col("_value1")).filter(
-        "block0 < block1 and (owner0 is null or owner1 is null or owner0 <> owner1) or block0 = block1 and owner0 is null"
-    ).withColumn("unit", F.xxhash64("block0", "block1"))
-    sides = stored(
-        met_blocks.select(
-            "unit", F.explode(F.when(F.col("block0") == F.col("block1"), F.array(F.struct(F.lit(0).alias("side"), F.col("block0").alias("_block"))))
-            .otherwise(F.array(
-                F.struct(F.lit(0).alias("side"), F.col("block0").alias("_block")),
-                F.struct(F.lit(1).alias("side"), F.col("block1").alias("_block")),
-            ))).alias("s"),
-        ).select("unit", "s.*"),
-        "sides",
-    )
-    entries = met.join(placed, (F.col("value") == F.col("_value")) & (F.col("label") == F.col("_label"))).select(
-        "node", "label",
-        F.xxhash64(
-            F.col("value"), F.coalesce(kind, F.lit(0)), kind.isNull(),
-            F.coalesce("part", F.pmod(F.xxhash64("node"), "parts")),
-        ).alias("block"),
-    )
-    return entries.join(sides, F.col("block") == F.col("_block")).select("unit", "node", "label", "side")
-
-
-def _open_pairs(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs (a, b) that share a band, are not joined by links so far and have like sketches."""
-    roots = components(links).withColumnRenamed("node", "_node")
-    labelled = stored(
-        nodes.join(roots, F.col("node") == F.col("_node"), "left").select(
-            "node", "bands", F.coalesce("root", "node").alias("label")
-        ),
-        "labelled",
-    )
-    entries = labelled.select(F.explode("bands").alias("value"), "node", "label")
-    mixed = stored(
-        entries.groupBy(F.col("value").alias("_value"))
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        .filter("low < high").select("_value"),
-        "mixed",
-    )
-    met = stored(
-        entries.join(mixed, F.col("value") == F.col("_value")).select("value", "node", "label"), "met"
-    )
-    sketches = nodes.select(F.col("node").alias("_node"), "sketch")
-    return (
-        _units(met).join(sketches, F.col("node") == F.col("_node"))
-        .select("unit", "node", "label", "side", "sketch")
-        .repartition("unit").sortWithinPartitions("unit")
-        .mapInArrow(_unit_batches, "a long, b long")
-    )
-
-
-def _alike_batches(batches):
-    for batch in batches:
-        a, b, left, right = batch.columns
-        keep = []
-        for x, y in zip(left, right, strict=True):
-            x, y = (np.frombuffer(s.as_py(), dtype=np.uint64) for s in (x, y))
-            both = len(x) + len(y)
-            if 9 * min(len(x), len(y)) < 4 * both:  # too unequal in size
-                keep.append(False)
-                continue
-            shared = both - len(np.unique(np.concatenate([x, y])))
-            keep.append(5 * shared >= 4 * (both - shared))
-        kept = pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
-        yield kept.filter(pa.array(keep, type=pa.bool_()))
-
-
-def _alike(pairs: DataFrame, made: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of 0.8 at least."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
-    sets = stored(
-        made.select("node", "shingles").join(ends, F.col("node") == F.col("_node"), "left_semi")
-        .groupBy("node").agg(F.first("shingles").alias("shingles")),
-        "sets",
-    )
-    left, right = (sets.select(F.col("node").alias(f"_{k}"), F.col("shingles").alias(f"of_{k}")) for k in "ab")
-    met = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-    return met.select("a", "b", "of_a", "of_b").mapInArrow(_alike_batches, "a long, b long")
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of near copies: sets of five-word shingles of similarity 0.8 or more.
-
-    Texts that share a band of least hashes are candidates, and the exact Jaccard similarity of
-    their sets decides. Neighbours of a band are decided first; then all pairs of a band that links
-    have not joined yet, unless 144 least hashes put them far below 0.8. `doc_id` may be any
-    orderable column. Nulls, empty texts and ties as in `near_groups`.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    made = stored(
-        docs.select("doc_id", "text").mapInArrow(
-            _copy_batches,
-            f"doc_id {kind}, node long, bands array<long>, sketch binary, shingles binary",
-        ),
-        "sets-of-all",
-    )
-    nodes = stored(
-        made.groupBy("node").agg(
-            F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
-        ),
-        "nodes",
-    )
-    first = stored(_ordered(_neighbours(nodes)), "pairs")
-    links = stored(_alike(first, made), "links")
-    rest = stored(_ordered(_open_pairs(nodes, links)).join(first, ["a", "b"], "left_anti"), "pairs")
-    links = stored(links.union(_alike(rest, made)), "links")
-    return made.select("doc_id", "node").join(_component_ids(nodes.select("node", "least"), links), "node").select(
-        "doc_id", "component_id"
-    )
-
-
 def hex_print(code: Column) -> Column:
     return F.lpad(F.lower(F.hex(code)), 16, "0")

@@ -2,42 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
-from listings_spark.llm.common import stored
+KEY = "row_key"
 
-KEY = "_row_key"
 
+def _hashes(kind: DataType) -> bool:
+    """Whether Spark hashes values of a type."""
+    if isinstance(kind, StructType):
+        return all(_hashes(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _hashes(kind.elementType)
+    return not isinstance(kind, (MapType, VariantType))
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """Add a key of id and text, so that rows that share an id stay apart."""
-    return docs.withColumn(KEY, F.struct("doc_id", F.xxhash64("text").alias("text")))
 
+def row_key(docs: DataFrame) -> Column:
+    """Id and a hash of all columns: rows that share it are equal in whatever Spark can hash."""
+    return F.struct(
+        F.col("doc_id").alias("id"),
+        F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if _hashes(f.dataType)]).alias("whole"),
+    )
 
-def apply_times(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of `docs` as often as decided: (KEY, times), one row for each row of `docs`.
 
-    Rows equal in id and text cannot be told apart; together they stay as often as the sum of
-    their times. The documents are shuffled once for the join.
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The key of every row as `doc_id`, with the columns that a decision needs and no others."""
+    return docs.select(row_key(docs).alias("doc_id"), *columns)
+
+
+def apply_times(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows of `docs` as often as planned: (KEY, times, alike), one row a key.
+
+    `times` is for all `alike` rows of a key together; being equal, one of them stands for all.
+    Rows travel nested, so any column names do. The documents are shuffled once for the join.
     """
-    columns = docs.columns
-    plan = decided.groupBy(F.col(KEY).alias("_decided")).agg(
-        F.sum("times").cast("int").alias("_times"), F.count("*").alias("_alike")
-    ).filter("_times > 0")
-    met = with_key(docs).join(plan, F.col(KEY) == F.col("_decided"))
-    apart = met.filter("_alike = 1").select(*columns, "_times")
-    alike = met.filter("_alike > 1").dropDuplicates([KEY]).select(*columns, "_times")
-    repeated = apart.union(alike).select(*columns, F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return repeated.select(*columns)
-
-
-def apply_once(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of `docs` for each KEY in `kept` (distinct)."""
-    counted = with_key(docs).groupBy(KEY).count().filter("count > 1").select(F.col(KEY).alias("_often"))
-    often = stored(counted, "often")  # ids and hashes of wholly equal rows, usually none
-    wanted = stored(kept.select(F.col(KEY).alias("_kept")), "kept")
-    met = with_key(docs).join(wanted, F.col(KEY) == F.col("_kept"))
-    apart = met.join(often, F.col(KEY) == F.col("_often"), "left_anti")
-    alike = met.join(often, F.col(KEY) == F.col("_often"), "left_semi").dropDuplicates([KEY])
-    return apart.select(*docs.columns).union(alike.select(*docs.columns))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(docs).alias(KEY))
+    wanted = plan.filter("times > 0").select(F.col(KEY).alias("planned"), F.col("times").cast("int").alias("times"), "alike")
+    met = rows.join(wanted, F.col(KEY) == F.col("planned")).select("row", KEY, "times", "alike")
+    apart = met.filter("alike = 1")
+    alike = met.filter("alike > 1").dropDuplicates([KEY])
+    repeated = apart.union(alike).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return repeated.select("row.*")

@@ -152,9 +152,14 @@ class Chain(NamedTuple):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(doc_id, text, low_quality, toxic) of the sample; ids with several labels count the worst."""
+    """(doc_id, text, low_quality, toxic) of the sample, one row an id.
+
+    The sample is `sample` labelled ids that the documents have, drawn by hash. Ids with several
+    labels count the worst; of rows that share an id the text with the least hash counts.
+    """
     told = (
         labels.filter("doc_id is not null and (toxic is not null or quality is not null)")
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg(
             F.max(F.coalesce(F.col("quality") == 0, F.lit(False)).cast("int")).alias("low_quality"),
@@ -163,7 +168,10 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    return docs.select("doc_id", whole().alias("text")).join(F.broadcast(told), "doc_id")
+    chosen = docs.select("doc_id", whole().alias("text")).join(F.broadcast(told), "doc_id")
+    return chosen.groupBy("doc_id", *CHAIN).agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")
+    ).select("doc_id", "text", *CHAIN)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:

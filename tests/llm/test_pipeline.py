@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from listings_spark.llm import secrets
+from listings_spark.llm.common import shared_folder, stored
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -46,7 +47,7 @@ def test_stages(spark, corpus, monkeypatch):
         made = stage(spark, given, folder)
         if name != "packing":
             assert made.columns == given.columns
-        made = corpus_pipeline.stored(made, "test")
+        made = stored(made, "test")
         out[name], given = made.collect(), made
 
     root = lambda i: copies.get(i, i)
@@ -84,6 +85,60 @@ def test_stages_on_no_documents(spark, corpus):
         assert stage(spark, none, corpus[0]).collect() == []
 
 
+def test_any_column_names(spark, corpus):
+    """Columns named like the stages' own pass through every stage."""
+    names = ["row", "row_key", "times", "alike", "planned", "node", "print", "value", "size", "odds", "_times", "_kept"]
+    rows = [(90_000 + i, f"text {i % 3} of some words", "en", "a", 5, *[f"{n}{i}" for n in names]) for i in range(6)]
+    given = spark.createDataFrame(rows, DDL + "".join(f", {n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, given, corpus[0])
+        if name != "packing":
+            assert made.columns == given.columns
+            assert {tuple(r) for r in made.collect()} <= set(rows)
+        given = stored(made, "test")
+    assert given.count() > 0
+
+
+def test_mixing_tells_rows_of_two_sources_apart(spark, corpus):
+    """Rows alike in id and text but of different sources are never taken for one another."""
+    text = " ".join(f"w{i}" for i in range(120))
+    rows = [(i, f"{text} {i}", "en", s, 1) for i in range(4) for s in ("a", "b")] + [(9, text, "en", "b", 1)]
+    given = spark.createDataFrame(rows, DDL)
+    mixed = corpus_pipeline.mix_sources(spark, given, corpus[0]).collect()
+    sizes = {s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in "ab"}
+    words = Counter()
+    for r in mixed:
+        words[r["source"]] += len(r["text"].split())
+    all_ = sum(sizes.values())
+    targets = {"a": min(3 * sizes["a"], all_ * 5 / 7), "b": all_ * 2 / 7}
+    assert all(abs(words[s] - targets[s]) <= 121 for s in "ab")
+
+
+def test_no_labels(spark, corpus, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    given = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    assert corpus_pipeline.reject_toxic(spark, given, str(tmp_path)).count() == given.count()
+
+
+def test_a_very_long_text_passes_every_stage(spark, corpus):
+    text = " ".join(f"w{i % 4999}q{i // 7}" for i in range(110_000))
+    given = spark.createDataFrame([(1, text, "en", "a", len(text)), (2, "short text", "en", "a", 10)], DDL)
+    for _, stage in corpus_pipeline.STAGES:
+        given = stored(stage(spark, given, corpus[0]), "test")
+    assert given.filter("doc_id = 1").count() >= 1
+
+
+def test_stages_leave_no_tables_but_their_decisions(spark, corpus):
+    given = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda: {s.getPath().getName() for s in files.listStatus(path)}
+    before = names()
+    for stage in (corpus_pipeline.drop_near_copies, corpus_pipeline.mix_sources, corpus_pipeline.pack_batches):
+        stage(spark, given, corpus[0]).count()
+    assert sorted(n.partition("-")[0] for n in names() - before) == ["kept", "packed", "taken"]
+
+
 def test_stages_on_null_and_repeated_rows(spark, corpus):
     """Rows without id, text or source pass every stage; wholly repeated rows count once as copies."""
     text = " ".join(f"word{i}" for i in range(40))

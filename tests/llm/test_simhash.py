@@ -112,83 +112,3 @@ def test_empty_null_ids_and_repeated_rows(spark):
     got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 4
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 7), (7, 7), (7, 7)]
-
-
-def test_near_copies_of_five_word_shingles(spark):
-    """Edited copies of similarity 0.85 and more are found, texts under 0.5 are left alone."""
-    rng = random.Random(12)
-    words = [f"word{i}" for i in range(3000)]
-    rows, source = [], {}
-    for i in range(80):
-        text = rng.choices(words, k=400)
-        rows.append((i * 10, " ".join(text)))
-        for k, edits in ((1, 0), (2, 1), (3, 4), (4, 100)):
-            other = list(text)
-            for at in rng.sample(range(0, 400, 4), edits):
-                other[at] = "edited"
-            rows.append((i * 10 + k, " ".join(other)))
-            source[i * 10 + k] = i * 10 if edits < 100 else i * 10 + k
-    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, node int")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
-    assert len(got) == len(rows)
-    assert all(got[i] == i for i, s in source.items() if s == i)
-    near = [i for i, s in source.items() if s != i]
-    assert sum(got[i] == source[i] for i in near) >= 0.97 * len(near)
-
-
-def edited(text, kind, similarity, new):
-    """A copy of about that similarity of its five-word shingles, whose new words are all its own."""
-    n = len(text) - 4
-    if kind == "appended":
-        return text + new[: round(n / similarity - n)]
-    lost = round(n * (1 - similarity) / (1 + similarity))  # shingles that differ on each side
-    if kind == "replaced":
-        return text[:20] + new[: lost - 4] + text[16 + lost :]
-    out = list(text)
-    for k in range(lost // 5):
-        out[8 + 5 * k] = new[k]
-    return out
-
-
-def jaccard(x, y):
-    a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (x, y))
-    return len(a & b) / len(a | b)
-
-
-def test_isolated_pairs_by_kind_of_edit(spark):
-    rng = random.Random(77)
-    words, rows, wanted = [f"w{i}" for i in range(5000)], [], {}
-    for kind in ("appended", "replaced", "scattered"):
-        for similarity in (0.76, 0.81, 0.83, 0.87, 0.9):
-            for _ in range(15):
-                text, new = rng.choices(words, k=200), [f"n{rng.getrandbits(40)}" for _ in range(100)]
-                other, i = edited(text, kind, similarity, new), 2 * len(rows)
-                wanted[i + 2] = i if jaccard(text, other) >= 0.8 else i + 2
-                rows += [(i, " ".join(text)), (i + 2, " ".join(other))]
-    assert 0.75 < sum(i != k for i, k in wanted.items()) / len(wanted) < 0.85
-    got = dict(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert sum(got[i] == k for i, k in wanted.items()) >= 0.99 * len(wanted)
-    assert all(got[i] == i for i, k in wanted.items() if i == k)
-
-
-def test_units_hold_all_pairs_of_different_labels_in_small_blocks(spark):
-    rng = random.Random(6)
-    rows, most = [], 16
-    for value, sizes in ((1, [150]+[1] * 60), (2, [3, 2, 1]), (3, [40, 30, 9, 9]), (4, [1] * 100)):
-        for label, n in enumerate(sizes):
-            rows += [(value, 1000 * value + 200 * len(rows) + k, label) for k in range(n)]
-    rng.shuffle(rows)
-    met = spark.createDataFrame(rows, "value long, node long, label long")
-    units = {}
-    for unit, node, label, side in simhash._units(met, most).collect():
-        units.setdefault(unit, ([], []))[side].append((node, label))
-    assert max(len(s) for u in units.values() for s in u) <= 3 * most  # blocks by hash vary
-    got = set()
-    for zero, one in units.values():
-        for x in zero:
-            got |= {frozenset((x, y)) for y in one or zero if x[1] != y[1]}
-    by_value = {}
-    for value, node, label in rows:
-        by_value.setdefault(value, []).append((node, label))
-    wanted = {frozenset((x, y)) for v in by_value.values() for x in v for y in v if x[1] != y[1]}
-    assert got == wanted
