@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ LETTERS = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 END = b"\x00"  # in no term; closes a complete one
+BITS = 1 << 23  # of a sieve
+HELD = 1 << 19  # prefixes or terms that a task holds before it sends its counts on
 
 
 def _term_batches(batches):
@@ -55,15 +59,67 @@ def document_terms(docs: DataFrame) -> DataFrame:
     )
 
 
-def _prefix(term: Column, length: int) -> Column:
-    return F.substring(F.concat(term, F.lit(END)), 1, length)
+def sieve(alive: DataFrame, column: str) -> bytes:
+    """A bit for every hash of (lang, column) that occurs: a filter of fixed size for any corpus.
 
+    What it lets through by chance costs a count, and exact counts decide later.
+    """
+    place = F.pmod(F.crc32(F.concat(F.encode("lang", "UTF-8"), F.lit(END), F.col(column))), F.lit(BITS))
+    words = (
+        alive.select(place.alias("place"))
+        .groupBy(F.shiftright("place", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
+        .collect()  # BITS / 64 rows at most
+    )
+    bits = np.zeros(BITS // 64, dtype=np.int64)
+    for row in words:
+        bits[row["word"]] = row["bits"]
+    return bits.tobytes()
+
+
+class _Sieve(dict):
+    """Whether a prefix of one language may be alive; asked once for each prefix."""
+
+    def __init__(self, bits: bytes, lang: str):
+        self.bits, self.start = bits, crc32(lang.encode() + END)
+
+    def __missing__(self, prefix: bytes) -> bool:
+        if len(self) > HELD:
+            self.clear()
+        at = crc32(prefix, self.start) % BITS
+        found = self[prefix] = bool(self.bits[at >> 3] >> (at & 7) & 1)
+        return found
+
+
+def _prefix_batches(length: int, before: int, bits: bytes | None):
+    """Documents of each open prefix of a level, added up in the task."""
+
+    def told(counts):
+        rows = [(lang, p, n) for lang, found in counts.items() for p, n in found.items()]
+        columns = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)],
+            names=["lang", "prefix", "n"],
+        )
 
-def _level(terms: DataFrame, length: int, before: int) -> DataFrame:
-    """(lang, prefix): the prefixes of `length` bytes of each document's open terms, once a document."""
-    open_ = F.filter("terms", lambda t: F.octet_length(t["term"]) >= before) if before else F.col("terms")
-    prefixes = F.array_distinct(F.transform(open_, lambda t: _prefix(t["term"], length)))
-    return terms.select("lang", F.explode(prefixes).alias("prefix"))
+    def run(batches):
+        counts: dict[str, Counter] = {}
+        sieves: dict[str, _Sieve] = {}
+        for batch in batches:
+            for lang, terms in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = terms.values.field("term").to_pylist()
+                if bits is None:
+                    found = {(t + END)[:length] for t in words}
+                else:
+                    alive = sieves.setdefault(lang, _Sieve(bits, lang))
+                    found = {(t + END)[:length] for t in words if len(t) >= before and alive[t[:before]]}
+                counts.setdefault(lang, Counter()).update(found)
+            if sum(map(len, counts.values())) > HELD:
+                yield told(counts)
+                counts = {}
+        yield told(counts)
+
+    return run
 
 
 def kept_terms(terms: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -72,21 +128,17 @@ def kept_terms(terms: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     Iceberg refinement. A level counts the documents of every prefix of its length and drops the
     rare ones; the next level extends only prefixes that survived and are no complete terms. No
     term under a dropped prefix can be frequent. Documents are counted in their own rows, so
-    partial counts leave the tasks and no document ids do. Levels end when all survivors are
-    complete; their number is logarithmic in the length of the longest frequent beginning.
+    partial counts leave the tasks and no document ids do; survivors reach the tasks as a `sieve`.
+    Levels end when all survivors are complete; their number is logarithmic in the length of the
+    longest frequent beginning.
     """
-    found, alive, before, length = [], None, 0, FIRST_PREFIX
+    found, bits, before, length = [], None, 0, FIRST_PREFIX
     while True:
-        level = _level(terms, length, before)
-        if alive is not None:
-            parents = alive.select(F.col("lang").alias("_lang"), F.col("prefix").alias("_prefix"))
-            level = level.join(
-                parents,
-                (F.col("lang") == F.col("_lang")) & (F.substring("prefix", 1, before) == F.col("_prefix")),
-                "left_semi",
-            )
+        level = terms.select("lang", "terms").mapInArrow(
+            _prefix_batches(length, before, bits), "lang string, prefix binary, n long"
+        )
         often = stored(
-            level.groupBy("lang", "prefix").count().filter(F.col("count") >= least).select("lang", "prefix"),
+            level.groupBy("lang", "prefix").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("lang", "prefix"),
             "prefixes",
         )
         complete = F.substring("prefix", -1, 1) == F.lit(END)
@@ -97,11 +149,38 @@ def kept_terms(terms: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
         alive = often.filter(~complete)
         if alive.isEmpty():
             break
-        before, length = length, length * WIDER
-    kept = found[0]
-    for more in found[1:]:
-        kept = kept.union(more)
-    return kept
+        bits, before, length = sieve(alive, "prefix"), length, length * WIDER
+    return reduce(DataFrame.union, found)
+
+
+def _occurrence_batches(bits: bytes):
+    """Occurrences of terms that may be kept, by group, added up in the task."""
+
+    def told(counts):
+        rows = [(*group, t, n) for group, found in counts.items() for t, n in found.items()]
+        columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+        types = (pa.string(), pa.string(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["lang", "source", "term", "n"]
+        )
+
+    def run(batches):
+        counts: dict[tuple, dict] = {}
+        sieves: dict[str, _Sieve] = {}
+        for batch in batches:
+            for lang, source, terms in zip(*[batch.column(k).to_pylist() for k in (0, 1)], batch.column(2), strict=True):
+                alive = sieves.setdefault(lang, _Sieve(bits, lang))
+                group = counts.setdefault((lang, source), {})
+                values = terms.values
+                for t, n in zip(values.field("term").to_pylist(), values.field("n").to_pylist(), strict=True):
+                    if alive[t]:
+                        group[t] = group.get(t, 0) + n
+            if sum(map(len, counts.values())) > HELD:
+                yield told(counts)
+                counts = {}
+        yield told(counts)
+
+    return run
 
 
 def share(count: Column | int, all_: Column, terms: Column) -> Column:
@@ -155,9 +234,10 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, most: int = MOST_TERMS)
     terms = stored(document_terms(docs), "terms")
     kept = stored(kept_terms(terms, least), "kept")
     counted = (
-        terms.select("lang", "source", F.explode("terms").alias("t"))
-        .groupBy("lang", "source", F.col("t.term").alias("term"))
-        .agg(F.sum("t.n").alias("n"))
+        terms.mapInArrow(
+            _occurrence_batches(sieve(kept, "term")), "lang string, source string, term binary, n long"
+        )
+        .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     )
     by_term = stored(
         counted.join(kept, ["lang", "term"], "left_semi")
