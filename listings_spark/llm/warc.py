@@ -151,6 +151,7 @@ def _described(df: DataFrame, keep: list[str]) -> DataFrame:
         ),
         F.octet_length("payload").cast("long").alias("bytes_read"),
         F.sha2("payload", 256).alias("digest_read"),
+        F.sha2("bytes", 256).alias("content"),
     )
 
 
@@ -204,7 +205,8 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     header is a candidate that names its successor, the offset where its block must end. Offsets
     are running totals over the narrow pieces of one file (writers bound files); only candidates on the chain from byte 0 are records, so
     magic strings inside payloads, even whole records there, are rejected. Records cut by such
-    strings are put together again from their pieces.
+    strings are put together again from their pieces, which a second scan finds by the digests of
+    their contents, so nothing depends on how either scan was split.
 
     A file that does not begin with a record, or whose chain breaks, yields the records before
     the break. Empty folder: no rows.
@@ -235,8 +237,14 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     if cut.isEmpty():
         return complete
     members = stored(_members(placed, cut), "members")
+    wanted = members.select(F.col("content").alias("_content")).distinct()
+    texts = (
+        pieces.select(F.sha2(F.col("piece").cast("binary"), 256).alias("content"), "piece")
+        .join(wanted, F.col("content") == F.col("_content"), "left_semi")
+        .groupBy("content").agg(F.first("piece").alias("piece"))
+    )
     joined = (
-        pieces.join(members, ["file", "part", "seq"])
+        members.join(texts, "content")
         .groupBy("file", "owner")
         .agg(F.sort_array(F.collect_list(F.struct("at", F.col("piece").alias("text")))).alias("all"))
         .withColumn("piece", F.array_join(F.col("all.text"), MAGIC))
@@ -254,9 +262,9 @@ def _members(placed: DataFrame, cut: DataFrame) -> DataFrame:
     ranges = cut.withColumn(
         "cell", F.explode(F.sequence(F.shiftright("owner", cell), F.shiftright("next", cell)))
     )
-    here = placed.select("file", "part", "seq", "at", F.shiftright("at", cell).alias("cell"))
+    here = placed.select("file", "at", "content", F.shiftright("at", cell).alias("cell"))
     return here.join(ranges, ["file", "cell"]).filter("at >= owner and at < next").select(
-        "file", "part", "seq", "at", "owner"
+        "file", "at", "owner", "content"
     )
 
 

@@ -58,6 +58,28 @@ def test_payloads_with_magic_and_whole_records(spark):
     assert round_trip(spark, rows, split="512") == expected(rows)
 
 
+def test_scans_split_in_different_ways(spark, monkeypatch):
+    """Executors lost between the two scans change their splits, and no record."""
+    rows = [(i, f"u{i}", f"{i} {FAKE * (i % 3)} tail {'y' * (i % 97)}" if i % 2 else FAKE + "z" * 400, None) for i in range(160)]
+    plain = warc.stored
+
+    def other_splits(df, name):
+        out = plain(df, name)
+        if name == "members":
+            spark.conf.set("spark.sql.files.minPartitionNum", "7")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        return out
+
+    monkeypatch.setattr(warc, "stored", other_splits)
+    assert round_trip(spark, rows) == expected(rows)
+    assert round_trip(spark, rows, split="700") == expected(rows)
+
+
+def test_a_very_long_payload(spark):
+    rows = [(1, "u", ("long words " + FAKE) * 20_000, None), (2, "u", "x" * 3_000_000, None)]
+    assert round_trip(spark, rows) == expected(rows)
+
+
 def test_nulls_ties_and_copies(spark):
     rows = [(i, f"u{i}", "same " * 40, None) for i in range(30)]
     rows += [(100, "u", None, None), (101, None, "", None), (102, "u", "tiny", None), (103, "u", "tiny", None)]
