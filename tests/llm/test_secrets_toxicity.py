@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 
@@ -90,6 +91,75 @@ def test_long_strings_of_small_alphabets():
     assert secrets.novel_spans("the signing key is " + "A1B2" * 40, []) == []
 
 
+def plain_secrets(text, base):
+    """The same decisions by loops over all pairs and plain searches."""
+    runs = []
+    for m in secrets.CANDIDATE.finditer(text):
+        value = m.start() + m[0].rstrip("=").rfind("=") + 1
+        runs.append([
+            (s, m.end()) for s in sorted({value, m.start()}, reverse=True)
+            if m.end() - s >= 16 and re.search("[0-9]", text[s : m.end()]) and re.search("[A-Za-z]", text[s : m.end()])
+            and secrets.SENSITIVE.search(text, max(0, m.start() - 64), s)
+            and not any(b.start < m.end() and s < b.end for b in base)
+        ])
+
+    def novel(s, e, around):
+        return secrets.marginal_bytes(text[s:e], around) >= secrets.least_bytes(text[s:e])
+
+    found = {}
+    for spans in runs:
+        at = next((x for x in spans if novel(*x, text[max(0, x[0] - 512) : x[0]] + text[x[1] : x[1] + 512])), None)
+        if at:
+            found[at[0]] = at
+    judged = {}
+    for spans in runs:
+        for s, e in spans:
+            if s in found or judged.get(text[s:e]):
+                break
+            value, low, high = text[s:e], max(0, s - 512), e + 512
+            left, right = secrets.without(value, text, low, s), secrets.without(value, text, e, high)
+            if len(left) + len(right) < s - low + len(text[e:high]):
+                judged[value] = novel(s, e, left + right)
+                if judged[value]:
+                    found[s] = (s, e)
+                    break
+    taken = [(b.start, b.end) for b in base] + list(found.values())
+    copies = sorted({(m.start(), m.end()) for v in {text[s:e] for s, e in found.values()} for m in re.finditer(re.escape(v), text)},
+                    key=lambda c: (c[0], -c[1]))
+    for s, e in copies:
+        if not any(a < e and s < b for a, b in taken):
+            taken.append((s, e))
+            found[s] = (s, e)
+    return sorted((s, 3, e) for s, e in found.values())
+
+
+def test_novel_spans_equal_plain_loops():
+    rng = random.Random(21)
+    letters = "ABCDEFabcdef0123456789xyzXYZ+/_="
+    parts = ["key ", "token=", "password: ", "flower ", "\n", "a = ", "0123456789abcdef" * 2 + " ", "AKIA", "API_KEY=", "😀 "]
+    values = ["".join(rng.choices(letters, k=rng.randint(12, 40))) for _ in range(12)]
+    for _ in range(400):
+        text = "".join(rng.choice([*parts, *values, "some plain words "]) for _ in range(rng.randint(1, 40)))
+        base = secrets.base_spans(text)
+        assert [tuple(s) for s in secrets.secret_spans(text, base)] == plain_secrets(text, base)
+
+
+def test_time_is_linear_in_the_length():
+    rng = random.Random(5)
+    block = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPabcdefghijk0123456789", k=24))
+    times = []
+    for n in (2_000, 20_000):
+        text = "".join(f"key {block()} token: {block()}\n" for _ in range(n))
+        start = time.perf_counter()
+        spans = secrets.secret_spans(text, secrets.base_spans(text))
+        times.append(time.perf_counter() - start)
+        assert len(spans) > 0.9 * n
+    assert len(text) > 1_200_000 and times[1] < 30 * times[0]
+    start = time.perf_counter()
+    assert secrets.masked("the key " + "Zx8" * 400_000, "[removed]")
+    assert time.perf_counter() - start < 20
+
+
 def test_mask(spark):
     rows = [(1, TEXTS[2], 5), (2, None, None), (3, "clean", 99), (4, TEXTS[7], 1)]
     got = {
