@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from listings_spark.checks.views import read, with_views
 from listings_spark.operators import audit as U
 from listings_spark.operators import directory as V
+from listings_spark.operators import histories
 from listings_spark.operators import lifecycle as L
 from listings_spark.operators import quality as Q
 from listings_spark.sources.session import ensure_checkpoint_dir
@@ -155,6 +156,28 @@ def _(spark, sf):
     return L.counters_from(folded(spark, sf))
 
 
+def in_blocks(spark, sf):
+    # Histories of more than a few commits are cut into blocks that fold apart.
+    ensure_checkpoint_dir(spark)
+    events = log(spark, sf).checkpoint()
+    return L.fold(events, threshold=T, long=histories.long_histories(events, 5))
+
+
+@check("merge_in_blocks", f"WITH {LIFE} SELECT * FROM final")
+def _(spark, sf):
+    return L.listings_from(in_blocks(spark, sf))
+
+
+@check("links_in_blocks", f"WITH {LIFE} SELECT * FROM links")
+def _(spark, sf):
+    return L.provenance_from(in_blocks(spark, sf), T)
+
+
+@check("counters_in_blocks", f"WITH {LIFE} SELECT * FROM counters")
+def _(spark, sf):
+    return L.counters_from(in_blocks(spark, sf))
+
+
 @check(
     "merge_incremental",
     f"WITH {LIFE} SELECT * FROM final",

@@ -8,9 +8,9 @@ only feeds the monotonic `last_seen_at`.
 
 Scale: `collapse_log` pre-aggregates on the map side, so a listing has at most one row per
 commit however many raw rows it had. Everything after it is partitioned by listing: one
-shuffle of the collapsed log and one of the state; all windows and aggregates reuse it. The
-rows of one listing are bounded by the number of commits in the merged slice, and
-`replay` cuts long histories into slices of bounded length.
+shuffle of the collapsed log and one of the state; all windows and aggregates reuse it. Listings
+with very many commits in a slice are cut into blocks that fold apart (`histories`), and `replay`
+cuts long logs into slices.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listings_spark import constants as K
+from listings_spark.operators import histories
 from listings_spark.sources.session import ensure_checkpoint_dir
 
 FIELDS = ("company", "title", "location", "link", "category", "employment_type")
@@ -93,6 +94,11 @@ def _state_events(listings: DataFrame, provenance: DataFrame, threshold: int) ->
     return stored.unionByName(linked)
 
 
+def _parts(blocks: bool) -> list[str]:
+    """What a fold is partitioned by."""
+    return ["listing_id", "block"] if blocks else ["listing_id"]
+
+
 def _count(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
@@ -102,10 +108,12 @@ def fold(
     listings: DataFrame | None = None,
     provenance: DataFrame | None = None,
     threshold: int = K.CLOSURE_CONFIRMATIONS,
+    long: DataFrame | None = None,
 ) -> DataFrame:
     """Every event of a collapsed log with the state around it.
 
-    Adds the incarnation of the listing (a deletion starts a new one), whether the event
+    `long` names the blocks of long histories (`histories.long_histories`); without it a
+    listing's events are folded in one task. Adds the incarnation of the listing (a deletion starts a new one), whether the event
     is effective, and the flags is_new, is_changed, is_reopened, is_closed, is_deleted.
     """
     if not 1 <= threshold <= 10:
@@ -113,7 +121,10 @@ def fold(
     events = _log_events(log)
     if listings is not None:
         events = events.unionByName(_state_events(listings, provenance, threshold))
-    events = events.repartition("listing_id")
+    by = _parts(long is not None)
+    if long is not None:
+        events = histories.in_blocks(events, long, FIELDS, OPTIONAL, threshold)
+    events = events.repartition(*by)
 
     kind = F.col("kind")
     observed, stored, linked = kind == "observed", kind == "state", kind == "link"
@@ -122,7 +133,7 @@ def fold(
     before = (Window.unboundedPreceding, -1)
     upto = (Window.unboundedPreceding, Window.currentRow)
 
-    in_order = Window.partitionBy("listing_id").orderBy("run_seq")
+    in_order = Window.partitionBy(*by).orderBy("run_seq")
     events = events.withColumn(
         "incarnation", F.coalesce(_count(deletes).over(in_order.rowsBetween(*before)), F.lit(0))
     ).withColumn(
@@ -131,13 +142,13 @@ def fold(
 
     # Per search and listing: confirmations since the last reset. A successful audit resets
     # every pair of its listing, so counting starts again in each epoch.
-    pair = Window.partitionBy("listing_id", "incarnation", "search_slug").orderBy("run_seq")
+    pair = Window.partitionBy(*by, "incarnation", "search_slug").orderBy("run_seq")
     events = events.withColumn(
         "_linked",
         F.coalesce(F.max(observed | linked).over(pair.rowsBetween(*before)), F.lit(False)),
     )
     weight = F.when(missing & F.col("_linked"), 1).when(linked, F.col("carried")).otherwise(0)
-    spell = Window.partitionBy("listing_id", "incarnation", "search_slug", "epoch").orderBy(
+    spell = Window.partitionBy(*by, "incarnation", "search_slug", "epoch").orderBy(
         "run_seq"
     )
     events = events.withColumn("_weight", weight).withColumn(
@@ -159,8 +170,8 @@ def fold(
     )
 
     # Per listing: how many pairs exist and how many of them are switched off.
-    life = Window.partitionBy("listing_id", "incarnation").orderBy("run_seq")
-    era = Window.partitionBy("listing_id", "incarnation", "epoch").orderBy("run_seq")
+    life = Window.partitionBy(*by, "incarnation").orderBy("run_seq")
+    era = Window.partitionBy(*by, "incarnation", "epoch").orderBy("run_seq")
     pairs = F.coalesce(F.sum("_joins").over(life.rowsBetween(*before)), F.lit(0))
     switched = F.coalesce(
         F.sum(F.col("_off") - F.col("_on")).over(era.rowsBetween(*before)), F.lit(0)
@@ -204,7 +215,7 @@ def fold(
         .withColumn("_effective_time", F.max(seen).over(life.rowsBetween(*upto)))
         .withColumn(
             "_deletions",
-            _count(deletes).over(Window.partitionBy("listing_id")),
+            _count(deletes).over(Window.partitionBy(*by)),
         )
     )
 
@@ -227,7 +238,9 @@ def listings_from(folded: DataFrame) -> DataFrame:
     raises = F.when(F.col("is_closed"), F.col("observed_at")).when(
         (kind == "audit_available") & F.col("is_reopened"), F.col("_effective_time")
     )
-    whole = Window.partitionBy("listing_id", "incarnation")
+    blocks = "block" in folded.columns
+    by = _parts(blocks)
+    whole = Window.partitionBy(*by, "incarnation")
     rows = (
         _surviving(folded)
         .withColumn("_sets", sets)
@@ -257,22 +270,35 @@ def listings_from(folded: DataFrame) -> DataFrame:
         "_last_epoch",
         F.max(F.col("epoch") + F.when(kind == "audit_available", 1).otherwise(0)).over(whole),
     )
-    return (
-        rows.groupBy("listing_id")
+    found = (
+        rows.groupBy(*by)
         .agg(
+            *([F.max("last_block").alias("_last_block")] if blocks else []),
             F.max_by(F.struct(*FIELDS), F.when(content, order)).alias("_fields"),
             *optional,
             F.min_by(birth, F.when(content, order)).alias("first_seen_at"),
             F.max("_effective_time").alias("last_seen_at"),
-            F.greatest(
-                F.max_by("_sets", F.when(F.col("_sets").isNotNull(), order)),
-                F.max(F.when(order > F.col("_last_set"), F.col("_raises"))),
-            ).alias("updated_at"),
+            F.max_by("_sets", F.when(F.col("_sets").isNotNull(), order)).alias("_set"),
+            F.max(F.when(order > F.coalesce("_last_set", F.lit(-2)), F.col("_raises"))).alias("_raised"),
             F.max("carried_status").alias("_carried"),
             F.bool_or(kind == "audit_available").alias("_audited"),
             F.sum("_joins").alias("_pairs"),
             F.coalesce(F.sum(in_last), F.lit(0)).alias("_off"),
         )
+    )
+    updated = F.greatest("_set", "_raised")
+    if blocks:
+        # Blocks in order: the last one that set a time, and the times that raised it since.
+        found = found.groupBy("listing_id").agg(
+            F.max_by(F.struct(*[c for c in found.columns if c not in ("listing_id", "_set", "_raised")]), "block").alias("_end"),
+            F.sort_array(F.collect_list(F.struct("block", "_set", "_raised"))).alias("_times"),
+        ).select("listing_id", "_end.*", "_times").filter("block = _last_block")
+        updated = F.aggregate(
+            "_times", F.lit(None).cast("timestamp_ntz"),
+            lambda held, x: F.greatest(F.coalesce(x["_set"], held), x["_raised"]),
+        )
+    return (
+        found.withColumn("updated_at", updated)
         .filter(F.col("_fields").isNotNull())
         .withColumn(
             "status",
@@ -294,7 +320,10 @@ def provenance_from(folded: DataFrame, threshold: int = K.CLOSURE_CONFIRMATIONS)
     kind = F.col("kind")
     seen = kind.isin("observed", "link")
     order = F.col("run_seq")
-    whole = Window.partitionBy("listing_id", "incarnation")
+    by = _parts("block" in folded.columns)
+    if len(by) > 1:
+        folded = folded.filter("block = last_block")
+    whole = Window.partitionBy(*by, "incarnation")
     rows = (
         _surviving(folded)
         .withColumn(
@@ -307,7 +336,7 @@ def provenance_from(folded: DataFrame, threshold: int = K.CLOSURE_CONFIRMATIONS)
     in_last = F.col("epoch") == F.col("_last_epoch")
     after = F.when(in_last, F.col("_counted"))
     return (
-        rows.groupBy("listing_id", "search_slug")
+        rows.groupBy(*by, "search_slug")
         .agg(
             F.min_by(
                 F.coalesce("carried_first", "observed_at"), F.when(seen, order)
@@ -380,7 +409,8 @@ def merge(
     All three read one fold, which is written once to the shared checkpoint folder.
     """
     ensure_checkpoint_dir(log.sparkSession)
-    folded = fold(log, listings, provenance, threshold).checkpoint()
+    long = histories.long_histories(log)
+    folded = fold(log, listings, provenance, threshold, long).checkpoint()
     return listings_from(folded), provenance_from(folded, threshold), counters_from(folded)
 
 

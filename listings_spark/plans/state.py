@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from listings_spark import constants as K
 from listings_spark.operators import audit as U
+from listings_spark.operators import histories
 from listings_spark.operators import lifecycle as L
 from listings_spark.sources import tables
 from listings_spark.sources.runlog import new_commits
@@ -43,6 +44,7 @@ def merge_state(
         listings.join(touched, "listing_id", "left_semi"),
         provenance.join(touched, "listing_id", "left_semi"),
         threshold,
+        histories.long_histories(log),
     )
     # Both results read the fold; it is written once instead of being computed twice.
     ensure_checkpoint_dir(log.sparkSession)
