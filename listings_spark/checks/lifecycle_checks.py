@@ -14,6 +14,7 @@ from listings_spark.sources.session import ensure_checkpoint_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+ORACLES_RAW: dict[str, str] = {}  # before the views are put in front
 
 
 def check(name: str, sql: str | None = None):
@@ -21,6 +22,7 @@ def check(name: str, sql: str | None = None):
         QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = with_views(sql)
+            ORACLES_RAW[name] = sql
         return fn
 
     return register
@@ -261,10 +263,13 @@ AUDITED = (
 )
 
 
+def page_facts(listings):
+    return listings.select("listing_id", *[F.expr(x) for x in _split_items(CHECKED)])
+
+
 def audited(listings):
-    checks = listings.select("listing_id", *[F.expr(x) for x in _split_items(CHECKED)])
     stamp = F.expr("timestamp_ntz'2024-01-25 12:00:00'")
-    return U.outcomes(checks).withColumn("observed_at", stamp)
+    return U.outcomes(page_facts(listings)).withColumn("observed_at", stamp)
 
 
 def _split_items(text: str) -> list[str]:

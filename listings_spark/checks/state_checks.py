@@ -65,6 +65,110 @@ def _(spark, sf):
     return S.load_state(spark, f"{base}/state")["listings"]
 
 
+@check("reordered_log", f"WITH {LIFE} SELECT * FROM final")
+def _(spark, sf):
+    # Commits arrive in an order drawn by hash; each waits until all before it are there.
+    log, base = committed(spark, sf), place(spark)
+    parts = log.withColumn("part", F.pmod(F.xxhash64("run_seq"), F.lit(4)))
+    parts.write.partitionBy("part").parquet(f"{base}/log")
+    expected = log.select("run_seq").distinct()
+    reach = log.agg(F.max("run_seq") - F.min("run_seq")).first()[0]
+    for part in range(4):
+        stream = spark.readStream.schema(log.schema).parquet(f"{base}/log/part={part}")
+        M.merge_stream_in_order(
+            stream, f"{base}/state", f"{base}/marks-{part}", expected, reach + 1, T
+        ).awaitTermination()
+    return S.load_state(spark, f"{base}/state")["listings"]
+
+
+# The youngest tenth of the commits arrives first and is merged; the rest comes too late.
+@check(
+    "late_commits",
+    f"WITH {LIFE}, cut AS (SELECT max(run_seq) - (max(run_seq) - min(run_seq)) // 10 AS bound FROM lg)"
+    " SELECT listing_id, run_seq, kind FROM lg, cut WHERE run_seq < bound",
+)
+def _(spark, sf):
+    log, base = committed(spark, sf), place(spark)
+    low, high = log.agg(F.min("run_seq"), F.max("run_seq")).first()
+    at = high - (high - low) // 10
+    S.apply_in_order(log.filter(F.col("run_seq") >= at), base, threshold=T, last=True)
+    S.apply_in_order(log.filter(F.col("run_seq") < at), base, threshold=T, last=True)
+    return S.late_commits(spark, base).select("listing_id", "run_seq", "kind")
+
+
+HALF = (2024 * 12 + 1) * 744 * 5 + 5 * 24 * 15
+
+
+@check(
+    "evolved_state",
+    f"WITH {LIFE}, held AS (SELECT listing_id FROM lives JOIN (SELECT DISTINCT listing_id, last_inc FROM ev)"
+    f" USING (listing_id) WHERE inc = last_inc AND born < {HALF})"
+    " SELECT f.*, CASE WHEN h.listing_id IS NOT NULL THEN 'first half' END AS note, CAST(NULL AS INTEGER) AS score"
+    " FROM final f LEFT JOIN held h USING (listing_id)",
+)
+def _(spark, sf):
+    # A column with a constant and one without are added between two merges.
+    log, base = committed(spark, sf), place(spark)
+    S.apply_log(log.filter(F.col("run_seq") < HALF), base, T)
+    S.evolve_state(spark, base, "listings", {"note": "string"}, backfill={"note": "first half"})
+    S.evolve_state(spark, base, "listings", {"score": "int"})
+    S.apply_log(log.filter(F.col("run_seq") >= HALF), base, T)
+    return S.load_state(spark, base)["listings"]
+
+
+BROKEN = (
+    "CASE WHEN listing_id LIKE '%3' THEN 'contract' ELSE employment_type END AS employment_type,"
+    " CASE WHEN listing_id LIKE '%33' OR listing_id LIKE '%4' THEN first_seen_at - INTERVAL '1' DAY"
+    " ELSE last_seen_at END AS last_seen_at"
+)
+
+
+@check(
+    "quarantine",
+    f"WITH {LIFE} SELECT listing_id AS key, concat_ws(',', CASE WHEN listing_id LIKE '%3' THEN"
+    " 'employment_type' END, CASE WHEN listing_id LIKE '%33' OR listing_id LIKE '%4' THEN 'seen_at_order' END)"
+    " AS violations, false AS readable FROM final WHERE listing_id LIKE '%3' OR listing_id LIKE '%4'"
+    " UNION ALL SELECT listing_id, '', true FROM final"
+    " WHERE listing_id NOT LIKE '%3' AND listing_id NOT LIKE '%4'",
+)
+def _(spark, sf):
+    # A publication with broken rows: they are set aside, the others are read.
+    base = place(spark)
+    listings = lifecycle_checks.state(spark, sf)[0]
+    broken = listings.selectExpr(
+        *[c for c in listings.columns if c not in ("employment_type", "last_seen_at")],
+        BROKEN.split(", CASE")[0], "CASE" + BROKEN.split(", CASE")[1],
+    )
+    tables.publish_buckets(
+        {"listings": broken}, base, "listing_id", list(range(8)), 8,
+        rules={"listings": S.RULES["listings"]()}, allowed=1 << 40,
+    )
+    kept = tables.read_buckets(spark, base, "listings", tables.manifest(spark, base))
+    return tables.read_quarantine(spark, base).select(
+        "key", F.array_join("violations", ",").alias("violations"), F.lit(False).alias("readable")
+    ).unionByName(
+        kept.select(F.col("listing_id").alias("key"), F.lit("").alias("violations"), F.lit(True).alias("readable"))
+    )
+
+
+@check("published_audit", lifecycle_checks.ORACLES_RAW["audit_apply"])
+def _(spark, sf):
+    # The audit of a published state reads and rewrites the buckets of checked listings only.
+    log, base = committed(spark, sf), place(spark)
+    S.apply_log(log, base, T)
+    listings = S.load_state(spark, base)["listings"]
+    S.apply_audit(lifecycle_checks.page_facts(listings), base, F.expr("timestamp_ntz'2024-01-25 12:00:00'"))
+    return S.load_state(spark, base)["listings"]
+
+
+@check("published_audit_report", lifecycle_checks.ORACLES_RAW["audit_summary"])
+def _(spark, sf):
+    log, base = committed(spark, sf), place(spark)
+    S.apply_log(log, base, T)
+    facts = lifecycle_checks.page_facts(S.load_state(spark, base)["listings"])
+    return S.apply_audit(facts, base, F.expr("timestamp_ntz'2024-01-25 12:00:00'"))
+
+
 @check("replayed_state", f"WITH {LIFE} SELECT * FROM links")
 def _(spark, sf):
     # The same commits again change nothing.

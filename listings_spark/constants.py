@@ -31,6 +31,8 @@ MAX_PHRASES_PER_LIST = 500
 MAX_PAGES = 10
 MAX_RESULTS = 250
 MAX_RECHECKS = 250
+MAX_COMPANY_NAMES = 50
+MAX_NOTES = 500
 MAX_ERROR_CODE = 100
 MAX_ERROR_MESSAGE = 500
 

@@ -107,10 +107,8 @@ def cards_on(cards: DataFrame, pages: DataFrame) -> DataFrame:
 def _limits(searches: DataFrame, name: str, most: int) -> DataFrame:
     """(search_slug, limit) of searches; a limit beyond the bound fails instead of cutting rows."""
     refused = F.concat(F.lit("search "), F.col("slug"), F.lit(f": {name} is over {most}"))
-    return searches.select(
-        F.col("slug").alias("search_slug"),
-        F.when(F.col(name) > most, F.raise_error(refused)).otherwise(F.col(name)).alias(name),
-    )
+    within = F.when(F.col(name) > most, F.raise_error(refused).cast("boolean")).otherwise(F.lit(True))
+    return searches.filter(within).select(F.col("slug").alias("search_slug"), name)
 
 
 def cap_per_search(first: DataFrame, searches: DataFrame) -> DataFrame:

@@ -44,6 +44,11 @@ def listing_rules() -> dict[str, Column]:
     }
 
 
+def stored_listing_rules() -> dict[str, Column]:
+    """The constraints that a published table of listings must meet; categories are free text there."""
+    return {name: rule for name, rule in listing_rules().items() if name != "category"}
+
+
 def provenance_rules() -> dict[str, Column]:
     """Constraints of search-to-listing links."""
     return {

@@ -9,11 +9,14 @@ from listings_spark import constants as K
 from listings_spark.operators import audit as U
 from listings_spark.operators import histories
 from listings_spark.operators import lifecycle as L
+from listings_spark.operators import quality as Q
 from listings_spark.sources import tables
 from listings_spark.sources.runlog import new_commits
 from listings_spark.sources.session import ensure_checkpoint_dir
 
 STATE = ("listings", "provenance")
+KEYS = {"listings": ["listing_id"], "provenance": ["search_slug", "listing_id"]}
+RULES = {"listings": Q.stored_listing_rules, "provenance": Q.provenance_rules}
 BUCKETS = 64  # of a new state; large states take more, so that a bucket stays a few tasks' work
 
 
@@ -36,7 +39,8 @@ def merge_state(
     """State after a slice; listings the slice does not mention pass through untouched.
 
     Only mentioned listings are shuffled into the fold. When the slice's ids are small enough
-    for Spark to broadcast, the untouched state is not shuffled at all.
+    for Spark to broadcast, the untouched state is not shuffled at all. Columns that the state has
+    besides those of the merge stay with their rows; a deletion ends them.
     """
     touched = log.select("listing_id").distinct()
     folded = L.fold(
@@ -49,12 +53,16 @@ def merge_state(
     # Both results read the fold; it is written once instead of being computed twice.
     ensure_checkpoint_dir(log.sparkSession)
     folded = folded.checkpoint()
-    return (
-        L.listings_from(folded).unionByName(listings.join(touched, "listing_id", "left_anti")),
-        L.provenance_from(folded, threshold).unionByName(
-            provenance.join(touched, "listing_id", "left_anti")
-        ),
-    )
+    gone = log.filter("kind = 'audit_unavailable'").select("listing_id").distinct()
+    merged = {"listings": L.listings_from(folded), "provenance": L.provenance_from(folded, threshold)}
+    out = []
+    for (name, new), old in zip(merged.items(), (listings, provenance), strict=True):
+        own = [c for c in old.columns if c not in new.columns]
+        if own:
+            kept = old.select(*KEYS[name], *own).join(gone, "listing_id", "left_anti")
+            new = new.join(kept, KEYS[name], "left")
+        out.append(new.select(*old.columns).unionByName(old.join(touched, "listing_id", "left_anti")))
+    return out[0], out[1]
 
 
 def _empty(spark: SparkSession) -> dict[str, DataFrame]:
@@ -75,7 +83,13 @@ def load_state(
     spark: SparkSession, base: str, only: list[int] | None = None
 ) -> dict[str, DataFrame]:
     """Published state, or some of its buckets; empty tables before the first publication."""
-    now, empty = tables.manifest(spark, base), _empty(spark)
+    return _held(spark, base, tables.manifest(spark, base), only)
+
+
+def _held(
+    spark: SparkSession, base: str, now: dict, only: list[int] | None
+) -> dict[str, DataFrame]:
+    empty = _empty(spark)
     state = {name: tables.read_buckets(spark, base, name, now, only) for name in STATE}
     state["commits"] = tables.read_whole(spark, base, "commits", now)
     return {name: empty[name] if df is None else df for name, df in state.items()}
@@ -94,24 +108,46 @@ def _touched(rows: DataFrame, buckets: int) -> list[int]:
 
 def _publish(
     listings: DataFrame, provenance: DataFrame, commits: DataFrame, base: str,
-    touched: list[int], buckets: int,
+    touched: list[int], buckets: int, allowed: int = 0, **whole: DataFrame,
 ) -> int:
-    """Publish the touched buckets and the narrow table of merged commits in one step."""
+    """Publish the touched buckets and the narrow table of merged commits in one step.
+
+    Rows that break a constraint go to the quarantine; more than `allowed` refuse the publication.
+    """
     return tables.publish_buckets(
         {"listings": listings, "provenance": provenance}, base, "listing_id", touched, buckets,
-        sort_by=LAYOUT, whole={"commits": commits},
+        sort_by=LAYOUT, whole={"commits": commits, **whole},
+        rules={name: rules() for name, rules in RULES.items()}, allowed=allowed,
     )
 
 
+def evolve_state(
+    spark: SparkSession, base: str, name: str, add=None, drop=(), backfill=None
+) -> int:
+    """Publish a table of the state with other columns (`lifecycle.evolve`).
+
+    Added and dropped columns change the manifest only; a constant for nulls rewrites the table.
+    """
+    now = tables.manifest(spark, base)
+    old = load_state(spark, base)[name]
+    new = L.evolve(old, add, drop, backfill)
+    buckets = now.get("buckets", BUCKETS)
+    touched = list(range(buckets)) if backfill else []
+    rows = new if backfill else new.limit(0)
+    return tables.publish_buckets({name: rows}, base, "listing_id", touched, buckets, sort_by=LAYOUT)
+
+
 def apply_log(
-    log: DataFrame, base: str, threshold: int = K.CLOSURE_CONFIRMATIONS, buckets: int = BUCKETS
+    log: DataFrame, base: str, threshold: int = K.CLOSURE_CONFIRMATIONS, buckets: int = BUCKETS,
+    allowed: int = 0,
 ) -> int:
     """Merge new commits into published state; commits already merged are skipped.
 
     The merged commits are published with the state by the same pointer swap, so a rerun
     after a failure neither loses a commit nor counts a confirmation twice. A commit older than
-    the newest merged one is refused before anything changes. Only the buckets of listings that
-    the commits mention are read and rewritten.
+    the newest merged one is refused before anything changes (`apply_in_order` holds such commits
+    back instead). Only the buckets of listings that the commits mention are read and rewritten. A
+    state with more than `allowed` rows that break a constraint is not published.
     """
     spark = log.sparkSession
     ensure_checkpoint_dir(spark)
@@ -121,15 +157,76 @@ def apply_log(
     oldest = fresh.agg(F.min("run_seq")).first()[0]
     if newest is not None and oldest is not None and oldest < newest:
         raise LateCommit(f"commit {oldest} comes after commit {newest} was merged")
+    return _merge(fresh, state["commits"], base, threshold, buckets, allowed)
+
+
+def _merge(
+    fresh: DataFrame, merged: DataFrame, base: str, threshold: int, buckets: int, allowed: int,
+    **whole: DataFrame,
+) -> int:
+    spark = fresh.sparkSession
     buckets = _buckets(spark, base, buckets)
     touched = _touched(fresh, buckets)
     held = load_state(spark, base, only=touched)
     listings, provenance = merge_state(fresh, held["listings"], held["provenance"], threshold)
-    commits = state["commits"].unionByName(fresh.select("run_seq").distinct())
-    return _publish(listings, provenance, commits, base, touched, buckets)
+    commits = merged.unionByName(fresh.select("run_seq").distinct())
+    return _publish(listings, provenance, commits, base, touched, buckets, allowed, **whole)
 
 
-def apply_audit(checks: DataFrame, base: str, observed_at) -> DataFrame:
+def apply_in_order(
+    log: DataFrame, base: str, expected: DataFrame | None = None, delay: int = 0,
+    threshold: int = K.CLOSURE_CONFIRMATIONS, buckets: int = BUCKETS, last: bool = False,
+    allowed: int = 0,
+) -> int:
+    """Merge commits that arrive in any order, each once all commits before it are merged or lost.
+
+    A commit waits in the state's `pending` table while one of the `expected` commits (run_seq)
+    before it is missing. A missing commit is given up once one has arrived that is more than
+    `delay` younger; without `expected`, every commit waits that long. `last` merges all that
+    waits. A commit that comes after younger ones were merged goes to the `late` table and changes
+    nothing. State, pending and late commits are published in one step, so replays are safe.
+    """
+    spark = log.sparkSession
+    ensure_checkpoint_dir(spark)
+    now = tables.manifest(spark, base)
+    merged = load_state(spark, base, only=[])["commits"]
+    waiting, late = (tables.read_whole(spark, base, name, now) for name in ("pending", "late"))
+    arrived = L.collapse_log(log)
+    known = merged if late is None else merged.unionByName(late.select("run_seq").distinct())
+    if waiting is not None:
+        known_here = known.unionByName(waiting.select("run_seq").distinct())
+        arrived = new_commits(arrived, known_here).unionByName(waiting)
+    else:
+        arrived = new_commits(arrived, known)
+    arrived = arrived.checkpoint()
+    newest = merged.agg(F.max("run_seq")).first()[0]
+    youngest = arrived.agg(F.max("run_seq")).first()[0]
+    overdue = F.lit(False) if newest is None else F.col("run_seq") < newest
+    lost = arrived.filter(overdue)
+    open_ = arrived.filter(~overdue)
+    bound = None if last or youngest is None else youngest - delay
+    if bound is not None and expected is not None:
+        # The first commit that is still awaited holds back all after it.
+        have = known.unionByName(arrived.select("run_seq").distinct())
+        awaited = expected.select("run_seq").filter(F.col("run_seq") >= bound)
+        if newest is not None:
+            awaited = awaited.filter(F.col("run_seq") > newest)
+        gap = awaited.join(have, "run_seq", "left_anti").agg(F.min("run_seq")).first()[0]
+        bound = gap
+    ready = open_ if bound is None else open_.filter(F.col("run_seq") < bound)
+    rest = open_.filter(F.lit(False)) if bound is None else open_.filter(F.col("run_seq") >= bound)
+    late = lost if late is None else late.unionByName(lost)
+    return _merge(
+        ready, merged, base, threshold, buckets, allowed, pending=rest.checkpoint(), late=late.checkpoint()
+    )
+
+
+def late_commits(spark: SparkSession, base: str) -> DataFrame | None:
+    """Commits that came after younger ones were merged; null before the first ordered merge."""
+    return tables.read_whole(spark, base, "late", tables.manifest(spark, base))
+
+
+def apply_audit(checks: DataFrame, base: str, observed_at, allowed: int = 0) -> DataFrame:
     """Audit the published state with page checks and publish the result.
 
     All outcomes are known before the one change. Listings checked several times count once; a
@@ -137,7 +234,6 @@ def apply_audit(checks: DataFrame, base: str, observed_at) -> DataFrame:
     state as it was before.
     """
     spark = checks.sparkSession
-    state = load_state(spark, base)
     judged = U.outcomes(checks).select("listing_id", "outcome")
     opposite = U.conflicts(
         judged.filter("outcome = 'available'"), judged.filter("outcome = 'unavailable'")
@@ -148,12 +244,13 @@ def apply_audit(checks: DataFrame, base: str, observed_at) -> DataFrame:
     audited = judged.groupBy("listing_id").agg(
         F.min_by("outcome", proof).alias("outcome")
     ).withColumn("observed_at", observed_at)
-    report = U.summary(state["listings"], audited)
-    buckets = _buckets(spark, base, BUCKETS)
+    now = tables.manifest(spark, base)
+    buckets = now.get("buckets", BUCKETS)
     touched = _touched(audited, buckets)
-    held = load_state(spark, base, only=touched)
+    held = _held(spark, base, now, touched)
+    report = U.summary(held["listings"], audited)
     listings, provenance = U.apply_audit(held["listings"], held["provenance"], audited)
-    _publish(listings, provenance, state["commits"], base, touched, buckets)
+    _publish(listings, provenance, held["commits"], base, touched, buckets, allowed)
     return report
 
 

@@ -31,9 +31,11 @@ def effective_searches(
     )
 
     def refused(reason: str) -> Column:
-        return F.raise_error(F.concat(F.lit("search "), F.col("slug"), F.lit(f": {reason}")))
+        text = F.concat(F.lit("search "), F.col("slug"), F.lit(f": {reason}"))
+        return F.raise_error(text).cast("boolean")
 
-    checked = (
+    # In a filter, so that it holds whichever columns are read.
+    within = (
         F.when(~F.col("_pages").between(1, K.MAX_PAGES), refused("page limit is out of bounds"))
         .when(~F.col("_results").between(1, K.MAX_RESULTS), refused("result limit is out of bounds"))
         .when(~F.col("_rechecks").between(0, K.MAX_RECHECKS), refused("recheck limit is out of bounds"))
@@ -41,23 +43,45 @@ def effective_searches(
             F.col("_results") > F.col("_pages") * K.PAGE_SIZE,
             refused("effective result limit exceeds page capacity"),
         )
-        .otherwise(F.col("_results"))
+        .otherwise(F.lit(True))
     )
-    return limited.withColumns(
+    return limited.filter(within).withColumns(
         {
             "max_pages": F.col("_pages").cast("int"),
-            "max_results": checked.cast("int"),
+            "max_results": F.col("_results").cast("int"),
             "max_rechecks": F.col("_rechecks").cast("int"),
         }
     ).drop("_pages", "_results", "_rechecks")
 
 
-def search_violations() -> Column:
-    """Names of the bounds a search definition breaks."""
+def company_list() -> Column:
+    """Company names of a search as stored: cleaned, the first spelling of each name."""
+    cleaned = F.transform(F.coalesce("company_names", F.array().cast("array<string>")), X.clean_text)
+    keys = F.transform(cleaned, X.fold_key)
+    return F.filter(cleaned, lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+
+
+def search_violations(columns=()) -> Column:
+    """Names of the bounds a search definition breaks.
+
+    `columns` are those of the table; company lists, notes and the place id are optional.
+    """
 
     def when(condition: Column, name: str) -> Column:
         return F.when(condition, F.lit(name))
 
+    optional = []
+    if "company_names" in columns:
+        names = F.col("company_names")
+        lengths = F.transform(names, lambda n: F.coalesce(F.length(X.clean_text(n)), F.lit(0)))
+        optional += [
+            when(F.size(names) > K.MAX_COMPANY_NAMES, "company_names.size"),
+            when(F.exists(lengths, lambda n: ~n.between(1, K.MAX_COMPANY)), "company_names.length"),
+        ]
+    if "geo_id" in columns:
+        optional.append(when(~F.col("geo_id").rlike("^[0-9]{1,30}$"), "geo_id.pattern"))
+    if "notes" in columns:
+        optional.append(when(F.length(X.clean_text(F.col("notes"))) > K.MAX_NOTES, "notes.length"))
     return F.array_compact(
         F.array(
             when(~F.col("slug").rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$"), "slug.pattern"),
@@ -75,6 +99,7 @@ def search_violations() -> Column:
                 X.normalized_key(F.col("name")).isin("example", "example search"),
                 "name.placeholder",
             ),
+            *optional,
         )
     )
 

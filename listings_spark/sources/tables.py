@@ -11,10 +11,16 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 VERSIONS = "_versions"
+QUARANTINE = "_quarantine"
+
+
+class BrokenState(ValueError):
+    """A publication with more broken rows than allowed; no version was logged."""
 
 
 def read_if_present(reader, path: str) -> DataFrame | None:
@@ -102,6 +108,33 @@ def manifest(spark: SparkSession, base: str) -> dict:
     return json.loads(newest) if newest else {}
 
 
+def broken_rules(rules: dict[str, Column]) -> Column:
+    """Names of the rules that a row breaks; a rule that gives null is broken."""
+    return F.array_compact(
+        F.array(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()])
+    )
+
+
+def _written(
+    rows: DataFrame, order: list[str], folder: str, rules: dict[str, Column] | None
+) -> tuple[int, DataFrame | None]:
+    """Write the rows that break no rule; how many were set aside, counted in the same pass, and which."""
+    flagged, observation = rows, None
+    if rules:
+        observation = Observation()
+        flagged = rows.withColumn("violations", broken_rules(rules))
+    sorted_ = flagged.repartitionByRange(*order).sortWithinPartitions(*order)
+    if observation:
+        # Behind the exchange, so that sampling the ranges counts nothing.
+        sorted_ = (
+            sorted_.observe(observation, F.count_if(F.size("violations") > 0).alias("broken"))
+            .filter(F.size("violations") == 0).drop("violations")
+        )
+    sorted_.write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
+    broken = observation.get["broken"] if observation else 0
+    return broken, flagged.filter(F.size("violations") > 0).drop(BUCKET) if broken else None
+
+
 def publish_buckets(
     tables: dict[str, DataFrame],
     base: str,
@@ -110,39 +143,66 @@ def publish_buckets(
     buckets: int,
     sort_by: dict[str, tuple[str, ...]] | None = None,
     whole: dict[str, DataFrame] | None = None,
+    rules: dict[str, dict[str, Column]] | None = None,
+    allowed: int = 0,
 ) -> int:
     """Replace the touched buckets of several tables in one step; all others keep their files.
 
-    `tables` hold the whole new content of the touched buckets; tables in `whole` are replaced. A version's folder has only what
-    that version wrote; the version log says where every bucket lives, so readers see one state and
-    never a mixture. Large buckets are written by several tasks.
+    `tables` hold the whole new content of the touched buckets; tables in `whole` are replaced. A
+    version's folder has only what that version wrote; the version log says where every bucket
+    lives and what columns a table has, so readers see one state and never a mixture. Buckets
+    written before a column was added read it as null. Large buckets are written by several tasks.
+
+    Rows that break `rules` are set aside in the quarantine with the names of these rules. With more
+    than `allowed` of them no version is logged and readers see the state before.
     """
     spark = next(iter(tables.values())).sparkSession
     before = manifest(spark, base)
     version = (current_version(spark, base) or 0) + 1
-    held = {name: dict(before.get("tables", {}).get(name, {})) for name in tables}
+    held = {name: dict(where) for name, where in before.get("tables", {}).items()}
+    schemas, aside = dict(before.get("schemas", {})), 0
     for name, df in tables.items():
         folder = f"{version_path(base, version)}/{name}"
         order = [BUCKET, *(sort_by or {}).get(name, ())]
         rows = df.withColumn(BUCKET, bucket_of(key, buckets))
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(
-            "overwrite"
-        ).partitionBy(BUCKET).parquet(folder)
+        broken, rest = _written(rows, order, folder, (rules or {}).get(name))
+        if rest is not None:
+            entry = rest.select(
+                F.lit(version).cast("bigint").alias("version"), F.lit(name).alias("table"),
+                F.col(key).cast("string").alias("key"), "violations",
+                F.to_json(F.struct(*[c for c in df.columns])).alias("row"),
+            )
+            entry.write.mode("append").json(f"{base}/{QUARANTINE}")
+        aside += broken
         written = spark.read.schema(rows.schema).parquet(folder).select(BUCKET).distinct().collect()
         filled = {r[0] for r in written}  # one number for each touched bucket at most
+        where = held.setdefault(name, {})
         for bucket in touched:
-            held[name].pop(str(bucket), None)
-        held[name].update({str(b): version for b in filled})
+            where.pop(str(bucket), None)
+        where.update({str(b): version for b in filled})
+        schemas[name] = df.schema.jsonValue()
+    if aside > allowed:
+        raise BrokenState(f"{aside} rows break the rules of {base}, {allowed} are allowed")
     for name, df in (whole or {}).items():
         df.write.mode("overwrite").parquet(f"{version_path(base, version)}/{name}")
-    text = json.dumps(
-        {"buckets": buckets, "tables": held, "whole": dict.fromkeys(whole or {}, version)}
-    )
+    text = json.dumps({
+        "buckets": buckets, "tables": held, "schemas": schemas,
+        "whole": {**before.get("whole", {}), **dict.fromkeys(whole or {}, version)},
+    })
     entry = spark.createDataFrame([(version, text)], "version bigint, manifest string").coalesce(1)
     entry.write.mode("append").json(f"{base}/{VERSIONS}")
     return version
 
 
+def read_quarantine(spark: SparkSession, base: str) -> DataFrame | None:
+    """Rows set aside by publications: version, table, key, violations, row; null if there are none.
+
+    A version that was refused and written again is listed for each attempt.
+    """
+    shape = "version bigint, table string, key string, violations array<string>, row string"
+    return read_if_present(spark.read.schema(shape).json, f"{base}/{QUARANTINE}")
+
+
 def read_buckets(
     spark: SparkSession, base: str, name: str, now: dict, only: list[int] | None = None
 ) -> DataFrame | None:
@@ -152,7 +212,11 @@ def read_buckets(
     paths = [
         f"{version_path(base, v)}/{name}/{BUCKET}={b}" for b, v in sorted(chosen.items())
     ]
-    return spark.read.parquet(*paths) if paths else None
+    schema = now.get("schemas", {}).get(name)
+    reader = spark.read.schema(StructType.fromJson(schema)) if schema else spark.read
+    if paths:
+        return reader.parquet(*paths)
+    return spark.createDataFrame([], StructType.fromJson(schema)) if schema else None
 
 
 def read_whole(spark: SparkSession, base: str, name: str, now: dict) -> DataFrame | None:
@@ -167,7 +231,9 @@ def drop_old_versions(spark: SparkSession, base: str, keep: int = 2) -> list[int
     rows = log.orderBy(F.desc("version")).limit(keep).collect()
     used = {r["version"] for r in rows}
     for row in rows:
-        for held in json.loads(row["manifest"] or "{}").get("tables", {}).values():
+        told = json.loads(row["manifest"] or "{}")
+        used.update(told.get("whole", {}).values())
+        for held in told.get("tables", {}).values():
             used.update(held.values())
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

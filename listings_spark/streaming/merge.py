@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from listings_spark import constants as K
 from listings_spark.functions.cascade import classify
-from listings_spark.plans.state import apply_log
+from listings_spark.plans.state import apply_in_order, apply_log
 
 
 def write_commits(log: DataFrame, path: str) -> None:
@@ -55,6 +55,32 @@ def merge_stream(
     )
 
 
+def merge_stream_in_order(
+    log: DataFrame,
+    base: str,
+    checkpoint: str,
+    expected: DataFrame | None = None,
+    delay: int = 0,
+    threshold: int = K.CLOSURE_CONFIRMATIONS,
+    **trigger,
+) -> StreamingQuery:
+    """Merge a stream whose commits arrive in any order (`state.apply_in_order`).
+
+    Files may hold any commits, in any number of files and tasks. After the stream has ended, one
+    call of `apply_in_order` with `last` on no rows merges what still waits.
+    """
+
+    def merge_batch(batch: DataFrame, batch_id: int) -> None:
+        apply_in_order(batch, base, expected, delay, threshold)
+
+    return (
+        log.writeStream.foreachBatch(merge_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def classify_stream(listings: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Stateless classification of a stream of raw listings into parquet."""
     return (

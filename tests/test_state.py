@@ -272,3 +272,93 @@ def test_manifest_rules(spark):
         "lost": ["previous_missing"], "due": ["retain_until"], "days": ["retention_days"],
         "sha": ["digest_shape"], "young": ["previous_is_newer"],
     }
+
+
+def test_commits_in_any_order_wait_for_those_before_them(spark, tmp_path):
+    rows = history(51, commits=30, listings=4)
+    jobs, links, _ = replay(rows, 2)
+    log = log_of(spark, rows)
+    expected = log.select("run_seq").distinct()
+    base = str(tmp_path / "state")
+    order = [3, 0, 4, 1, 2]  # blocks of six commits
+    for nth, block in enumerate(order):
+        part = log.filter(F.floor(F.col("run_seq") / 6) == block)
+        for _ in range(2):  # a replay changes nothing
+            S.apply_in_order(part, base, expected, delay=100)
+        merged = {r[0] for r in S.load_state(spark, base)["commits"].collect()}
+        whole = next(b for b in range(6) if b not in order[: nth + 1])  # the first block not there yet
+        assert merged == {r[0] for r in rows if r[0] < 6 * whole}
+    state = S.load_state(spark, base)
+    assert as_dicts(state["listings"], state["provenance"]) == (jobs, links)
+    assert S.late_commits(spark, base).count() == 0
+
+
+def test_a_lost_commit_is_given_up_and_kept_apart_when_it_comes(spark, tmp_path):
+    rows = history(52, commits=30, listings=4)
+    log, base = log_of(spark, rows), str(tmp_path / "state")
+    expected = log.select("run_seq").distinct()
+    without = [r for r in rows if not 9 <= r[0] <= 10]
+    S.apply_in_order(log.filter("run_seq < 9 or run_seq between 11 and 12"), base, expected, delay=5)
+    assert S.load_state(spark, base)["commits"].agg(F.max("run_seq")).first()[0] == max(r[0] for r in rows if r[0] < 9)
+    S.apply_in_order(log.filter("run_seq > 12"), base, expected, delay=5)
+    S.apply_in_order(log.filter("run_seq between 9 and 10"), base, expected, delay=5)
+    jobs, links, _ = replay(without, 2)
+    state = S.load_state(spark, base)
+    assert as_dicts(state["listings"], state["provenance"]) == (jobs, links)
+    assert {r["run_seq"] for r in S.late_commits(spark, base).collect()} == {r[0] for r in rows if 9 <= r[0] <= 10}
+
+
+def test_commits_wait_for_the_delay_where_none_are_announced(spark, tmp_path):
+    rows = history(53, commits=20, listings=3)
+    log, base = log_of(spark, rows), str(tmp_path / "state")
+    S.apply_in_order(log.filter("run_seq % 2 = 1"), base, delay=25)
+    assert S.load_state(spark, base)["commits"].count() == 0
+    S.apply_in_order(log.filter("run_seq % 2 = 0"), base, delay=4)
+    bound = max(r[0] for r in rows) - 4
+    assert S.load_state(spark, base)["commits"].agg(F.max("run_seq")).first()[0] == max(r[0] for r in rows if r[0] < bound)
+    S.apply_in_order(log.filter("false"), base, last=True)
+    jobs, links, _ = replay(rows, 2)
+    state = S.load_state(spark, base)
+    assert as_dicts(state["listings"], state["provenance"]) == (jobs, links)
+
+
+def test_evolved_columns_survive_merges_of_some_buckets(spark, tmp_path):
+    base = str(tmp_path / "state")
+    rows = history(54, commits=20, listings=8)
+    log = log_of(spark, rows)
+    S.apply_log(log.filter("run_seq < 10"), base, buckets=4)
+    held = {r["listing_id"] for r in S.load_state(spark, base)["listings"].collect()}
+    S.evolve_state(spark, base, "listings", {"note": "string"}, backfill={"note": "kept"})
+    S.evolve_state(spark, base, "provenance", {"rank": "int"})
+    one = sorted(held)[0]
+    S.apply_log(log.filter((F.col("run_seq") >= 10) & (F.col("listing_id") == one)), base)
+    now = tables.manifest(spark, base)
+    for bucket in range(4):  # each by itself, old files and new ones
+        part = S.load_state(spark, base, only=[bucket])
+        assert "note" in part["listings"].columns and "rank" in part["provenance"].columns
+    notes = {r["listing_id"]: r["note"] for r in S.load_state(spark, base)["listings"].collect()}
+    assert all(notes[i] == "kept" for i in held - {one})
+    gone = any(r[1] == one and r[2] == "audit_unavailable" and r[0] >= 10 for r in rows)
+    assert notes.get(one) == (None if gone else "kept")
+    assert set(now["schemas"]) == {"listings", "provenance"}
+    S.evolve_state(spark, base, "listings", drop=("note",))
+    assert "note" not in S.load_state(spark, base)["listings"].columns
+
+
+def test_a_broken_state_is_not_published(spark, tmp_path):
+    base = str(tmp_path / "state")
+    rows = history(55, commits=12, listings=5)
+    S.apply_log(log_of(spark, [r for r in rows if r[0] < 6]), base)
+    before = sorted(S.load_state(spark, base)["listings"].collect(), key=str)
+    bad = [(*r[:12], "contract", *r[13:]) if r[0] == 11 and r[2] == "observed" else r for r in rows if r[0] >= 6]
+    n = len({r[1] for r in bad if r[12] == "contract"})
+    assert n
+    with pytest.raises(tables.BrokenState, match=f"^{n} rows"):
+        S.apply_log(log_of(spark, bad), base)
+    assert sorted(S.load_state(spark, base)["listings"].collect(), key=str) == before
+    S.apply_log(log_of(spark, bad), base, allowed=n)
+    aside = tables.read_quarantine(spark, base)
+    assert {r["key"] for r in aside.collect()} == {r[1] for r in bad if r[12] == "contract"}
+    assert {tuple(r["violations"]) for r in aside.collect()} == {("employment_type",)}
+    kept = {r["listing_id"] for r in S.load_state(spark, base)["listings"].collect()}
+    assert not kept & {r["key"] for r in aside.collect()}
