@@ -8,6 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ LETTERS = bytes(
 )
 END = b"\x00"  # in no term; closes a complete one
 BITS = 1 << 23  # of a sieve
-HELD = 1 << 19  # prefixes or terms that a task holds before it sends its counts on
+HELD = 1 << 20  # terms that a task adds up at a time
 
 
 def _term_batches(batches):
@@ -77,47 +78,77 @@ def sieve(alive: DataFrame, column: str) -> bytes:
     return bits.tobytes()
 
 
-class _Sieve(dict):
-    """Whether a prefix of one language may be alive; asked once for each prefix."""
+def _alive(bits: bytes, lang: str, prefix: bytes) -> bool:
+    at = crc32(prefix, crc32(lang.encode() + END)) % BITS
+    return bool(bits[at >> 3] >> (at & 7) & 1)
 
-    def __init__(self, bits: bytes, lang: str):
-        self.bits, self.start = bits, crc32(lang.encode() + END)
 
-    def __missing__(self, prefix: bytes) -> bool:
-        if len(self) > HELD:
-            self.clear()
-        at = crc32(prefix, self.start) % BITS
-        found = self[prefix] = bool(self.bits[at >> 3] >> (at & 7) & 1)
-        return found
+def _coded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(code of each value, the distinct values)."""
+    made = values.dictionary_encode()
+    return made.indices.to_numpy(zero_copy_only=False).astype(np.int64), made.dictionary
+
+
+def _flat(terms: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """All terms one after another, with the row of each."""
+    sizes = terms.value_lengths().to_numpy(zero_copy_only=False)
+    return terms.flatten(), np.repeat(np.arange(len(terms)), sizes)
+
+
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else keys
+    return keys[starts], np.add.reduceat(counts[order], starts) if len(keys) else counts
+
+
+def _parts(batches):
+    """Batches in pieces of about HELD terms."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(batch.num_columns - 1).value_lengths().to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + HELD, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def _living(bits: bytes, langs: list[str], lang: np.ndarray, codes: np.ndarray, values: pa.Array) -> np.ndarray:
+    """Which of the pairs of a language and a value the sieve lets through; asked once a pair."""
+    pairs, at = np.unique(lang * len(values) + codes, return_inverse=True)
+    known = values.to_pylist()
+    told = [_alive(bits, langs[p // len(known)], known[p % len(known)]) for p in pairs.tolist()]
+    return np.array(told, dtype=bool)[at]
 
 
 def _prefix_batches(length: int, before: int, bits: bytes | None):
     """Documents of each open prefix of a level, added up in the task."""
 
-    def told(counts):
-        rows = [(lang, p, n) for lang, found in counts.items() for p, n in found.items()]
-        columns = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)],
-            names=["lang", "prefix", "n"],
-        )
-
     def run(batches):
-        counts: dict[str, Counter] = {}
-        sieves: dict[str, _Sieve] = {}
-        for batch in batches:
-            for lang, terms in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = terms.values.field("term").to_pylist()
-                if bits is None:
-                    found = {(t + END)[:length] for t in words}
-                else:
-                    alive = sieves.setdefault(lang, _Sieve(bits, lang))
-                    found = {(t + END)[:length] for t in words if len(t) >= before and alive[t[:before]]}
-                counts.setdefault(lang, Counter()).update(found)
-            if sum(map(len, counts.values())) > HELD:
-                yield told(counts)
-                counts = {}
-        yield told(counts)
+        for batch in _parts(batches):
+            lang_of, langs = _coded(batch.column(0))
+            langs = langs.to_pylist()
+            terms, row = _flat(batch.column(1))
+            if bits is not None:
+                long = pc.greater_equal(pc.binary_length(terms), before)
+                terms, row = terms.filter(long), row[long.to_numpy(zero_copy_only=False)]
+                if len(terms):
+                    keep = _living(bits, langs, lang_of[row], *_coded(pc.binary_slice(terms, 0, before)))
+                    terms, row = terms.filter(pa.array(keep)), row[keep]
+            if not len(terms):
+                continue
+            ended = pc.binary_join_element_wise(terms, pa.scalar(END), pa.scalar(b""))
+            codes, prefixes = _coded(pc.binary_slice(ended, 0, length))
+            seen = np.unique(row * len(prefixes) + codes)  # once a document
+            lang, code = lang_of[seen // len(prefixes)], seen % len(prefixes)
+            keys, counts = _sums(lang * len(prefixes) + code, np.ones(len(seen), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(langs, type=pa.string()).take(pa.array(keys // len(prefixes))),
+                 prefixes.take(pa.array(keys % len(prefixes))), pa.array(counts)],
+                names=["lang", "prefix", "n"],
+            )
 
     return run
 
@@ -134,7 +165,7 @@ def kept_terms(terms: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """
     found, bits, before, length = [], None, 0, FIRST_PREFIX
     while True:
-        level = terms.select("lang", "terms").mapInArrow(
+        level = terms.select("lang", F.col("terms.term").alias("terms")).mapInArrow(
             _prefix_batches(length, before, bits), "lang string, prefix binary, n long"
         )
         often = stored(
@@ -156,29 +187,26 @@ def kept_terms(terms: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
 def _occurrence_batches(bits: bytes):
     """Occurrences of terms that may be kept, by group, added up in the task."""
 
-    def told(counts):
-        rows = [(*group, t, n) for group, found in counts.items() for t, n in found.items()]
-        columns = zip(*rows, strict=True) if rows else ((), (), (), ())
-        types = (pa.string(), pa.string(), pa.binary(), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["lang", "source", "term", "n"]
-        )
-
     def run(batches):
-        counts: dict[tuple, dict] = {}
-        sieves: dict[str, _Sieve] = {}
-        for batch in batches:
-            for lang, source, terms in zip(*[batch.column(k).to_pylist() for k in (0, 1)], batch.column(2), strict=True):
-                alive = sieves.setdefault(lang, _Sieve(bits, lang))
-                group = counts.setdefault((lang, source), {})
-                values = terms.values
-                for t, n in zip(values.field("term").to_pylist(), values.field("n").to_pylist(), strict=True):
-                    if alive[t]:
-                        group[t] = group.get(t, 0) + n
-            if sum(map(len, counts.values())) > HELD:
-                yield told(counts)
-                counts = {}
-        yield told(counts)
+        for batch in _parts(batches):
+            lang_of, langs = _coded(batch.column(0))
+            source_of, sources = _coded(batch.column(1))
+            langs = langs.to_pylist()
+            held, row = _flat(batch.column(2))
+            if not len(held):
+                continue
+            codes, terms = _coded(held.field("term"))
+            n = held.field("n").to_numpy(zero_copy_only=False)
+            group = lang_of[row] * len(sources) + source_of[row]
+            keys, counts = _sums(group * len(terms) + codes, n)
+            group, codes = keys // len(terms), keys % len(terms)
+            keep = _living(bits, langs, group // len(sources), codes, terms)
+            group, codes, counts = group[keep], codes[keep], counts[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(langs, type=pa.string()).take(pa.array(group // len(sources))),
+                 sources.take(pa.array(group % len(sources))), terms.take(pa.array(codes)), pa.array(counts)],
+                names=["lang", "source", "term", "n"],
+            )
 
     return run
 

@@ -73,10 +73,10 @@ def test_rare_prefixes_are_dropped_before_their_terms(spark):
         spark.createDataFrame([("en", "a", f"common{i} word") for i in range(5)] + [("en", "a", "rareabc")], "lang string, source string, text string")
     )
     terms = terms.coalesce(1)
-    level = terms.select("lang", "terms").mapInArrow(divergence._prefix_batches(4, 0, None), "lang string, prefix binary, n long")
+    level = terms.select("lang", "terms.term").mapInArrow(divergence._prefix_batches(4, 0, None), "lang string, prefix binary, n long")
     assert {(bytes(r["prefix"]), r["n"]) for r in level.collect()} == {(b"comm", 5), (b"word", 5), (b"rare", 1)}
     bits = divergence.sieve(level.filter("n >= 2"), "prefix")
-    deeper = terms.select("lang", "terms").mapInArrow(divergence._prefix_batches(16, 4, bits), "lang string, prefix binary, n long")
+    deeper = terms.select("lang", "terms.term").mapInArrow(divergence._prefix_batches(16, 4, bits), "lang string, prefix binary, n long")
     assert {bytes(r["prefix"])[:-1] for r in deeper.collect()} == {b"word", b"common"}
     kept = divergence.kept_terms(terms, 2).collect()
     assert {bytes(r["term"]) for r in kept} == {b"common", b"word"}
