@@ -123,10 +123,10 @@ def _spans_by_doc(doc: np.ndarray, twin: np.ndarray, first: np.ndarray, count: n
 
 
 OUT = pa.schema([
-    ("kind", pa.int32()), ("bucket", pa.int32()), ("doc", pa.int64()), ("twin", pa.int32()),
+    ("kind", pa.int32()), ("bucket", pa.int32()), ("doc", pa.int64()), ("twin", pa.int64()),
     ("anchor", pa.int64()), ("first", pa.int64()), ("count", pa.int32()), ("blob", pa.binary()),
 ])
-OUT_DDL = "kind int, bucket int, doc long, twin int, anchor long, first long, count int, blob binary"
+OUT_DDL = "kind int, bucket int, doc long, twin long, anchor long, first long, count int, blob binary"
 RECORDS, SPANS, CONTEXT, LOOSE = 0, 1, 2, 3  # kinds of rows
 
 
@@ -186,7 +186,7 @@ def _anchor_batches(buckets: int):
             starts = np.flatnonzero(np.diff(bucket, prepend=-1))
             arrays = [
                 left.anchor.astype("<u8").view("V8"),
-                (left.context >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5],
+                left.context.astype("<u8").view("V8"),
                 left.left, left.right, left.count.astype(np.uint8),
             ]
             stops = np.append(starts[1:], len(bucket))
@@ -196,7 +196,7 @@ def _anchor_batches(buckets: int):
                 wide = left.first[s:e].astype("<u4")
                 blobs.append(b"".join([
                     np.array([e - s, len(held)], dtype="<u4").tobytes(),
-                    docs[held].astype("<i8").tobytes(), twins[held].astype("<i4").tobytes(),
+                    docs[held].astype("<i8").tobytes(), twins[held].astype("<i8").tobytes(),
                     row.astype("<u2").tobytes(),
                     (wide & 0xFFFF).astype("<u2").tobytes(), (wide >> 16).astype("<u2").tobytes(),
                     *[a[s:e].tobytes() for a in arrays],
@@ -211,20 +211,18 @@ def _unpacked(blob: bytes):
     n, held = np.frombuffer(blob, dtype="<u4", count=2)
     at = 8
 
-    def take(kind, count, width=1):
+    def take(kind, count):
         nonlocal at
-        out = np.frombuffer(blob, dtype=kind, count=count * width, offset=at)
+        out = np.frombuffer(blob, dtype=kind, count=count, offset=at)
         at += out.nbytes
         return out
 
-    docs, twins, row = take("<i8", held), take("<i4", held), take("<u2", n)
-    low, high, anchor = take("<u2", n), take("<u2", n), take("<u8", n)
-    context = np.zeros((n, 8), dtype=np.uint8)
-    context[:, :5] = take(np.uint8, n, 5).reshape(-1, 5)
+    docs, twins, row = take("<i8", held), take("<i8", held), take("<u2", n)
+    low, high, anchor, context = take("<u2", n), take("<u2", n), take("<u8", n), take("<u8", n)
     left, right, count = take(np.uint8, n), take(np.uint8, n), take(np.uint8, n)
     first = low.astype(np.int64) | (high.astype(np.int64) << 16)
     return (
-        docs[row], twins[row], anchor, context.reshape(-1).view("<u8"), left, right, first,
+        docs[row], twins[row], anchor, context, left, right, first,
         count.astype(np.int64),
     )
 
@@ -433,7 +431,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     keyed = docs.select(
-        order.alias("doc"), F.hash(whole()).alias("twin"), "doc_id", whole().alias("text")
+        order.alias("doc"), F.xxhash64(whole()).alias("twin"), "doc_id", whole().alias("text")
     )
     spans = repeated_spans(keyed.select("doc", "twin", "text"))
     gathered = spans.groupBy(F.col("doc").alias("_doc"), F.col("twin").alias("_twin")).agg(
