@@ -97,7 +97,7 @@ def _flat(terms: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
 
 def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order with the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else keys
     return keys[starts], np.add.reduceat(counts[order], starts) if len(keys) else counts
@@ -117,10 +117,18 @@ def _parts(batches):
 
 def _living(bits: bytes, langs: list[str], lang: np.ndarray, codes: np.ndarray, values: pa.Array) -> np.ndarray:
     """Which of the pairs of a language and a value the sieve lets through; asked once a pair."""
-    pairs, at = np.unique(lang * len(values) + codes, return_inverse=True)
-    known = values.to_pylist()
+    keys, known = lang * len(values) + codes, values.to_pylist()
+    room = len(langs) * len(known)
+    if room > 1 << 24:  # many languages: sort instead of a table
+        pairs, keys = np.unique(keys, return_inverse=True)
+    else:
+        pairs = np.flatnonzero(np.bincount(keys, minlength=room))
     told = [_alive(bits, langs[p // len(known)], known[p % len(known)]) for p in pairs.tolist()]
-    return np.array(told, dtype=bool)[at]
+    if room > 1 << 24:
+        return np.array(told, dtype=bool)[keys]
+    table = np.zeros(room, dtype=bool)
+    table[pairs] = told
+    return table[keys]
 
 
 def _prefix_batches(length: int, before: int, bits: bytes | None):
@@ -265,12 +273,13 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, most: int = MOST_TERMS)
         terms.mapInArrow(
             _occurrence_batches(sieve(kept, "term")), "lang string, source string, term binary, n long"
         )
+        .repartition("lang", "term")  # few rows a term: tasks have added up theirs; one exchange for both sums
         .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     )
     by_term = stored(
-        counted.join(kept, ["lang", "term"], "left_semi")
-        .groupBy("lang", "term")
-        .agg(F.collect_list(F.struct("source", "n")).alias("parts"), F.sum("n").alias("n")),
+        counted.groupBy("lang", "term")
+        .agg(F.collect_list(F.struct("source", "n")).alias("parts"), F.sum("n").alias("n"))
+        .join(kept, ["lang", "term"], "left_semi"),
         "by-term",
     )
     sizes = (
