@@ -3,6 +3,7 @@
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from listings_spark.operators import collect as G
@@ -202,3 +203,36 @@ def test_overrides_and_capacity(spark):
     )
     with pytest.raises(Exception, match="exceeds page capacity"):
         effective_searches(df, max_pages=1, max_results=26).collect()
+
+
+def test_bounds_hold_whichever_columns_are_read(spark):
+    from pyspark.errors import PySparkException
+
+    from listings_spark.operators.collect import _limits
+    from listings_spark.sources.searches import effective_searches
+
+    df = spark.createDataFrame([("a", True, 2, 40, 900)], "slug string, enabled boolean, max_pages int, max_results int, max_rechecks int")
+    with pytest.raises(PySparkException, match="recheck limit"):
+        effective_searches(df).select("max_results").collect()
+    with pytest.raises(PySparkException, match="max_rechecks is over 250"):
+        _limits(df, "max_rechecks", 250).select("search_slug").collect()
+
+
+def test_company_lists_notes_and_place_ids_are_bounded(spark):
+    from listings_spark.sources.searches import company_list, search_violations
+
+    good = ("s", "Name", "intern", "Berlin", "any", "any", 1, 25, 0)
+    rows = [
+        (*good, ["Acme &amp; Co", " ACME &amp; co ", "Other"], "12", "note"), (*good, ["x"] * 51, None, None),
+        (*good, ["x" * 201, " "], "1a", "n" * 501), (*good, None, None, None), (*good, [None], "1", ""),
+    ]
+    df = spark.createDataFrame(
+        rows, "slug string, name string, keywords string, location string, date_posted string, workplace string,"
+        " max_pages int, max_results int, max_rechecks int, company_names array<string>, geo_id string, notes string"
+    )
+    found = [r[0] for r in df.select(search_violations(df.columns)).collect()]
+    assert found == [
+        [], ["company_names.size"], ["company_names.length", "geo_id.pattern", "notes.length"], [],
+        ["company_names.length"],
+    ]
+    assert df.select(company_list()).first()[0] == ["Acme & Co", "Other"]
