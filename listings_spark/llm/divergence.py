@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from functools import reduce
 from zlib import crc32
@@ -24,39 +25,41 @@ LETTERS = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 END = b"\x00"  # in no term; closes a complete one
+BETWEEN = b" "  # in no term
 BITS = 1 << 23  # of a sieve
-HELD = 1 << 20  # terms that a task adds up at a time
+TABLE = 1 << 24  # places of a table that counts without sorting
+ROWS = 1 << 20  # sums that a task holds
+HELD = 1 << 23  # bytes of terms that a task adds up at a time
 
 
 def _term_batches(batches):
     """Distinct terms of each text with their occurrences."""
     for batch in batches:
         for start, texts in text_slices([t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]):
-            terms, counts, ends = [], [], [0]
+            terms, counts = [], []
             for text in texts:
                 found = Counter(text.translate(LETTERS).split())
-                terms += found.keys()
-                counts += found.values()
-                ends.append(len(terms))
+                terms.append(BETWEEN.join(found) or None)
+                counts.append(array("i", found.values()).tobytes())
             held = pa.StructArray.from_arrays(
-                [pa.array(terms, type=pa.binary()), pa.array(counts, type=pa.int64())], names=["term", "n"]
+                [pa.array(terms, type=pa.binary()), pa.array(counts, type=pa.binary())], names=["term", "n"]
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k).slice(start, len(texts)) for k in (0, 1)]
-                + [pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), held)],
+                [batch.column(k).slice(start, len(texts)) for k in (0, 1)] + [held],
                 names=["lang", "source", "terms"],
             )
 
 
 def document_terms(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms) of every row: distinct terms as UTF-8 bytes with their occurrences.
+    """(lang, source, terms) of every row: its distinct terms as UTF-8 bytes and their occurrences.
 
-    Terms are runs of ASCII letters and of characters above ASCII; only A-Z are lower-cased. Null
-    text, lang and source are read as empty.
+    A row is two byte strings, terms with a space between them and 32-bit counts: the JVM hands
+    them on whole, and tasks split them in Arrow. Terms are runs of ASCII letters and of characters
+    above ASCII; only A-Z are lower-cased. Null text, lang and source are read as empty.
     """
     read = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
     return read.mapInArrow(
-        _term_batches, "lang string, source string, terms array<struct<term: binary, n: bigint>>"
+        _term_batches, "lang string, source string, terms struct<term: binary, n: binary>"
     )
 
 
@@ -89,24 +92,34 @@ def _coded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return made.indices.to_numpy(zero_copy_only=False).astype(np.int64), made.dictionary
 
 
-def _flat(terms: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+def _flat(terms: pa.BinaryArray) -> tuple[pa.Array, np.ndarray]:
     """All terms one after another, with the row of each."""
-    sizes = terms.value_lengths().to_numpy(zero_copy_only=False)
-    return terms.flatten(), np.repeat(np.arange(len(terms)), sizes)
-
-
-def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order with the sums of their counts."""
+    lists = pc.split_pattern(terms, pattern=BETWEEN)
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.repeat(np.arange(len(terms)), sizes)
+
+
+def _sums(keys: np.ndarray, counts: np.ndarray | None, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys under `room` in order with the sums of their counts (None: how often each occurs)."""
+    if room <= TABLE:
+        occurs = np.bincount(keys, minlength=room)
+        found = np.flatnonzero(occurs)
+        if counts is None:
+            return found, occurs[found]
+        sums = np.bincount(keys, weights=counts, minlength=room)  # far under 2^53: exact
+        return found, sums[found].astype(np.int64)
     order = np.argsort(keys)
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else keys
-    return keys[starts], np.add.reduceat(counts[order], starts) if len(keys) else counts
+    counts = np.ones(len(keys), dtype=np.int64) if counts is None else counts[order]
+    return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
 
 
-def _parts(batches):
-    """Batches in pieces of about HELD terms."""
+def _parts(batches, terms_of):
+    """Batches in pieces of about HELD bytes of terms."""
     for batch in batches:
-        ends = np.cumsum(batch.column(batch.num_columns - 1).value_lengths().to_numpy(zero_copy_only=False))
+        sizes = pc.binary_length(terms_of(batch)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
@@ -115,16 +128,57 @@ def _parts(batches):
             start = stop
 
 
+class _Sums:
+    """Counts of (group, value) pairs that a task adds up before it sends them on.
+
+    Groups are tuples of texts. At most about 2 * ROWS rows are held; beyond that they leave.
+    """
+
+    def __init__(self, columns: tuple[str, ...]):
+        self.columns = columns
+        self.numbers: dict[tuple, int] = {}
+        self.pieces: list[pa.Table] = []
+        self.rows = 0
+
+    def add(self, groups: list[tuple], group: np.ndarray, values: pa.Array, counts: np.ndarray):
+        """Add rows; yields what leaves."""
+        numbers = np.array([self.numbers.setdefault(g, len(self.numbers)) for g in groups], dtype=np.int64)
+        self.pieces.append(pa.table({"g": numbers[group], "value": values, "n": counts}))
+        self.rows += len(counts)
+        if self.rows > 2 * ROWS:
+            self._settle()
+            if self.rows > ROWS:
+                yield from self.end()
+
+    def _settle(self) -> None:
+        added = pa.concat_tables(self.pieces).group_by(["g", "value"], use_threads=False).aggregate([("n", "sum")])
+        self.pieces = [added.rename_columns({"n_sum": "n"}).select(["g", "value", "n"])]
+        self.rows = added.num_rows
+
+    def end(self):
+        """All that is held."""
+        if not self.rows:
+            return
+        self._settle()
+        names = [pa.array(c, type=pa.string()) for c in zip(*self.numbers, strict=True)]
+        for piece in self.pieces[0].to_batches(max_chunksize=1 << 16):
+            yield pa.RecordBatch.from_arrays(
+                [n.take(piece.column(0)) for n in names] + [piece.column(1), piece.column(2)],
+                names=[*self.columns, "n"],
+            )
+        self.pieces, self.rows, self.numbers = [], 0, {}
+
+
 def _living(bits: bytes, langs: list[str], lang: np.ndarray, codes: np.ndarray, values: pa.Array) -> np.ndarray:
     """Which of the pairs of a language and a value the sieve lets through; asked once a pair."""
     keys, known = lang * len(values) + codes, values.to_pylist()
     room = len(langs) * len(known)
-    if room > 1 << 24:  # many languages: sort instead of a table
+    if room > TABLE:  # many languages: sort instead of a table
         pairs, keys = np.unique(keys, return_inverse=True)
     else:
         pairs = np.flatnonzero(np.bincount(keys, minlength=room))
     told = [_alive(bits, langs[p // len(known)], known[p % len(known)]) for p in pairs.tolist()]
-    if room > 1 << 24:
+    if room > TABLE:
         return np.array(told, dtype=bool)[keys]
     table = np.zeros(room, dtype=bool)
     table[pairs] = told
@@ -135,7 +189,8 @@ def _prefix_batches(length: int, before: int, bits: bytes | None):
     """Documents of each open prefix of a level, added up in the task."""
 
     def run(batches):
-        for batch in _parts(batches):
+        sums = _Sums(("lang", "prefix"))
+        for batch in _parts(batches, lambda b: b.column(1)):
             lang_of, langs = _coded(batch.column(0))
             langs = langs.to_pylist()
             terms, row = _flat(batch.column(1))
@@ -151,12 +206,10 @@ def _prefix_batches(length: int, before: int, bits: bytes | None):
             codes, prefixes = _coded(pc.binary_slice(ended, 0, length))
             seen = np.unique(row * len(prefixes) + codes)  # once a document
             lang, code = lang_of[seen // len(prefixes)], seen % len(prefixes)
-            keys, counts = _sums(lang * len(prefixes) + code, np.ones(len(seen), dtype=np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, type=pa.string()).take(pa.array(keys // len(prefixes))),
-                 prefixes.take(pa.array(keys % len(prefixes))), pa.array(counts)],
-                names=["lang", "prefix", "n"],
-            )
+            keys, counts = _sums(lang * len(prefixes) + code, None, len(langs) * len(prefixes))
+            values = prefixes.take(pa.array(keys % len(prefixes)))
+            yield from sums.add([(x,) for x in langs], keys // len(prefixes), values, counts)
+        yield from sums.end()
 
     return run
 
@@ -196,35 +249,37 @@ def _occurrence_batches(bits: bytes):
     """Occurrences of terms that may be kept, by group, added up in the task."""
 
     def run(batches):
-        for batch in _parts(batches):
+        sums = _Sums(("lang", "source", "term"))
+        for batch in _parts(batches, lambda b: b.column(2).field("term")):
             lang_of, langs = _coded(batch.column(0))
             source_of, sources = _coded(batch.column(1))
-            langs = langs.to_pylist()
-            held, row = _flat(batch.column(2))
+            langs, sources = langs.to_pylist(), sources.to_pylist()
+            held, row = _flat(batch.column(2).field("term"))
             if not len(held):
                 continue
-            codes, terms = _coded(held.field("term"))
-            n = held.field("n").to_numpy(zero_copy_only=False)
+            codes, terms = _coded(held)
+            n = np.frombuffer(b"".join(batch.column(2).field("n").to_pylist()), dtype=np.int32)
             group = lang_of[row] * len(sources) + source_of[row]
-            keys, counts = _sums(group * len(terms) + codes, n)
+            keys, counts = _sums(group * len(terms) + codes, n, len(langs) * len(sources) * len(terms))
             group, codes = keys // len(terms), keys % len(terms)
             keep = _living(bits, langs, group // len(sources), codes, terms)
             group, codes, counts = group[keep], codes[keep], counts[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, type=pa.string()).take(pa.array(group // len(sources))),
-                 sources.take(pa.array(group % len(sources))), terms.take(pa.array(codes)), pa.array(counts)],
-                names=["lang", "source", "term", "n"],
-            )
+            groups = [(x, y) for x in langs for y in sources]
+            yield from sums.add(groups, group, terms.take(pa.array(codes)), counts)
+        yield from sums.end()
 
     return run
 
 
 def share(count: Column | int, all_: Column, terms: Column) -> Column:
     """1 + the smoothed share of a count in billionths, rounded down, in whole numbers."""
-    part = (F.lit(count) if isinstance(count, int) else count) + SMOOTHING
+    part = (F.lit(count).cast("long") if isinstance(count, int) else count) + SMOOTHING
+    whole = all_ + SMOOTHING * terms
     scaled = F.lit(SCALE).cast("decimal(11,0)") * part.cast("decimal(20,0)")
-    whole = (all_ + SMOOTHING * terms).cast("decimal(20,0)")
-    return F.floor((scaled - scaled % whole) / whole).cast("long") + 1
+    wide = whole.cast("decimal(20,0)")
+    exact = F.floor((scaled - scaled % wide) / wide).cast("long")
+    short = F.lit(SCALE).cast("long") * part  # fits 63 bits in this branch
+    return F.when(part <= 9 * SCALE, F.call_function("div", short, whole)).otherwise(exact) + 1
 
 
 def _pair_batches(batches):
@@ -290,18 +345,17 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, most: int = MOST_TERMS)
         groups.union(sizes).groupBy("lang", "source").agg(F.sum("n").alias("n"))
         .groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("sources"), F.sum("n").alias("total"))
     )
+    v = F.col("v")
     counts = kept.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("v"))
     langs = stored(
         sources.join(counts, F.col("lang") == F.col("_lang"), "left").select(
             F.col("lang").alias("_lang"), "sources", "total", F.coalesce("v", F.lit(0)).alias("v"),
-        ),
+        ).withColumn("base", F.when(v > 0, F.transform("sources", lambda s: share(0, s["n"], v)))),
         "langs",
     )
-    v = F.col("v")
     scored = stored(
         by_term.join(langs, F.col("lang") == F.col("_lang")).select(
-            "lang", "term", share(F.col("n"), F.col("total"), v).alias("q"),
-            F.transform("sources", lambda s: share(0, s["n"], v)).alias("base"),
+            "lang", "term", share(F.col("n"), F.col("total"), v).alias("q"), "base",
             F.transform(
                 "parts",
                 lambda x: F.struct(
