@@ -68,7 +68,8 @@ def sieve(alive: DataFrame, column: str) -> bytes:
 
     What it lets through by chance costs a count, and exact counts decide later.
     """
-    place = F.pmod(F.crc32(F.concat(F.encode("lang", "UTF-8"), F.lit(END), F.col(column))), F.lit(BITS))
+    mixed = F.crc32(F.col(column)).bitwiseXOR(F.crc32(F.encode("lang", "UTF-8")))
+    place = F.pmod(mixed, F.lit(BITS))
     words = (
         alive.select(place.alias("place"))
         .groupBy(F.shiftright("place", 6).alias("word"))
@@ -81,11 +82,6 @@ def sieve(alive: DataFrame, column: str) -> bytes:
     return bits.tobytes()
 
 
-def _alive(bits: bytes, lang: str, prefix: bytes) -> bool:
-    at = crc32(prefix, crc32(lang.encode() + END)) % BITS
-    return bool(bits[at >> 3] >> (at & 7) & 1)
-
-
 def _coded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """(code of each value, the distinct values)."""
     made = values.dictionary_encode()
@@ -170,19 +166,11 @@ class _Sums:
 
 
 def _living(bits: bytes, langs: list[str], lang: np.ndarray, codes: np.ndarray, values: pa.Array) -> np.ndarray:
-    """Which of the pairs of a language and a value the sieve lets through; asked once a pair."""
-    keys, known = lang * len(values) + codes, values.to_pylist()
-    room = len(langs) * len(known)
-    if room > TABLE:  # many languages: sort instead of a table
-        pairs, keys = np.unique(keys, return_inverse=True)
-    else:
-        pairs = np.flatnonzero(np.bincount(keys, minlength=room))
-    told = [_alive(bits, langs[p // len(known)], known[p % len(known)]) for p in pairs.tolist()]
-    if room > TABLE:
-        return np.array(told, dtype=bool)[keys]
-    table = np.zeros(room, dtype=bool)
-    table[pairs] = told
-    return table[keys]
+    """Which of the pairs of a language and a value the sieve lets through; a value is hashed once."""
+    of_lang = np.array([crc32(x.encode()) for x in langs], dtype=np.uint32)
+    of_value = np.fromiter(map(crc32, values.to_pylist()), dtype=np.uint32, count=len(values))
+    place = (of_value[codes] ^ of_lang[lang]) % np.uint32(BITS)
+    return np.frombuffer(bits, dtype=np.uint8)[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
 
 
 def _prefix_batches(length: int, before: int, bits: bytes | None):
