@@ -14,6 +14,7 @@ from listings_spark.functions import text as X
 from listings_spark.operators import directory as V
 from listings_spark.operators import ordering as O
 from listings_spark.operators import quality as Q
+from listings_spark.operators import runs as N
 
 QUERIES: dict = {}
 UPPER = O.ASCII_UPPER
@@ -259,3 +260,37 @@ def _(spark, sf):
         "listing_id", "company", "title", "location", "category", "employment_type",
         "posted_at", "industries",
     )
+
+
+TOTALS = """SELECT grp, search_slug, status, CAST(GROUPING(grp, search_slug, status) AS BIGINT) AS level,
+  count(*) AS runs, CAST(sum(found_count) AS BIGINT) AS found_count,
+  CAST(sum(accepted_count) AS BIGINT) AS accepted_count, CAST(sum(excluded_count) AS BIGINT) AS excluded_count,
+  CAST(sum(warning_count) AS BIGINT) AS warning_count, max(duration_ms) AS longest_ms, max(finished_at) AS last_at
+  FROM {runs} r LEFT JOIN (SELECT slug, grp FROM {registry}) g ON r.search_slug = g.slug GROUP BY """
+
+
+@check("run_cube", TOTALS + "CUBE (grp, search_slug, status)")
+def _(spark, sf):
+    return N.run_totals(read(spark, sf, "runs"), read(spark, sf, "registry"))
+
+
+@check("run_rollup_levels", TOTALS + "ROLLUP (grp, search_slug, status)")
+def _(spark, sf):
+    return N.run_totals(read(spark, sf, "runs"), read(spark, sf, "registry"), nested=True)
+
+
+@check(
+    "run_before",
+    """WITH rows AS (SELECT event_id, search_slug, ts FROM {commits}),
+    met AS (SELECT event_id, arg_max(id, (finished_at, id)) AS run_id, max(finished_at) AS finished_at
+      FROM rows JOIN {runs} r ON r.search_slug = rows.search_slug AND r.finished_at <= rows.ts
+      AND r.status = 'success' GROUP BY event_id)
+    SELECT event_id, run_id, finished_at FROM rows LEFT JOIN met USING (event_id)""",
+)
+def _(spark, sf):
+    # The latest good run before each event; audits have no search.
+    rows = read(spark, sf, "commits").select("event_id", "search_slug", "ts")
+    good = read(spark, sf, "runs").filter("status = 'success'").select("id", "search_slug", "finished_at")
+    return N.with_run_before(rows, good, "ts").select(
+        "event_id", F.col("run.id").alias("run_id"), F.col("run.finished_at").alias("finished_at")
+    )

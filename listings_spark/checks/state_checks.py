@@ -17,6 +17,7 @@ from listings_spark.functions import arrays as A
 from listings_spark.functions import temporal as D
 from listings_spark.operators import lifecycle as L
 from listings_spark.plans import state as S
+from listings_spark.operators import ordering as O
 from listings_spark.sources import pages as P
 from listings_spark.sources import runlog, snapshots, tables
 from listings_spark.sources.session import ensure_checkpoint_dir
@@ -297,3 +298,37 @@ def _(spark, sf):
             F.array_join("violations", ",").alias("broken"),
         )
     )
+
+
+@check(
+    "page_after_key",
+    """WITH k AS (SELECT first_seen_at AS seen, listing_id AS id FROM {stored}
+      WHERE listing_id = (SELECT median_id FROM (SELECT quantile_disc(listing_id, 0.5) AS median_id FROM {stored})))
+    SELECT s.* FROM {stored} s, k WHERE s.first_seen_at < seen OR (s.first_seen_at = seen AND listing_id < id)
+    ORDER BY first_seen_at DESC, listing_id DESC LIMIT 50""",
+)
+def _(spark, sf):
+    # The page behind a row in the middle, from files sorted by the order.
+    base, order = place(spark), [("first_seen_at", True), ("listing_id", True)]
+    O.write_ordered(read(spark, sf, "stored"), base, order)
+    listings = spark.read.parquet(base)
+    nth = (listings.count() + 1) // 2
+    middle = O.with_rank(listings.select("listing_id"), [F.col("listing_id")]).filter(F.col("rank") == nth).first()[0]
+    key = listings.filter(F.col("listing_id") == middle).select("first_seen_at", "listing_id").first()
+    return O.page_after(listings, order, key.asDict(), 50)
+
+
+@check(
+    "damaged_buckets",
+    """WITH b AS (SELECT substr(md5(listing_id), 1, 2) AS node, listing_id, company FROM {stored}),
+    hurt AS (SELECT DISTINCT node FROM b WHERE company = (SELECT min(company) FROM b))
+    SELECT node, count(*) AS expected_rows, count(*) AS actual_rows FROM b JOIN hurt USING (node) GROUP BY node""",
+)
+def _(spark, sf):
+    # One company's links are lost after the snapshot; the trees tell in which buckets.
+    base, listings = place(spark), read(spark, sf, "stored")
+    first = listings.agg(F.min("company")).first()[0]
+    hurt = listings.withColumn("link", F.when(F.col("company") != first, F.col("link")))
+    for name, table in (("expected", listings), ("actual", hurt)):
+        snapshots.write_tree(snapshots.digest_tree(table, "listing_id"), f"{base}/{name}")
+    return snapshots.damaged_buckets(spark, f"{base}/expected", f"{base}/actual")

@@ -96,6 +96,44 @@ def result_page(df: DataFrame, order: list[Column], index: int = 0, size: int =
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)) + index * size)
 
 
+def write_ordered(df: DataFrame, path: str, order: list[tuple[str, bool]]) -> None:
+    """Write files sorted by an order, so that a page by key reads the row groups at its key."""
+    by = [F.desc(c) if descending else F.asc(c) for c, descending in order]
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
+
+
+def page_after(
+    df: DataFrame, order: list[tuple[str, bool]], last: dict | None = None, size: int = 10
+) -> DataFrame:
+    """The next page behind the row with the values `last`, in a total order of (column, descending).
+
+    Unlike an offset, depth costs nothing: the key is a filter that reaches the scan. Nulls come first
+    in rising and last in falling columns. Without `last` it is the first page.
+    """
+    if size not in K.PAGE_SIZES:
+        raise ValueError(f"page size must be one of {K.PAGE_SIZES}")
+    rows = df
+    if last is not None:
+        missing = [c for c, _ in order if c not in last]
+        if missing:
+            raise ValueError(f"the key lacks {', '.join(missing)}")
+        behind = F.lit(False)
+        for nth in range(len(order) - 1, -1, -1):
+            name, descending = order[nth]
+            column, value = F.col(name), last[name]
+            if value is None:
+                further, same = F.lit(False) if descending else column.isNotNull(), column.isNull()
+            elif descending:
+                further, same = (column < F.lit(value)) | column.isNull(), column == F.lit(value)
+            else:
+                further, same = column > F.lit(value), column == F.lit(value)
+            behind = further | (same & behind)
+            if nth == 0:  # alone it bounds row groups
+                rows = rows.filter(further | same)
+        rows = rows.filter(behind)
+    return rows.orderBy(*[F.desc(c) if descending else F.asc(c) for c, descending in order]).limit(size)
+
+
 def page_count(df: DataFrame, size: int = 10) -> DataFrame:
     """Number of pages, at least one."""
     pages = F.ceil(F.count("*") / F.lit(size))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from listings_spark.sources import tables
+from listings_spark.sources.session import ensure_checkpoint_dir
 
 FORMAT_VERSION = 1
+TREE_DEPTH = 2  # 256 buckets
 RETENTION_POLICY = "calendar-days"
 MAX_RETENTION_DAYS = 3650
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # to the microsecond, as the tables hold it
@@ -26,8 +28,14 @@ def table_digest(df: DataFrame, name: str = "table") -> DataFrame:
     summed, so neither row order nor partitioning matters and repeated rows still count.
     """
 
+    return df.agg(F.lit(name).alias("table"), *_digest(df))
+
+
+def _digest(df: DataFrame) -> list[Column]:
+    """Aggregates: row count and both sums of the row hashes."""
+
     def written(name: str) -> Column:
-        column = F.col(name)
+        column = F.col(f"`{name}`")
         flat = isinstance(df.schema[name].dataType, (ArrayType, MapType, StructType))
         text = F.to_json(column, {"ignoreNullFields": "false"}) if flat else column.cast("string")
         return F.coalesce(F.concat(F.octet_length(text), F.lit(":"), text), F.lit("N"))
@@ -37,12 +45,69 @@ def table_digest(df: DataFrame, name: str = "table") -> DataFrame:
     def half(start: int) -> Column:
         return F.sum(F.conv(F.substring(code, start, 16), 16, 10).cast("decimal(38,0)"))
 
-    return df.agg(
-        F.lit(name).alias("table"),
+    return [
         F.count("*").alias("row_count"),
         half(1).cast("string").alias("digest_high"),
         half(17).cast("string").alias("digest_low"),
-    )
+    ]
+
+
+def digest_tree(df: DataFrame, key: str, depth: int = TREE_DEPTH) -> DataFrame:
+    """(level, node, row_count, digest): a tree of digests over buckets of hashed keys.
+
+    A bucket is named by the first `depth` hex digits of the md5 of its key (null: of nothing), a
+    node above by fewer; the root has no digits. Leaves hash their rows free of order, nodes
+    hash their children. The table is aggregated once; what lies above has 16 ** depth rows or fewer.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    bucket = F.substring(F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))), 1, depth)
+    level = df.groupBy(bucket.alias("_node")).agg(*_digest(df)).select(
+        F.col("_node").alias("node"), "row_count",
+        F.sha2(F.concat_ws(":", "row_count", "digest_high", "digest_low"), 256).alias("digest"),
+    ).withColumn("level", F.lit(depth)).checkpoint()
+    tree = level
+    for above in range(depth - 1, -1, -1):
+        children = F.array_sort(F.collect_list(F.concat_ws(":", "node", "digest")))
+        level = level.groupBy(F.substring("node", 1, above).alias("node")).agg(
+            F.sum("row_count").alias("row_count"), F.sha2(F.array_join(children, ","), 256).alias("digest")
+        ).withColumn("level", F.lit(above))
+        tree = tree.unionByName(level)
+    return tree.select("level", "node", "row_count", "digest")
+
+
+def write_tree(tree: DataFrame, path: str) -> None:
+    """Store a tree, one folder a level."""
+    tree.write.partitionBy("level").parquet(path)
+
+
+def damaged_buckets(spark: SparkSession, expected: str, actual: str, depth: int = TREE_DEPTH) -> DataFrame:
+    """(node, expected_rows, actual_rows) of the buckets in which two stored trees differ.
+
+    Goes down from the root and reads below differing nodes only; equal trees end there. A bucket that
+    one side lacks has null rows on that side.
+    """
+
+    ensure_checkpoint_dir(spark)
+    schema = "node string, row_count long, digest string, level int"
+    sides = [spark.read.schema(schema).parquet(path) for path in (expected, actual)]
+    suspects = None
+    for level in range(depth + 1):
+        left, right = (
+            side.filter(F.col("level") == level).select("node", F.col("row_count").alias(f"{name}_rows"), F.col("digest").alias(name))
+            for side, name in zip(sides, ("expected", "actual"), strict=True)
+        )
+        if suspects is not None:
+            parents = suspects.select(F.col("node").alias("_parent"))
+            left, right = (
+                side.join(parents, F.substring("node", 1, level - 1) == F.col("_parent"), "left_semi")
+                for side in (left, right)
+            )
+        suspects = left.join(right, "node", "full").filter(~F.col("expected").eqNullSafe(F.col("actual"))).select(
+            "node", "expected_rows", "actual_rows"
+        ).checkpoint()
+        if suspects.isEmpty():
+            break
+    return suspects
 
 
 def schema_revision(df: DataFrame) -> str:
