@@ -10,6 +10,7 @@ from listings_spark.checks.views import read, with_views
 from listings_spark.functions import text as X
 from listings_spark.functions import urls as U
 from listings_spark.sources import pages as P
+from listings_spark.sources.session import dealt
 from listings_spark.sources.snapshots import table_digest
 
 QUERIES: dict = {}
@@ -192,7 +193,11 @@ def detail_pages(spark, sf):
         f"applications</b></div>' WHEN {KEY} % 7 = 1 THEN '<p>No longer accepting applications"
         f"</p>' ELSE '' END)"
     )
-    return read(spark, sf, "listing_raw").select(
+    # Dealt out before the pages are made: rows are narrow here, and reading pages is the work.
+    rows = dealt(read(spark, sf, "listing_raw").select(
+        "listing_id", "observed_at", "title", "company", "place", "age_text", "description", "industries"
+    ))
+    return rows.select(
         "listing_id", "observed_at", F.expr(html).alias("html"),
         F.lit("Card title").alias("card_title"), F.lit("Card company").alias("card_company"),
         F.lit("Card place").alias("card_location"),

@@ -7,9 +7,11 @@ output. Cheap card tests belong before details: Spark cannot move filters past t
 
 from __future__ import annotations
 
+import functools
 import html as entities
+import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,7 @@ CARD_FIELDS = {
     "location": "job-search-card__location",
 }
 FIELD_OF = {css: name for name, css in CARD_FIELDS.items()}
+NO_CARD = dict.fromkeys(CARD_FIELDS, "")
 TITLE_CLASSES = {"top-card-layout__title", "topcard__title"}
 COMPANY_CLASS = "topcard__org-name-link"
 SUBLINE_CLASS = "top-card-layout__second-subline"
@@ -52,102 +55,219 @@ DETAIL = T.StructType([
 ])
 
 
+# Attributes that are read; all others are passed over.
+READ_ATTRIBUTES = frozenset({"class", URN_ATTRIBUTE, "aria-live", "role"})
+
+# Plain markup: tags in small letters with quoted or bare attributes. One split takes a page apart.
+_SPLIT = re.compile(r'<([^<>"]*+(?:"[^"<>]*"[^"<>]*+)*+)>')
+_SPACE = r"[ \t\n\r\f]"
+_PLAIN_TAG = re.compile(
+    rf'(/?)([a-z][a-z0-9]*)((?:{_SPACE}+[a-zA-Z][a-zA-Z0-9_-]*(?:="[^"<>]*")?)*){_SPACE}*(/?)'
+)
+_ATTRIBUTE = re.compile(r'([a-zA-Z][a-zA-Z0-9_-]*)(="[^"<>]*")?')
+_DOCTYPE = re.compile(r"\s*<!doctype[^<>]*>", re.IGNORECASE)
+# Elements whose content parsers do not read as markup.
+_RAW_ELEMENTS = frozenset({
+    "script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "plaintext",
+    "noscript",
+})
+
+
 class _Element:
-    """One element with its content in document order."""
+    """One element: its place in document order, and the run of text nodes inside it."""
 
-    __slots__ = ("tag", "attrs", "parent", "content", "classes")
+    __slots__ = ("tag", "attrs", "classes", "parent", "place", "end", "first", "last")
 
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.parent, self.content = tag, attrs, parent, []
-        self.classes = (attrs.get("class") or "").split()
+    def __init__(self, tag, attrs, classes, parent, place, first):
+        self.tag, self.attrs, self.classes, self.parent = tag, attrs, classes, parent
+        self.place, self.end = place, place + 1  # until it closes
+        self.first = self.last = first
 
-    def descendants(self):
-        waiting = self.content[::-1]
-        while waiting:
-            item = waiting.pop()
-            yield item
-            if isinstance(item, _Element):
-                waiting.extend(reversed(item.content))
 
-    def elements(self):
-        return (x for x in self.descendants() if isinstance(x, _Element))
+class _Page:
+    """Elements and visible text nodes of one page, each in document order.
 
-    def text(self):
-        """Visible text nodes joined by spaces."""
-        nodes = [x[1] for x in self.descendants() if isinstance(x, tuple) and x[0]]
-        return entities.unescape(" ".join(nodes))
+    No element refers to its page, so pages hold no cycles and go as soon as they are read.
+    """
+
+    __slots__ = ("elements", "texts")
+
+    def __init__(self):
+        self.elements = [_Element("", {}, (), None, 0, 0)]
+        self.texts: list[str] = []
+
+    def closed(self, element):
+        element.end, element.last = len(self.elements), len(self.texts)
+        return element.parent
+
+    def inside(self, element):
+        return map(self.elements.__getitem__, range(element.place + 1, element.end))
+
+    def children(self, element):
+        at = element.place + 1
+        while at < element.end:
+            yield self.elements[at]
+            at = self.elements[at].end
+
+    def text(self, element):
+        """Visible text nodes of an element joined by spaces; none for no element."""
+        if element is None:
+            return ""
+        text = " ".join(self.texts[element.first:element.last])
+        return entities.unescape(text) if "&" in text else text
 
 
 class _Tree(X.OpenElements):
-    """Element tree of one page."""
+    """Reads any markup into a page."""
 
     def __init__(self):
         super().__init__()
-        self.root = self.here = _Element("", {}, None)
+        self.page = _Page()
+        self.here = self.page.elements[0]
+
+    def _added(self, tag, attrs):
+        page, attrs = self.page, dict(attrs)
+        classes = (attrs.get("class") or "").split()
+        element = _Element(tag, attrs, classes, self.here, len(page.elements), len(page.texts))
+        page.elements.append(element)
+        return element
 
     def handle_starttag(self, tag, attrs):
         super().handle_starttag(tag, attrs)
-        element = _Element(tag, dict(attrs), self.here)
-        self.here.content.append(element)
+        element = self._added(tag, attrs)
         if tag not in K.VOID_ELEMENTS:
             self.here = element
 
     def handle_startendtag(self, tag, attrs):
-        self.here.content.append(_Element(tag, dict(attrs), self.here))
+        self._added(tag, attrs)
 
     def closed(self):
-        self.here = self.here.parent
+        self.here = self.page.closed(self.here)
 
     def handle_data(self, data):
-        self.here.content.append((not self.hidden, data))
+        if not self.hidden:
+            self.page.texts.append(data)
 
 
-def _tree(page: str) -> _Element:
+def _parsed(page: str) -> _Page:
     parser = _Tree()
     parser.feed(page)
     parser.close()
-    return parser.root
-
-
-def _first_text(elements, test) -> str:
-    return next((e.text() for e in elements if test(e)), "")
-
-
-def _has(name):
-    return lambda e: name in e.classes
-
-
-def _card_of(node: _Element) -> dict:
+    while parser.here is not None:
+        parser.closed()
+    return parser.page
+
+
+_END, _OPEN, _CHILDLESS = range(3)
+
+
+@functools.lru_cache(4096)
+def _plain_tag(text: str) -> tuple | None:
+    """(kind, name, is hidden, read attributes, classes) of a tag; null when it is not plain."""
+    found = _PLAIN_TAG.fullmatch(text)
+    if not found:
+        return None
+    slash, tag, attributes, own_end = found.groups()
+    if slash:
+        return None if attributes or own_end else (_END, tag, False, None, None)
+    read = {}
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name in READ_ATTRIBUTES:
+            if "&" in value:
+                return None
+            read[name] = value[2:-1] if value else None
+    childless = own_end or tag in K.VOID_ELEMENTS
+    if childless and tag in _RAW_ELEMENTS:
+        return None
+    classes = (read.get("class") or "").split()
+    return _CHILDLESS if childless else _OPEN, tag, tag in X.HIDDEN_ELEMENTS, read, classes
+
+
+def _plain(text: str) -> _Page | None:
+    """What `_parsed` gives, for plain markup; null when anything in the page is not plain."""
+    doctype = _DOCTYPE.match(text)
+    parts = _SPLIT.split(text[doctype.end():] if doctype else text)
+    if len(parts) // 2 + (doctype is not None) != text.count("<"):
+        return None
+    page = _Page()
+    elements, texts = page.elements, page.texts
+    here, hidden, raw = elements[0], 0, None
+    counts: dict[str, int] = {}
+    nodes = iter(parts)
+    node = next(nodes)
+    if node:
+        texts.append(entities.unescape(node) if "&" in node else node)
+    for inner, node in zip(nodes, nodes, strict=True):
+        plain = _plain_tag(inner)
+        if plain is None:
+            return None
+        kind, tag, hides, attrs, classes = plain
+        if raw:
+            if kind != _END or tag != raw:
+                return None
+            raw = None
+        if kind == _END:
+            # It closes all that it encloses; a stray one does nothing.
+            while counts.get(tag):
+                last = here.tag
+                counts[last] -= 1
+                hidden -= last in X.HIDDEN_ELEMENTS
+                here.end, here.last, here = len(elements), len(texts), here.parent
+                if last == tag:
+                    break
+        else:
+            element = _Element(tag, attrs, classes, here, len(elements), len(texts))
+            elements.append(element)
+            if kind == _OPEN:
+                here = element
+                counts[tag] = counts.get(tag, 0) + 1
+                hidden += hides
+                if tag in _RAW_ELEMENTS:
+                    raw = tag
+        if node and not hidden:
+            texts.append(entities.unescape(node) if "&" in node else node)
+    if raw:
+        return None
+    while here is not None:
+        here = page.closed(here)
+    return page
+
+
+def _read(text: str) -> _Page:
+    """Any page; plain markup takes a short way to the same."""
+    return _plain(text) or _parsed(text)
+
+
+def _card_of(page: _Page, node: _Element) -> dict:
     """Fields of a card: for each the first element of its class, in one walk."""
     found = {"urn": node.attrs[URN_ATTRIBUTE]}
-    for element in node.elements():
+    for element in page.inside(node):
         for css in element.classes:
             name = FIELD_OF.get(css)
             if name and name not in found:
-                found[name] = element.text()
+                found[name] = page.text(element)
         if len(found) > len(CARD_FIELDS):
             break
-    return {**dict.fromkeys(CARD_FIELDS, ""), **found}
+    return {**NO_CARD, **found}
 
 
-def _cards_of(page: str) -> list[dict]:
-    if URN_ATTRIBUTE not in page.lower():  # names of attributes are never escaped
+def _cards_of(text: str) -> list[dict]:
+    if URN_ATTRIBUTE not in text.lower():  # names of attributes are never escaped
         return []
+    page = _read(text)
     return [
-        _card_of(e) for e in _tree(page).elements()
-        if K.LISTING_URN in (e.attrs.get(URN_ATTRIBUTE) or "")
+        _card_of(page, e) for e in page.elements
+        if e.attrs and K.LISTING_URN in (e.attrs.get(URN_ATTRIBUTE) or "")
     ]
 
 
-def _is_place(element: _Element) -> bool:
+def _is_place(page: _Page, element: _Element) -> bool:
     """A bullet in a flavor row that is the first of its kind, inside the second subline."""
-    if BULLET_CLASS not in element.classes:
-        return False
     row = element.parent
     while row is not None:
         if ROW_CLASS in row.classes and row.parent is not None:
-            twins = (x for x in row.parent.content if isinstance(x, _Element) and x.tag == row.tag)
-            if next(twins) is row:
+            if next(x for x in page.children(row.parent) if x.tag == row.tag) is row:
                 outer = row.parent
                 while outer is not None:
                     if SUBLINE_CLASS in outer.classes:
@@ -157,52 +277,69 @@ def _is_place(element: _Element) -> bool:
     return False
 
 
-def _criterion(heading: _Element) -> str:
-    def is_value(element):
-        return element.tag == "dd" or VALUE_CLASS_PART in (element.attrs.get("class") or "")
-
-    value = _first_text(heading.parent.elements(), is_value)
-    if value.strip():
-        return value
-    siblings = [x for x in heading.parent.content if isinstance(x, _Element)]
-    following = siblings[siblings.index(heading) + 1:]
-    return following[0].text() if following else ""
-
-
-def _is_alert(element: _Element) -> bool:
-    return (
-        element.attrs.get("aria-live") == "assertive"
-        or element.attrs.get("role") == "alert"
-        or CLOSED_CLASS in element.classes
-    )
-
-
-def _detail_of(page: str) -> dict:
-    every = list(_tree(page).elements())
-    classed = [e for e in every if e.classes]
-    description = next((e for e in classed if DESCRIPTION_CLASS in e.classes), None)
-    headings = [e for e in every if e.tag in HEADING_TAGS or HEADING_CLASS in e.classes]
+def _criterion(page: _Page, heading: _Element) -> str:
+    for element in page.inside(heading.parent):
+        if element.tag == "dd" or VALUE_CLASS_PART in (element.attrs.get("class") or ""):
+            value = page.text(element)
+            if value.strip():
+                return value
+            break
+    if heading.end == heading.parent.end:  # the last of its siblings
+        return ""
+    return page.text(page.elements[heading.end])
+
+
+def _detail_of(text: str) -> dict:
+    """Texts of a detail page, each of the first element that holds it."""
+    page = _read(text)
+    title = company = location = description = age = None
+    headings, alerts = [], []
+    for element in page.elements[1:]:
+        classes = element.classes
+        if classes:
+            if title is None and not TITLE_CLASSES.isdisjoint(classes):
+                title = element
+            if company is None and COMPANY_CLASS in classes:
+                company = element
+            if location is None and BULLET_CLASS in classes and _is_place(page, element):
+                location = element
+            if description is None and DESCRIPTION_CLASS in classes:
+                description = element
+            if age is None and AGE_CLASS in classes:
+                age = element
+        if element.tag in HEADING_TAGS or HEADING_CLASS in classes:
+            headings.append(element)
+        attrs = element.attrs
+        if attrs and (
+            attrs.get("aria-live") == "assertive" or attrs.get("role") == "alert"
+            or CLOSED_CLASS in classes
+        ):
+            alerts.append(element)
     return {
-        "title": _first_text(classed, lambda e: not TITLE_CLASSES.isdisjoint(e.classes)),
-        "company": _first_text(classed, _has(COMPANY_CLASS)),
-        "location": _first_text(classed, _is_place),
-        "description": None if description is None else description.text(),
-        "age": _first_text(classed, _has(AGE_CLASS)),
-        "criteria": [{"heading": h.text(), "value": _criterion(h)} for h in headings],
-        "alerts": [e.text() for e in every if _is_alert(e)],
+        "title": page.text(title), "company": page.text(company), "location": page.text(location),
+        "description": None if description is None else page.text(description),
+        "age": page.text(age),
+        "criteria": [{"heading": page.text(h), "value": _criterion(page, h)} for h in headings],
+        "alerts": [page.text(e) for e in alerts],
     }
 
 
-@F.pandas_udf(CARDS)
-def _extract_cards(pages: pd.Series) -> pd.Series:
-    return pages.map(_cards_of, na_action="ignore")
+@F.arrow_udf(CARDS)
+def _extract_cards(pages: pa.Array) -> pa.Array:
+    text = pa.string()
+    card = pa.struct([(n, text) for n in ("urn", *CARD_FIELDS)])
+    found = [None if p is None else _cards_of(p) for p in pages.to_pylist()]
+    return pa.array(found, pa.list_(card))
 
 
-@F.pandas_udf(DETAIL)
-def _extract_detail(pages: pd.Series) -> pd.DataFrame:
-    empty = dict.fromkeys(DETAIL.names)
-    rows = [empty if p is None else _detail_of(p) for p in pages]
-    return pd.DataFrame(rows, columns=DETAIL.names)
+@F.arrow_udf(DETAIL)
+def _extract_detail(pages: pa.Array) -> pa.Array:
+    text = pa.string()
+    criterion = pa.struct([("heading", text), ("value", text)])
+    kinds = {"criteria": pa.list_(criterion), "alerts": pa.list_(text)}
+    detail = pa.struct([(n, kinds.get(n, text)) for n in DETAIL.names])
+    found = [{} if p is None else _detail_of(p) for p in pages.to_pylist()]
+    return pa.array(found, detail)
 
 
 def is_blocked(page: Column) -> Column:

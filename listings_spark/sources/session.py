@@ -65,3 +65,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly to a few tasks a core, for CPU-heavy row work behind a join.
+
+    Joins and scans put narrow rows into as many tasks as their bytes need, however much work each
+    row is. The number is explicit, so Spark does not merge the tasks again. Call it while rows are
+    narrow.
+    """
+    session = df.sparkSession
+    shuffled = int(session.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(3 * session.sparkContext.defaultParallelism, shuffled))

@@ -93,3 +93,53 @@ def test_binary_files_become_pages(spark, tmp_path):
     (tmp_path / "a.html").write_text("<p>é</p>", encoding="utf-8")
     row = P.read_pages(spark, str(tmp_path), "files").first()
     assert row["html"] == "<p>é</p>" and row["url"].endswith("a.html")
+
+
+def told(page):
+    """A page as plain values: each element with its classes, parent and text."""
+    return [
+        (e.tag, list(e.classes), e.parent.place if e.parent else None, page.text(e),
+         [x.place for x in page.inside(e)], [x.place for x in page.children(e)])
+        for e in page.elements
+    ]
+
+
+def test_plain_markup_is_read_the_short_way_and_alike():
+    rows = "".join(card(URN + str(n)) for n in range(3))
+    plain = [
+        DETAIL, rows, "", "text &amp;amp; more", "<p>a<br>b<br/>c</p><img src='x'>".replace("'", '"'),
+        "<div><p>open<b>deep</div>after</p></b>", '<script>var a = "b";</script><p>seen</p>',
+        "<title>T &lt;</title><template><p>no</p></template><p hidden class>yes</p>",
+        "<!DOCTYPE html><DIV>".replace("DIV", "div") + '<p class="a b" class="c">&am',
+    ]
+    for page in plain:
+        assert P._plain(page) is not None, page
+        assert told(P._plain(page)) == told(P._parsed(page)), page
+
+
+def test_other_markup_takes_the_long_way():
+    for page in (
+        "a < b", "<P>x</P>", "<p class='a'>x</p>", "<p class=a>x</p>", "<!-- c --><p>x</p>",
+        '<p class="a&amp;b">x</p>', "<script>if (a < b) {}</script>", "<script>open", "<p", "<a/b>x",
+        '<a title="x>y">z</a>', "</p a>", "<title><b>x</b></title>", "<x-y>z</x-y>",
+    ):
+        assert P._plain(page) is None, page
+        assert P._read(page).elements
+
+
+def test_detail_pages_are_dealt_to_all_cores(spark, tmp_path):
+    # Few narrow rows lie in one task after the join; reading their pages is the work.
+    from listings_spark.checks.page_checks import detail_pages
+
+    orders = spark.createDataFrame(
+        [(n, n % 5, "O", 1.0, NOW, "1-URGENT") for n in range(200)],
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double,"
+        " o_orderdate timestamp_ntz, o_orderpriority string",
+    )
+    customers = spark.createDataFrame([(n, f"C{n}") for n in range(5)], "c_custkey long, c_name string")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    customers.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    pages = detail_pages(spark, str(tmp_path))
+    sizes = pages.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    cores = spark.sparkContext.defaultParallelism
+    assert sum(sizes) == 200 and len(sizes) >= 3 * cores and max(sizes) <= 2 * 200 / len(sizes) + cores
