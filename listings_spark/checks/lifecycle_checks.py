@@ -187,8 +187,9 @@ def _(spark, sf):
 def _(spark, sf):
     # The second half of the history merged into the state after the first half.
     half = (2024 * 12 + 1) * 744 * 5 + 5 * 24 * 15
-    events = log(spark, sf)
-    first = L.fold(events.filter(F.col("run_seq") < half), threshold=T)
+    ensure_checkpoint_dir(spark)
+    events = log(spark, sf).checkpoint()
+    first = L.fold(events.filter(F.col("run_seq") < half), threshold=T).checkpoint()
     rest = events.filter(F.col("run_seq") >= half)
     again = L.fold(rest, L.listings_from(first), L.provenance_from(first, T), T)
     return L.listings_from(again)

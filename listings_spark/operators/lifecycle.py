@@ -33,6 +33,7 @@ PROVENANCE_COLUMNS = (
     "unavailable_confirmations", "active",
 )
 COMMITS_PER_SLICE = 20_000
+ROWS_PER_TASK = 50_000  # events that one task of a fold sorts and holds
 
 
 def collapse_log(log: DataFrame, position: str = "pos") -> DataFrame:
@@ -103,6 +104,16 @@ def _count(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
 
+def _fold_tasks(log: DataFrame, provenance: DataFrame | None) -> int:
+    """Tasks of a fold: so many that each has a bounded number of events.
+
+    A fold sorts its events for several windows in one task, which takes many times the bytes that
+    they are shuffled in; Spark would size tasks by those bytes.
+    """
+    rows = log.count() + (0 if provenance is None else provenance.count())
+    return max(log.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+
+
 def fold(
     log: DataFrame,
     listings: DataFrame | None = None,
@@ -113,7 +124,8 @@ def fold(
     """Every event of a collapsed log with the state around it.
 
     `long` names the blocks of long histories (`histories.long_histories`); without it a
-    listing's events are folded in one task. Adds the incarnation of the listing (a deletion starts a new one), whether the event
+    listing's events are folded in one task. The log and the links are counted first, to size tasks;
+    pass stored ones where making them is costly. Adds the incarnation of the listing (a deletion starts a new one), whether the event
     is effective, and the flags is_new, is_changed, is_reopened, is_closed, is_deleted.
     """
     if not 1 <= threshold <= 10:
@@ -124,7 +136,7 @@ def fold(
     by = _parts(long is not None)
     if long is not None:
         events = histories.in_blocks(events, long, FIELDS, OPTIONAL, threshold)
-    events = events.repartition(*by)
+    events = events.repartition(_fold_tasks(log, provenance), *by)
 
     kind = F.col("kind")
     observed, stored, linked = kind == "observed", kind == "state", kind == "link"

@@ -210,3 +210,19 @@ def test_evolve(spark):
         {"id": 2, "kind": "x", "industries": None},
     ]
     assert L.evolve(out, drop=("industries",)).columns == ["id", "kind"]
+
+
+def test_fold_takes_tasks_by_its_rows(spark, monkeypatch):
+    # Rows of the log and links of the stored state count, whatever bytes they are shuffled in.
+    log = spark.createDataFrame(history(5, commits=80), SCHEMA).checkpoint()
+    rows = log.count()
+    assert rows > 200
+    monkeypatch.setattr(L, "ROWS_PER_TASK", 10)
+    first = L.fold(log).checkpoint()
+    assert first.rdd.getNumPartitions() == -(-rows // 10)
+    listings, links = L.listings_from(first).checkpoint(), L.provenance_from(first).checkpoint()
+    later = log.selectExpr("run_seq + 100 AS run_seq", *[c for c in log.columns if c != "run_seq"])
+    again = L.fold(later, listings, links)
+    assert again.rdd.getNumPartitions() == -(-(rows + links.count()) // 10)
+    monkeypatch.setattr(L, "ROWS_PER_TASK", 1_000_000)
+    assert L.fold(log).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
