@@ -20,7 +20,7 @@ from listings_spark.plans import state as S
 from listings_spark.operators import ordering as O
 from listings_spark.sources import pages as P
 from listings_spark.sources import runlog, snapshots, tables
-from listings_spark.sources.session import ensure_checkpoint_dir
+from listings_spark.sources.session import dealt, ensure_checkpoint_dir
 from listings_spark.streaming import merge as M
 
 QUERIES: dict = {}
@@ -183,7 +183,7 @@ def _(spark, sf):
 def _(spark, sf):
     base = place(spark)
     rows = listing_checks.with_places(listing_checks.raw(spark, sf))
-    rows.write.parquet(f"{base}/raw")
+    dealt(rows).write.parquet(f"{base}/raw")  # files for all cores
     stream = spark.readStream.schema(rows.schema).parquet(f"{base}/raw")
     M.classify_stream(stream, f"{base}/out", f"{base}/marks").awaitTermination()
     return spark.read.parquet(f"{base}/out").select(
