@@ -127,19 +127,34 @@ def test_other_markup_takes_the_long_way():
         assert P._read(page).elements
 
 
-def test_detail_pages_are_dealt_to_all_cores(spark, tmp_path):
-    # Few narrow rows lie in one task after the join; reading their pages is the work.
-    from listings_spark.checks.page_checks import detail_pages
-
+def few_narrow_rows(spark, folder):
+    """Orders and customers that lie in one task each."""
     orders = spark.createDataFrame(
         [(n, n % 5, "O", 1.0, NOW, "1-URGENT") for n in range(200)],
         "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double,"
         " o_orderdate timestamp_ntz, o_orderpriority string",
     )
     customers = spark.createDataFrame([(n, f"C{n}") for n in range(5)], "c_custkey long, c_name string")
-    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
-    customers.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    orders.coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    customers.coalesce(1).write.parquet(f"{folder}/customer.parquet")
+
+
+def test_detail_pages_are_dealt_to_all_cores(spark, tmp_path):
+    # Few narrow rows lie in one task after the join; reading their pages is the work.
+    from listings_spark.checks.page_checks import detail_pages
+
+    few_narrow_rows(spark, tmp_path)
     pages = detail_pages(spark, str(tmp_path))
     sizes = pages.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     cores = spark.sparkContext.defaultParallelism
     assert sum(sizes) == 200 and len(sizes) >= 3 * cores and max(sizes) <= 2 * 200 / len(sizes) + cores
+
+
+def test_listings_to_classify_lie_in_files_for_all_cores(spark, tmp_path, monkeypatch):
+    from listings_spark.checks import state_checks
+
+    few_narrow_rows(spark, tmp_path)
+    monkeypatch.setattr(state_checks, "place", lambda _: f"{tmp_path}/stream")
+    assert state_checks.QUERIES["stream_classify"](spark, str(tmp_path)).count() == 200
+    files = list((tmp_path / "stream" / "raw").glob("part-*.parquet"))
+    assert len(files) >= spark.sparkContext.defaultParallelism
