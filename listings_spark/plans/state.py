@@ -193,12 +193,12 @@ def apply_in_order(
     waiting, late = (tables.read_whole(spark, base, name, now) for name in ("pending", "late"))
     arrived = L.collapse_log(log)
     known = merged if late is None else merged.unionByName(late.select("run_seq").distinct())
+    # Commits that wait are stored with the state already; only new ones are stored here.
     if waiting is not None:
         known_here = known.unionByName(waiting.select("run_seq").distinct())
-        arrived = new_commits(arrived, known_here).unionByName(waiting)
+        arrived = new_commits(arrived, known_here).checkpoint().unionByName(waiting)
     else:
-        arrived = new_commits(arrived, known)
-    arrived = arrived.checkpoint()
+        arrived = new_commits(arrived, known).checkpoint()
     newest = merged.agg(F.max("run_seq")).first()[0]
     youngest = arrived.agg(F.max("run_seq")).first()[0]
     overdue = F.lit(False) if newest is None else F.col("run_seq") < newest
@@ -216,9 +216,7 @@ def apply_in_order(
     ready = open_ if bound is None else open_.filter(F.col("run_seq") < bound)
     rest = open_.filter(F.lit(False)) if bound is None else open_.filter(F.col("run_seq") >= bound)
     late = lost if late is None else late.unionByName(lost)
-    return _merge(
-        ready, merged, base, threshold, buckets, allowed, pending=rest.checkpoint(), late=late.checkpoint()
-    )
+    return _merge(ready, merged, base, threshold, buckets, allowed, pending=rest, late=late)
 
 
 def late_commits(spark: SparkSession, base: str) -> DataFrame | None:

@@ -308,6 +308,33 @@ def test_a_lost_commit_is_given_up_and_kept_apart_when_it_comes(spark, tmp_path)
     assert {r["run_seq"] for r in S.late_commits(spark, base).collect()} == {r[0] for r in rows if 9 <= r[0] <= 10}
 
 
+def test_commits_that_wait_are_not_stored_again_by_the_next_batch(spark, tmp_path, monkeypatch):
+    rows = history(54, commits=30, listings=4)
+    jobs, links, _ = replay(rows, 2)
+    log, base = log_of(spark, rows), str(tmp_path / "state")
+    expected = log.select("run_seq").distinct()
+    S.apply_in_order(log.filter("run_seq >= 2"), base, expected, delay=100)  # all wait for the first
+    waiting = tables.read_whole(spark, base, "pending", tables.manifest(spark, base)).count()
+    kept, checkpoint = [], type(log).checkpoint
+
+    def counted(df, *args):
+        held = checkpoint(df, *args)
+        if "kind" in held.columns and "carried" not in held.columns:  # rows of the log
+            kept.append(held.count())
+        return held
+
+    monkeypatch.setattr(type(log), "checkpoint", counted)
+    S.apply_in_order(log.filter("run_seq = 1"), base, expected, delay=100)
+    assert waiting > 50 and sum(kept) == log.filter("run_seq = 1").count()
+    pending = tables.read_whole(spark, base, "pending", tables.manifest(spark, base))
+    assert pending.count() == waiting
+    monkeypatch.undo()
+    S.apply_in_order(log.filter("run_seq < 1"), base, expected, delay=100)
+    S.apply_in_order(log.filter("false"), base, last=True)
+    state = S.load_state(spark, base)
+    assert as_dicts(state["listings"], state["provenance"]) == (jobs, links)
+
+
 def test_commits_wait_for_the_delay_where_none_are_announced(spark, tmp_path):
     rows = history(53, commits=20, listings=3)
     log, base = log_of(spark, rows), str(tmp_path / "state")
