@@ -130,13 +130,14 @@ def log(spark, sf):
 
 
 def folded(spark, sf):
-    return L.fold(log(spark, sf), threshold=T)
+    # Collapsing leaves at most the raw rows, which are counted without making the log.
+    return L.fold(log(spark, sf), threshold=T, rows=read(spark, sf, "log_raw").count())
 
 
 def state(spark, sf):
     # Both tables, and all that reads them again, come from one fold.
     ensure_checkpoint_dir(spark)
-    events = folded(spark, sf).checkpoint()
+    events = L.stored(folded(spark, sf))
     return L.listings_from(events), L.provenance_from(events, T)
 
 

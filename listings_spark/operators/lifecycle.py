@@ -104,28 +104,40 @@ def _count(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
 
-def _fold_tasks(log: DataFrame, provenance: DataFrame | None) -> int:
+def _fold_tasks(log: DataFrame, provenance: DataFrame | None, rows: int | None = None) -> int:
     """Tasks of a fold: so many that each has a bounded number of events.
 
     A fold sorts its events for several windows in one task, which takes many times the bytes that
     they are shuffled in; Spark would size tasks by those bytes.
     """
-    rows = log.count() + (0 if provenance is None else provenance.count())
+    rows = log.count() if rows is None else rows
+    rows += 0 if provenance is None else provenance.count()
     return max(log.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
 
 
+def stored(folded: DataFrame) -> DataFrame:
+    """A fold written once to the shared checkpoint folder; its readers take as many tasks as it had.
+
+    A stored fold is no longer known to lie by listing, so every reader shuffles what it needs.
+    """
+    ensure_checkpoint_dir(folded.sparkSession)
+    held = folded.checkpoint()
+    return held.repartition(max(1, held.rdd.getNumPartitions()), *_parts("block" in held.columns))
+
+
 def fold(
     log: DataFrame,
     listings: DataFrame | None = None,
     provenance: DataFrame | None = None,
     threshold: int = K.CLOSURE_CONFIRMATIONS,
     long: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Every event of a collapsed log with the state around it.
 
     `long` names the blocks of long histories (`histories.long_histories`); without it a
     listing's events are folded in one task. The log and the links are counted first, to size tasks;
-    pass stored ones where making them is costly. Adds the incarnation of the listing (a deletion starts a new one), whether the event
+    pass stored ones where making them is costly, or the `rows` that the log has at most. Adds the incarnation of the listing (a deletion starts a new one), whether the event
     is effective, and the flags is_new, is_changed, is_reopened, is_closed, is_deleted.
     """
     if not 1 <= threshold <= 10:
@@ -136,7 +148,7 @@ def fold(
     by = _parts(long is not None)
     if long is not None:
         events = histories.in_blocks(events, long, FIELDS, OPTIONAL, threshold)
-    events = events.repartition(_fold_tasks(log, provenance), *by)
+    events = events.repartition(_fold_tasks(log, provenance, rows), *by)
 
     kind = F.col("kind")
     observed, stored, linked = kind == "observed", kind == "state", kind == "link"
@@ -420,9 +432,8 @@ def merge(
 
     All three read one fold, which is written once to the shared checkpoint folder.
     """
-    ensure_checkpoint_dir(log.sparkSession)
     long = histories.long_histories(log)
-    folded = fold(log, listings, provenance, threshold, long).checkpoint()
+    folded = stored(fold(log, listings, provenance, threshold, long))
     return listings_from(folded), provenance_from(folded, threshold), counters_from(folded)
 
 

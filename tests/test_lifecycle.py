@@ -226,3 +226,14 @@ def test_fold_takes_tasks_by_its_rows(spark, monkeypatch):
     assert again.rdd.getNumPartitions() == -(-(rows + links.count()) // 10)
     monkeypatch.setattr(L, "ROWS_PER_TASK", 1_000_000)
     assert L.fold(log).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_stored_fold_is_read_by_as_many_tasks_as_it_had(spark, monkeypatch):
+    log = spark.createDataFrame(history(6, commits=80), SCHEMA).checkpoint()
+    rows = log.count()
+    monkeypatch.setattr(L, "ROWS_PER_TASK", 10)
+    for table in L.merge(log)[:2]:
+        assert table.rdd.getNumPartitions() == -(-rows // 10)
+    # A known bound of the rows stands in for counting the log.
+    assert L.fold(log, rows=10 * rows).rdd.getNumPartitions() == rows
+    assert L.merge(log.filter("false"))[0].count() == 0
