@@ -124,14 +124,16 @@ links AS (SELECT p.search_slug, p.listing_id, p.first_seen_at, p.last_seen_at,
     AND c.search_slug = p.search_slug AND c.run_seq = 9000000000)"""
 
 
-def log(spark, sf):
-    collapsed = L.collapse_log(read(spark, sf, "log_raw"))
+def log(spark, sf, rows=None):
+    raw = read(spark, sf, "log_raw")
+    collapsed = L.collapse_log(raw, rows=raw.count() if rows is None else rows)
     return L.committed_only(collapsed, read(spark, sf, "runs"))
 
 
 def folded(spark, sf):
     # Collapsing leaves at most the raw rows, which are counted without making the log.
-    return L.fold(log(spark, sf), threshold=T, rows=read(spark, sf, "log_raw").count())
+    rows = read(spark, sf, "log_raw").count()
+    return L.fold(log(spark, sf, rows), threshold=T, rows=rows)
 
 
 def state(spark, sf):

@@ -6,11 +6,11 @@ fields. `kind` is observed, unavailable, audit_available or audit_unavailable; a
 search. Commit order (`run_seq`) decides which value is latest; event time (`observed_at`)
 only feeds the monotonic `last_seen_at`.
 
-Scale: `collapse_log` pre-aggregates on the map side, so a listing has at most one row per
-commit however many raw rows it had. Everything after it is partitioned by listing: one
-shuffle of the collapsed log and one of the state; all windows and aggregates reuse it. Listings
-with very many commits in a slice are cut into blocks that fold apart (`histories`), and `replay`
-cuts long logs into slices.
+Scale: `collapse_log` leaves a listing at most one row per commit however many raw rows it had,
+combined on the map side or, where the number of raw rows is known, in tasks of bounded size.
+Everything after it is partitioned by listing: one shuffle of the collapsed log and one of the
+state; all windows and aggregates reuse it. Listings with very many commits in a slice are cut into
+blocks that fold apart (`histories`), and `replay` cuts long logs into slices.
 """
 
 from __future__ import annotations
@@ -34,10 +34,23 @@ PROVENANCE_COLUMNS = (
 )
 COMMITS_PER_SLICE = 20_000
 ROWS_PER_TASK = 50_000  # events that one task of a fold sorts and holds
+RAW_PER_TASK = 200_000  # raw rows that one task of a collapse sorts
 
 
-def collapse_log(log: DataFrame, position: str = "pos") -> DataFrame:
-    """One row per commit and listing; the last row of the commit wins."""
+def _tasks(log: DataFrame, rows: int, most: int) -> int:
+    """Tasks that take at most about `most` of these rows each, and one for each core at least."""
+    return max(log.sparkSession.sparkContext.defaultParallelism, -(-rows // most))
+
+
+def collapse_log(log: DataFrame, position: str = "pos", rows: int | None = None) -> DataFrame:
+    """One row per commit and listing; the last row of the commit wins.
+
+    A collapse sorts whole raw rows. With `rows`, the number that the log has at most, they are
+    shuffled once by commit and listing into tasks of bounded size. Without it they are combined
+    where they are read and then by the session's shuffle partitions, tasks that grow with the log.
+    """
+    if rows is not None:
+        log = log.repartition(_tasks(log, rows, RAW_PER_TASK), "run_seq", "listing_id")
     rest = [c for c in log.columns if c not in ("run_seq", "listing_id", position)]
     latest = F.max(F.struct(F.col(position), *[F.col(c) for c in rest])).alias("_latest")
     return (
@@ -112,7 +125,7 @@ def _fold_tasks(log: DataFrame, provenance: DataFrame | None, rows: int | None =
     """
     rows = log.count() if rows is None else rows
     rows += 0 if provenance is None else provenance.count()
-    return max(log.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+    return _tasks(log, rows, ROWS_PER_TASK)
 
 
 def stored(folded: DataFrame) -> DataFrame:

@@ -202,6 +202,31 @@ def test_collapse_log_keeps_last_row_of_a_commit(spark):
     }
 
 
+def test_collapse_log_takes_tasks_by_its_raw_rows(spark, monkeypatch):
+    # The raw rows of a commit and listing, and those without either, meet in one task.
+    keys = [(1, "a"), (1, "b"), (2, "a"), (None, "a"), (1, None), (None, None)]
+    raw = [(seq, one, pos, f"k{pos}") for pos in range(20) for seq, one in keys]
+    df = spark.createDataFrame(raw, "run_seq int, listing_id string, pos int, kind string")
+    monkeypatch.setattr(L, "RAW_PER_TASK", 10)
+    dealt = L.collapse_log(df, rows=len(raw)).checkpoint()
+    assert dealt.rdd.getNumPartitions() == -(-len(raw) // 10)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, L.collapse_log(df).collect()))
+    assert {r["kind"] for r in dealt.collect()} == {"k19"}
+    assert dealt.count() == len(keys)
+
+
+def test_registered_queries_collapse_in_tasks_by_raw_rows(spark, monkeypatch):
+    from listings_spark.checks import lifecycle_checks
+
+    taken = []
+    collapse = L.collapse_log
+    monkeypatch.setattr(L, "collapse_log", lambda *a, **k: taken.append(k["rows"]) or collapse(*a, **k))
+    raw = lifecycle_checks.read(spark, "/root/testdata/sf0.001", "log_raw").count()
+    lifecycle_checks.folded(spark, "/root/testdata/sf0.001")
+    lifecycle_checks.log(spark, "/root/testdata/sf0.001")
+    assert taken == [raw, raw]
+
+
 def test_evolve(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "id int, kind string")
     out = L.evolve(df, add={"industries": "string"}, backfill={"kind": "internship"})
